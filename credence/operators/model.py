@@ -96,13 +96,13 @@ def variant_counts(articles: DataFrame) -> DataFrame:
     corpus and score; the variants are laid over those few sums, never over articles.
     """
     def kept(column, limit):
-        return F.sum(F.least(F.size(column), F.lit(limit - 2)).cast("bigint"))
+        return F.sum(F.least(F.col(column), F.lit(limit - 2)).cast("bigint"))
 
     longest = max(VARIANT_LIMITS) - 2
     tokenized = articles.select(
         "corpus", "sentiment", "polarity",
-        text.first_tokens("text", longest).alias("raw"),
-        text.first_tokens(text.strip_control("text"), longest).alias("stripped"),
+        text.token_count("text", longest).alias("raw"),
+        text.token_count(text.strip_control("text"), longest).alias("stripped"),
     )
     sums = tokenized.groupBy("corpus", "sentiment", "polarity").agg(
         F.count("*").alias("rows"),

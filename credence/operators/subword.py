@@ -7,7 +7,7 @@ fills the corpus costs one dictionary look-up per occurrence.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import pandas as pd
@@ -21,16 +21,15 @@ from . import encode
 CONTINUATION = "##"
 
 
-def subword_vocabulary(counts: DataFrame, n: int) -> DataFrame:
-    """``token, id``: the ``n`` most frequent words and every character seen, each also
-    as a continuation piece. Bounded by ``n`` and the alphabet."""
+def subword_vocabulary(counts: DataFrame, n: int, min_count: int = 1) -> DataFrame:
+    """``token, id``: the ``n`` most frequent words and every character of the words seen
+    ``min_count`` times, each also as a continuation piece. Bounded by ``n`` and the
+    alphabet. Both parts read the same aggregate, so Spark computes it once."""
     words = encode.vocabulary(counts, n).select("token")
-    characters = counts.select(
-        F.explode(F.transform(F.sequence(F.lit(1), F.length("token")), lambda i: F.substr("token", i, F.lit(1))))
-        .alias("token")
-    ).distinct()
-    starts = words.union(characters).distinct()
-    pieces = starts.union(starts.select(F.concat(F.lit(CONTINUATION), F.col("token")))).distinct()
+    each = F.transform(F.sequence(F.lit(1), F.length("token")), lambda i: F.substr("token", i, F.lit(1)))
+    characters = counts.filter(F.col("count") >= min_count).select(F.explode(F.array_distinct(each)).alias("token"))
+    both = F.array(F.col("token"), F.concat(F.lit(CONTINUATION), F.col("token")))
+    pieces = words.union(characters).distinct().select(F.explode(both).alias("token")).distinct()
     rank = F.row_number().over(W.orderBy("token"))
     return pieces.select("token", (rank + (encode.FIRST_TOKEN_ID - 1)).cast("int").alias("id"))
 
@@ -43,20 +42,25 @@ def collect_pieces(vocab: DataFrame, max_size: int = 200_000) -> dict[str, int]:
     return dict(zip(rows["token"], rows["id"].astype(int), strict=True))
 
 
-def split_word(word: str, pieces: dict[str, int], longest: int) -> list[int]:
-    """Piece ids of one word, longest match first; the unknown id where none matches."""
-    ids, start = [], 0
-    while start < len(word):
-        mark = CONTINUATION if start else ""
-        for end in range(min(len(word), start + longest), start, -1):
-            piece = pieces.get(mark + word[start:end])
-            if piece is not None:
-                ids.append(piece)
-                start = end
-                break
-        else:
-            return [encode.UNK]
-    return ids
+def splitter(pieces: dict[str, int]) -> Callable[[str], list[int]]:
+    """A function from one word to its piece ids, longest match first; the unknown id
+    alone where some part of the word has no piece."""
+    mark, unknown = CONTINUATION, encode.UNK
+    longest = max((len(p) for p in pieces), default=0)
+
+    def split(word: str) -> list[int]:
+        ids, start = [], 0
+        while start < len(word):
+            prefix = mark if start else ""
+            ends = range(min(len(word), start + longest), start, -1)
+            end = next((e for e in ends if prefix + word[start:e] in pieces), None)
+            if end is None:
+                return [unknown]
+            ids.append(pieces[prefix + word[start:end]])
+            start = end
+        return ids
+
+    return split
 
 
 def encode_subword(
@@ -65,22 +69,23 @@ def encode_subword(
 ) -> DataFrame:
     """``encode_single`` with words split into pieces first."""
     budget = max_len - 2
-    longest = max((len(p) for p in pieces), default=0)
+    split = splitter(pieces)
 
+    # Closes over local names only, so executors need pandas but not this package.
     @F.pandas_udf("array<int>")
     def to_ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        split = lru_cache(maxsize=1 << 16)(lambda word: split_word(word, pieces, longest))
+        remembered = lru_cache(maxsize=1 << 16)(split)
 
-        def document(words: Sequence[str] | None) -> list[int]:
-            ids: list[int] = []
+        def document(words):
+            ids = []
             for word in words if words is not None else ():
-                ids.extend(split(word))
+                ids.extend(remembered(word))
                 if len(ids) >= budget:
                     break
             return ids[:budget]
 
         for batch in batches:
-            yield batch.map(document, na_action=None)
+            yield batch.map(document)
 
     ids = examples.select(id, *keep, to_ids(text.first_tokens(text_a, budget)).alias("ids"))
     n_a = F.size("ids")

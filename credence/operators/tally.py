@@ -8,58 +8,46 @@ from pyspark.sql import functions as F
 from ..functions import text
 
 
-def drop_reason(
-    excluded: Column, failed: Column, too_short: Column, unscored: Column
-) -> Column:
-    """Why an article was left out, the first cause in pipeline order, or ``kept``."""
-    return (
-        F.when(excluded, "excluded").when(failed, "failed").when(too_short, "too_short")
-        .when(unscored, "unscored").otherwise("kept")
-    )
-
-
-def with_drop_reason(
+def reason_counts(
     pages: DataFrame, excluded: DataFrame, scores: DataFrame, words: int = 50
 ) -> DataFrame:
-    """Pages (``site, host, text``) with their score and ``reason``; none is dropped."""
-    marked = (
-        pages.join(excluded.select("host").distinct().withColumn("is_excluded", F.lit(True)), "host", "left")
-        .join(scores, "site", "left")
+    """``site, reason, count`` of pages (``site, host, text``): why each was left out, the
+    first cause in pipeline order (excluded, failed, too_short, unscored), or ``kept``.
+
+    Pages are counted by site, host and what their text shows before anything is
+    joined: a site that fills the crawl is one row per task, and the joins see sites.
+    """
+    failed = F.col("text").isNull() | F.col("host").isNull()
+    tallied = pages.groupBy(
+        "site", "host", failed.alias("failed"),
+        F.coalesce(~text.has_min_words("text", words), F.lit(False)).alias("too_short"),
+    ).agg(F.count("*").alias("pages"))
+    marks = excluded.select("host").distinct().withColumn("is_excluded", F.lit(True))
+    reason = (
+        F.when(F.col("is_excluded"), "excluded").when(F.col("failed"), "failed")
+        .when(F.col("too_short"), "too_short").when(F.col("sentiment").isNull(), "unscored")
+        .otherwise("kept")
     )
-    return marked.withColumn(
-        "reason",
-        drop_reason(
-            F.coalesce("is_excluded", F.lit(False)),
-            F.col("text").isNull() | F.col("host").isNull(),
-            ~text.has_min_words("text", words),
-            F.col("sentiment").isNull(),
-        ),
-    ).drop("is_excluded")
-
-
-def reason_counts(marked: DataFrame) -> DataFrame:
-    return marked.groupBy("site", "reason").agg(F.count("*").alias("count"))
-
-
-def site_counts(marked: DataFrame, kept: Column | str = "kept") -> DataFrame:
-    """Articles found and included per site."""
-    flag = F.col(kept) if isinstance(kept, str) else kept
-    return marked.groupBy("site").agg(
-        F.count("*").alias("found"), F.count_if(flag).alias("included")
+    return (
+        tallied.join(marks, "host", "left").join(scores, "site", "left")
+        .groupBy("site", reason.alias("reason")).agg(F.sum("pages").alias("count"))
     )
 
 
-def site_rollup(marked: DataFrame, kept: Column | str = "kept") -> DataFrame:
-    """``site_counts`` and the grand total (``is_total`` = 1).
+def _found_and_included() -> tuple[Column, Column]:
+    kept = F.when(F.col("reason") == "kept", F.col("count")).otherwise(0)
+    return F.sum("count").alias("found"), F.sum(kept).alias("included")
 
-    Rolled up from the per-site rows, so articles are not doubled by the rollup.
-    """
-    return (
-        site_counts(marked, kept).rollup("site")
-        .agg(
-            F.sum("found").alias("found"), F.sum("included").alias("included"),
-            F.grouping("site").cast("int").alias("is_total"),
-        )
+
+def site_counts(reasons: DataFrame) -> DataFrame:
+    """Articles found and included per site, from ``reason_counts``."""
+    return reasons.groupBy("site").agg(*_found_and_included())
+
+
+def site_rollup(reasons: DataFrame) -> DataFrame:
+    """``site_counts`` and the grand total (``is_total`` = 1), from ``reason_counts``."""
+    return reasons.rollup("site").agg(
+        *_found_and_included(), F.grouping("site").cast("int").alias("is_total"),
     )
 
 

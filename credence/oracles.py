@@ -173,7 +173,8 @@ _reason = f"""CASE WHEN e.host IS NOT NULL THEN 'excluded' WHEN {pieces(PAGE_TEX
 
 SITE_COUNTS = f"""{SCORES}, per_site AS (
   SELECT d.source AS site, count(*) AS found,
-         count(*) FILTER (WHERE {pieces('d.text')} >= 50 AND s.sentiment IS NOT NULL) AS included
+         count(*) FILTER (WHERE {pieces('d.text')} >= 50 AND s.sentiment IS NOT NULL
+           AND d.source <> 'src3') AS included
   FROM documents d LEFT JOIN scores s ON d.source = s.site GROUP BY d.source)"""
 
 
@@ -275,6 +276,8 @@ ORACLES: dict[str, str] = {
     "preview": "SELECT doc_id, source AS site, lang FROM documents ORDER BY doc_id LIMIT 5",
     "exact_dedupe": f"""WITH {SCORED} SELECT doc_id, sha1, sentiment FROM scored
         QUALIFY row_number() OVER (PARTITION BY sha1, sentiment ORDER BY doc_id) = 1""",
+    "dedupe_texts": f"""WITH {SCORED} SELECT doc_id, sha1, sentiment, text FROM scored
+        QUALIFY row_number() OVER (PARTITION BY sha1, sentiment ORDER BY doc_id) = 1""",
     "cleaned_dedupe": f"""WITH {SCORED}, k AS (SELECT doc_id, sha1({CLEANED}) AS sha1, sentiment FROM scored)
         SELECT doc_id, sha1, sentiment FROM k
         QUALIFY row_number() OVER (PARTITION BY sha1, sentiment ORDER BY doc_id) = 1""",

@@ -138,8 +138,10 @@ def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _vector_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    logits = vectors.with_logits(_table(spark, sf_dir, "embeddings"), "embedding", WEIGHTS, BIAS)
-    return vectors.with_log_softmax(logits).select(
+    scored = _table(spark, sf_dir, "embeddings").select(
+        "vec_id", "label", vectors.linear_logits("embedding", WEIGHTS, BIAS).alias("logits")
+    )
+    return vectors.with_log_softmax(scored).select(
         "vec_id", "label", "log_probs", vectors.argmax("logits").alias("pred")
     )
 
@@ -157,8 +159,8 @@ def _flat(features: DataFrame, *others: str) -> DataFrame:
 
 def kept_articles(spark, d):
     """Flagship: score, keep long enough articles, one per copy, count by site and polarity."""
-    kept = _scored(spark, d).filter(text.has_min_words("text"))
-    unique = merge.dedupe_exact(_keyed(kept), ["doc_id"])
+    kept = _keyed(_scored(spark, d).filter(text.has_min_words("text")))
+    unique = merge.dedupe_exact(kept.select("doc_id", "site", "sha1", "sentiment", "polarity"), ["doc_id"])
     return unique.groupBy("site", "polarity").agg(F.count("*").alias("articles"))
 
 
@@ -314,28 +316,29 @@ def label_names(spark, d):
 
 # --- aggregations ------------------------------------------------------------------
 
-def _marked_pages(spark: SparkSession, d: str) -> DataFrame:
-    pages = _pages(spark, d).select("page_id", "host", F.col("host").alias("site"), "html")
-    return tally.with_drop_reason(
+def _page_reasons(spark: SparkSession, d: str) -> DataFrame:
+    pages = _pages(spark, d).select("host", F.col("host").alias("site"), "html")
+    return tally.reason_counts(
         ingest.extract_text(pages), _mobile_hosts(spark, d), _host_scores(spark, d), words=200
     )
 
 
 def drop_reasons(spark, d):
-    return tally.reason_counts(_marked_pages(spark, d))
+    return _page_reasons(spark, d)
 
 
-def _marked_documents(spark: SparkSession, d: str) -> DataFrame:
-    scored = label.attach_score(_documents(spark, d), _scores(spark), keep_unscored=True)
-    return scored.select("site", (text.has_min_words("text") & F.col("sentiment").isNotNull()).alias("kept"))
+def _document_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """Documents by site; the site stands for its host too, and src3 is excluded."""
+    found = _documents(spark, d).select("site", F.col("site").alias("host"), "text")
+    return tally.reason_counts(found, dimensions.host_table(spark, ["src3"]), _scores(spark))
 
 
 def site_counts(spark, d):
-    return tally.site_counts(_marked_documents(spark, d))
+    return tally.site_counts(_document_reasons(spark, d))
 
 
 def site_rollup(spark, d):
-    return tally.site_rollup(_marked_documents(spark, d))
+    return tally.site_rollup(_document_reasons(spark, d))
 
 
 def polarity_counts(spark, d):
@@ -381,18 +384,26 @@ def preview(spark, d):
 
 
 def exact_dedupe(spark, d):
-    return merge.dedupe_exact(_keyed(_scored(spark, d)), ["doc_id"]).select("doc_id", "sha1", "sentiment")
+    rows = _keyed(_scored(spark, d)).select("doc_id", "sha1", "sentiment")
+    return merge.dedupe_exact(rows, ["doc_id"])
+
+
+def dedupe_texts(spark, d):
+    """The same with the whole texts carried along."""
+    rows = _keyed(_scored(spark, d)).select("doc_id", "sha1", "sentiment", "text")
+    return merge.dedupe_exact(rows, ["doc_id"])
 
 
 def cleaned_dedupe(spark, d):
     """The option of keying on the cleaned text."""
-    rows = _scored(spark, d).withColumn("sha1", keys.content_key(text.clean("text")))
-    return merge.dedupe_exact(rows, ["doc_id"]).select("doc_id", "sha1", "sentiment")
+    rows = _scored(spark, d).select("doc_id", keys.content_key(text.clean("text")).alias("sha1"), "sentiment")
+    return merge.dedupe_exact(rows, ["doc_id"])
 
 
 def combined_corpus(spark, d):
-    whole = merge.combine_corpora(_keyed(_known(spark, d)), _keyed(_listed(spark, d)), ["corpus", "doc_id"])
-    return whole.select("doc_id", "corpus", "sha1", "sentiment", "polarity")
+    narrow = ("doc_id", "corpus", "sha1", "sentiment", "polarity")
+    known, listed = _keyed(_known(spark, d)).select(*narrow), _keyed(_listed(spark, d)).select(*narrow)
+    return merge.combine_corpora(known, listed, ["corpus", "doc_id"])
 
 
 def labelled_concat(spark, d):
@@ -535,7 +546,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         min_words, min_chars, site_scored, unscored_report, polarity, constant_score, content_key,
         name_roundtrip, hash_split, example_projection, label_index, label_names, drop_reasons,
         site_counts, site_rollup, polarity_counts, corpus_counts, load_counts, token_frequency,
-        token_frequency_neg, shuffled, sample_n, split_slices, preview, exact_dedupe,
+        token_frequency_neg, shuffled, sample_n, split_slices, preview, exact_dedupe, dedupe_texts,
         cleaned_dedupe, combined_corpus, labelled_concat, vocabulary, encode_single,
         encode_quality, encode_pair, subword_vocabulary, encode_subword, linear_head, one_hot,
         cross_entropy, mean_loss, accuracy, binary_counts, prf1, hard_auc, confusion,

@@ -1,0 +1,311 @@
+"""Dimensions, scans, labels, tallies, merging and the build job."""
+
+import hashlib
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from credence import schemas
+from credence.functions import keys
+from credence.operators import ingest, label, merge, profile, tally
+from credence.plans import build, collect
+from credence.sources import articles, dimensions, scans
+from credence.streaming import incremental
+
+
+def rows(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def plan(df):
+    """The physical plan before it runs (``select`` starts a fresh one)."""
+    return df.select("*")._jdf.queryExecution().executedPlan().toString()
+
+
+# --- dimensions
+
+def test_dimensions(spark):
+    seeds = dimensions.site_seeds(spark)
+    assert seeds.groupBy("group").count().orderBy("group").collect() == [("fake", 6), ("real", 21)]
+    scores = {r["site"]: r["sentiment"] for r in dimensions.site_scores(spark).collect()}
+    assert len(scores) == 26 and set(scores.values()) <= set(range(1, 11))
+    # Listed as real news, yet of negative polarity: the score decides.
+    assert scores["https://www.newsweek.com/"] == 5
+    unscored = {r["site"] for r in seeds.collect()} - set(scores)
+    assert unscored == {"https://www.forbes.com", "https://www.bloomberg.com"}
+    hosts = {r["host"] for r in dimensions.excluded_hosts(spark).collect()}
+    assert {"arabic.cnn.com", "br.reuters.com"} <= hosts and len(hosts) == 15
+
+
+def test_site_list_keeps_repeats(spark, tmp_path):
+    path = tmp_path / "sites.txt"
+    path.write_text("a.com \nb.com\t\na.com\n")
+    assert rows(dimensions.read_site_list(spark, str(path))) == [("https://a.com",)] * 2 + [("https://b.com",)]
+
+
+# --- scans of article folders
+
+@pytest.fixture
+def raw(tmp_path):
+    root = tmp_path / "raw"
+
+    def write(polarity, body, score):
+        folder = root / polarity
+        folder.mkdir(parents=True, exist_ok=True)
+        data = body if isinstance(body, bytes) else body.encode()
+        name = hashlib.sha1(data).hexdigest() + ("" if score is None else f"_{score}")
+        (folder / name).write_bytes(data)
+        return name
+
+    names = {
+        "good": write("pos", "line one\nline two\r\n", 10),
+        "bad": write("pos", b"\xff\xfeb", 7),
+        "neg": write("neg", "a token b", 1),
+        "nameless": write("neg", "no score", None),
+    }
+    return str(root), names
+
+
+def test_labelled_scan_skips_what_fails(spark, raw):
+    root, names = raw
+    got = {r["name"]: r for r in scans.read_labelled(spark, root).collect()}
+    assert set(got) == {names["good"], names["neg"]}
+    assert got[names["good"]]["sentence"] == "line one\nline two\r\n"
+    assert (got[names["good"]]["sentiment"], got[names["good"]]["polarity"]) == (10, 1)
+    assert (got[names["neg"]]["sentiment"], got[names["neg"]]["polarity"]) == (1, 0)
+
+
+def test_load_counts(spark, raw):
+    counts = tally.load_counts(scans.with_load_status(scans.scan_files(spark, raw[0])))
+    assert rows(counts.select("polarity", "success", "fails", "empty")) == [(0, 1, 1, 0), (1, 1, 1, 1)]
+
+
+def test_unreadable_file_is_an_empty_article(spark, raw):
+    got = {r["name"]: r["text"] for r in scans.article_files(scans.scan_files(spark, raw[0])).collect()}
+    assert got[raw[1]["bad"]] == "" and len(got) == 4
+
+
+def test_missing_folder_is_no_rows(spark, tmp_path):
+    (tmp_path / "neg").mkdir()
+    (tmp_path / "neg" / "x_1").write_text("only negative")
+    assert [r["polarity"] for r in scans.read_labelled(spark, str(tmp_path)).collect()] == [0]
+
+
+def test_build_cleans_merges_and_can_run_again(spark, raw, tmp_path):
+    listed = tmp_path / "listed"
+    (listed / "neg").mkdir(parents=True)
+    (listed / "pos").mkdir()
+    same = hashlib.sha1(b"a token b").hexdigest()
+    (listed / "neg" / f"{same}_1").write_text("a token b")
+    (listed / "neg" / "other_1").write_text("other")
+    (listed / "pos" / "never_9").write_text("left out")
+    out = str(tmp_path / "processed")
+    for _ in range(2):
+        counts = build.build_corpora(spark, {"known": raw[0], "listed": str(listed)}, out)
+        assert rows(counts) == [("known", 0, 2), ("known", 1, 2), ("listed", 0, 2), ("listed", 1, 1)]
+    processed = spark.read.parquet(out)
+    texts = {r["name"]: r["text"] for r in processed.collect()}
+    assert texts[raw[1]["good"]] == "line oneline two" and texts[raw[1]["neg"]] == "ab"
+    whole = build.combined(processed)
+    assert rows(whole.groupBy("corpus", "polarity").count()) == [("known", 0, 2), ("known", 1, 2), ("listed", 0, 1)]
+    assert "never_9" not in {r["name"] for r in whole.collect()}
+
+
+def test_sink_partitions_are_pruned(spark, tmp_path):
+    df = spark.createDataFrame(
+        [("k", "s", "u", "t", 1, 0, "known"), ("k2", "s", "u2", "t2", 9, 1, "listed")], schemas.ARTICLES
+    )
+    articles.write_articles(df, str(tmp_path / "out"))
+    assert sorted(os.listdir(tmp_path / "out"))[-2:] == ["corpus=known", "corpus=listed"]
+    stored = articles.read_articles(spark, str(tmp_path / "out")).filter("polarity = 0 and corpus = 'known'")
+    assert [r["sha1"] for r in stored.collect()] == ["k"]
+    assert "PartitionFilters: [isnotnull(polarity" in plan(stored)
+
+
+# --- ingest
+
+def pages(spark, *data):
+    return spark.createDataFrame(list(data), schemas.PAGES)
+
+
+def test_collect_known(spark):
+    long, short = "<p>" + "word " * 60 + "</p>", "<p>word</p>"
+    stored = pages(
+        spark,
+        ("http://reuters.com", "http://www.reuters.com/a", long),
+        ("http://reuters.com", "http://fr.reuters.com/a", long),
+        ("http://reuters.com", "http://br.reuters.com/a", long),
+        ("http://reuters.com", "http://www.reuters.com/b", short),
+        ("https://www.forbes.com", "https://www.forbes.com/a", long),
+        ("https://www.newsweek.com/", "https://www.newsweek.com/a", long),
+    )
+    found = collect.known_articles(stored, dimensions.excluded_hosts(spark), dimensions.site_scores(spark))
+    assert found.columns == schemas.ARTICLES.names
+    got = {r["url"]: r for r in found.collect()}
+    assert set(got) == {"http://www.reuters.com/a", "https://www.newsweek.com/a"}
+    first = got["http://www.reuters.com/a"]
+    assert (first["sentiment"], first["polarity"], first["corpus"]) == (10, 1, "known")
+    assert first["sha1"] == hashlib.sha1(first["text"].encode()).hexdigest()
+    assert got["https://www.newsweek.com/a"]["polarity"] == 0
+    text = plan(found)
+    assert text.count("regexp_replace") == 2, "the page text is extracted once per page"
+    assert "SortMergeJoin" not in text and text.count("BroadcastHashJoin") == 2
+
+
+def test_collect_listed(spark):
+    found = collect.listed_articles(
+        pages(spark, ("s", "https://s/a", "x" * 1000), ("s", "https://s/b", "x" * 999))
+    ).collect()
+    assert [(r["url"], r["sentiment"], r["polarity"], r["corpus"]) for r in found] == [("https://s/a", 1, 0, "listed")]
+
+
+def test_page_without_host_is_not_excluded(spark):
+    df = ingest.with_host(spark.createDataFrame([("not a url",), ("http://x/a",)], "url string"))
+    hosts = dimensions.host_table(spark, ["x"])
+    assert [r["url"] for r in ingest.drop_excluded(df, hosts).collect()] == ["not a url"]
+
+
+def test_drop_seen_reads_only_the_key_of_the_history(spark, tmp_path):
+    spark.createDataFrame([("a", "long text"), ("a", "again")], "url string, text string").write.parquet(
+        str(tmp_path / "seen")
+    )
+    new = spark.createDataFrame([("a",), ("b",), ("b",)], "url string")
+    left = ingest.drop_seen(new, spark.read.parquet(str(tmp_path / "seen")))
+    assert rows(left) == [("b",), ("b",)]
+    assert "ReadSchema: struct<url:string>" in plan(left)
+
+
+def test_stream_takes_each_url_once(spark, tmp_path):
+    source, out, checkpoint = (str(tmp_path / n) for n in ("pages", "articles", "checkpoint"))
+
+    def add(*urls):
+        pages(spark, *[("s", u, "x" * 1200) for u in urls]).write.mode("append").parquet(source)
+
+    def run():
+        stream = spark.readStream.schema(schemas.PAGES).parquet(source)
+        query = incremental.ingest_stream(stream, collect.listed_articles, out, checkpoint)
+        assert query.awaitTermination(120)
+        return sorted(r["url"] for r in spark.read.parquet(out).collect())
+
+    add("https://s/1", "https://s/2")
+    assert run() == ["https://s/1", "https://s/2"]
+    add("https://s/2", "https://s/3")
+    assert run() == ["https://s/1", "https://s/2", "https://s/3"]
+    assert run() == ["https://s/1", "https://s/2", "https://s/3"]
+
+
+# --- labels
+
+def test_unscored_sites_are_reported(spark):
+    df = spark.createDataFrame([("https://www.forbes.com",)] * 3 + [("http://reuters.com",)], "site string")
+    assert rows(label.unscored_sites(df, dimensions.site_scores(spark))) == [("https://www.forbes.com", 3)]
+
+
+def test_label_index_and_name(spark):
+    df = spark.createDataFrame([(0,), (10,), (11,), (None,)], "label int")
+    got = df.select(label.label_index("label", list(range(11))).alias("i")).collect()
+    assert [r["i"] for r in got] == [0, 10, None, None]
+    names = spark.createDataFrame([(0,), (1,), (2,)], "i int").select(label.label_name("i").alias("n")).collect()
+    assert [r["n"] for r in names] == ["Negative", "Positive", None]
+
+
+def test_examples_take_either_label(spark):
+    df = spark.createDataFrame([("s", 7, 1)], schemas.LABELLED)
+    for column, value in (("sentiment", 7), ("polarity", 1)):
+        assert label.as_examples(df, label=column).collect() == [("s", None, value)]
+
+
+# --- tallies
+
+def test_reasons_in_pipeline_order(spark):
+    long = " ".join("w" * 60)
+    data = [
+        ("a", "bad", None), ("a", "h", None), ("a", None, long), ("a", "h", "short"),
+        ("u", "h", "short"), ("u", "h", long), ("a", "h", long),
+    ]
+    found = spark.createDataFrame(data, "site string, host string, text string")
+    reasons = tally.reason_counts(
+        found, dimensions.host_table(spark, ["bad", "bad"]), dimensions.score_table(spark, {"a": 3})
+    )
+    assert rows(reasons) == [
+        ("a", "excluded", 1), ("a", "failed", 2), ("a", "kept", 1), ("a", "too_short", 1),
+        ("u", "too_short", 1), ("u", "unscored", 1),
+    ]
+    assert rows(tally.site_counts(reasons)) == [("a", 5, 1), ("u", 2, 0)]
+    total = tally.site_rollup(reasons).filter("is_total = 1").collect()
+    assert [tuple(r) for r in total] == [(None, 7, 1, 1)]
+    assert sum(r["found"] for r in tally.site_counts(reasons).collect()) == found.count()
+
+
+def test_corpus_counts(spark):
+    df = spark.createDataFrame([("known", 1), ("known", 0), ("listed", 0)], "corpus string, polarity int")
+    assert rows(tally.polarity_counts(df)) == [("known", 0, 1), ("known", 1, 1), ("listed", 0, 1)]
+    assert rows(tally.corpus_counts(df)) == [("known", 2), ("listed", 1)]
+
+
+# --- merging
+
+COPIES = [
+    (1, "known", "k1", 5, 0, "text one"), (2, "known", "k1", 5, 0, "text one"),
+    (3, "known", "k1", 7, 1, "text one"), (1, "listed", "k1", 5, 0, "text one"),
+    (4, "listed", "k2", 1, 0, "text two"), (5, "listed", "k3", 9, 1, "text three"),
+]
+COPY_SCHEMA = "id int, corpus string, sha1 string, sentiment int, polarity int, text string"
+
+
+@pytest.mark.parametrize("columns", [["*"], ["id", "corpus", "sha1", "sentiment", "polarity"]])
+def test_combined_corpus(spark, columns):
+    df = spark.createDataFrame(COPIES, COPY_SCHEMA).select(*columns)
+    known, listed = df.filter("corpus = 'known'"), df.filter("corpus = 'listed'")
+    once = merge.combine_corpora(known, listed, ["corpus", "id"])
+    assert once.columns == df.columns or set(once.columns) == set(df.columns)
+    got = rows(once.select("corpus", "id", "sha1", "sentiment"))
+    assert got == [("known", 1, "k1", 5), ("known", 3, "k1", 7), ("listed", 4, "k2", 1)]
+    # Merging the result with itself changes nothing.
+    again = merge.combine_corpora(once, once.filter("corpus = 'listed'").limit(0), ["corpus", "id"])
+    assert rows(again.select("corpus", "id", "sha1", "sentiment")) == got
+
+
+def test_text_is_not_aggregated(spark, tmp_path):
+    spark.createDataFrame(COPIES, COPY_SCHEMA).write.parquet(str(tmp_path / "copies"))
+    df = spark.read.parquet(str(tmp_path / "copies"))
+    wide = merge.dedupe_exact(df.filter("corpus = 'known'"), ["id"])
+    assert rows(wide.select("id", "text")) == [(1, "text one"), (3, "text one")]
+    text = plan(wide)
+    assert text.count("text#") and "Join" in text
+    for line in text.splitlines():
+        if "Aggregate" in line:
+            assert "text#" not in line
+
+
+def test_narrow_dedupe_needs_one_shuffle(spark, tmp_path):
+    spark.createDataFrame(COPIES, COPY_SCHEMA).write.parquet(str(tmp_path / "copies"))
+    df = spark.read.parquet(str(tmp_path / "copies")).select("id", "sha1", "sentiment")
+    text = plan(merge.dedupe_exact(df, ["id"]))
+    assert text.count("Exchange") == 1 and "Join" not in text and "SortAggregate" not in text
+
+
+def test_hot_copy_group(spark):
+    """A third of all rows are copies of one text."""
+    n = 30_000
+    hot = F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id"))
+    df = spark.range(n, numPartitions=8).select(
+        "id", keys.content_key(hot.cast("string")).alias("sha1"), F.lit(1).alias("sentiment")
+    )
+    one = merge.dedupe_exact(df, ["id"])
+    assert one.count() == n - n // 3 + 1
+    assert one.agg(F.min("id")).first()[0] == 0
+
+
+def test_concat_labelled(spark):
+    df = spark.createDataFrame([("a",)], "sentence string")
+    assert rows(merge.concat_labelled(df, df)) == [("a", 0), ("a", 1)]
+
+
+# --- profile
+
+def test_token_frequency(spark):
+    df = spark.createDataFrame([("B a  b\n",), ("c A b",), ("",), (None,)], "text string")
+    counted = profile.by_count(profile.token_frequency(df)).collect()
+    assert [tuple(r) for r in counted] == [("c", 1), ("a", 2), ("b", 3)]
