@@ -27,6 +27,15 @@ def drop_seen(candidates: DataFrame, seen: DataFrame, key: str = "url") -> DataF
     return candidates.join(seen.select(key).distinct(), key, "left_anti")
 
 
+def one_per_key(candidates: DataFrame, key: str = "url", prefer: str = "sha1") -> DataFrame:
+    """One candidate per key, the one with the lowest ``prefer``, so that a re-run task
+    picks the same one. Repeats are combined on the map side, and the partitioning by
+    key serves ``drop_seen`` too."""
+    others = [c for c in candidates.columns if c not in (key, prefer)]
+    lowest = F.min(F.struct(prefer, *others)).alias("lowest")
+    return candidates.groupBy(key).agg(lowest).select(key, "lowest.*").select(*candidates.columns)
+
+
 def extract_text(pages: DataFrame, html: str = "html") -> DataFrame:
     """Replaces the HTML column with ``text``, the visible text.
 

@@ -227,7 +227,8 @@ def incremental_append(spark, d):
     """Blog pages are stored by a first run; the second run offers all pages."""
     path = shared_folder(spark)
     pages = _pages(spark, d).select(
-        "page_id", "url", "host", F.lit("known").alias("corpus"), F.lit(1).alias("polarity")
+        "page_id", "url", "host", keys.content_key("html").alias("sha1"),
+        F.lit("known").alias("corpus"), F.lit(1).alias("polarity"),
     )
     incremental.append_unseen(pages.filter(F.col("host").startswith("blog.")), path)
     incremental.append_unseen(pages, path)

@@ -20,13 +20,14 @@ def _stored_urls(spark, path: str) -> DataFrame | None:
 
 
 def append_unseen(candidates: DataFrame, path: str) -> None:
-    """Append candidates whose URL ``path`` does not hold; running it again adds nothing.
+    """Append one article per URL that ``path`` does not hold; running it again adds nothing.
 
     Only the URL column of the stored table is read, and the new texts are shuffled
-    by URL against it; the stored texts stay where they are.
+    by URL once; the stored texts stay where they are.
     """
+    once = ingest.one_per_key(candidates)
     seen = _stored_urls(candidates.sparkSession, path)
-    new = candidates if seen is None else ingest.drop_seen(candidates, seen)
+    new = once if seen is None else ingest.drop_seen(once, seen)
     articles.write_articles(new, path, mode="append")
 
 

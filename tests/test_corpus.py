@@ -188,7 +188,7 @@ def test_stream_takes_each_url_once(spark, tmp_path):
         assert query.awaitTermination(120)
         return sorted(r["url"] for r in spark.read.parquet(out).collect())
 
-    add("https://s/1", "https://s/2")
+    add("https://s/1", "https://s/2", "https://s/1")
     assert run() == ["https://s/1", "https://s/2"]
     add("https://s/2", "https://s/3")
     assert run() == ["https://s/1", "https://s/2", "https://s/3"]
@@ -309,3 +309,49 @@ def test_token_frequency(spark):
     df = spark.createDataFrame([("B a  b\n",), ("c A b",), ("",), (None,)], "text string")
     counted = profile.by_count(profile.token_frequency(df)).collect()
     assert [tuple(r) for r in counted] == [("c", 1), ("a", 2), ("b", 3)]
+
+
+# --- schemas and the command line
+
+def shape(schema):
+    return [(f.name, f.dataType.simpleString()) for f in schema]
+
+
+def test_outputs_have_the_declared_schemas(spark):
+    from credence.operators import encode
+
+    df = spark.createDataFrame([(1, "a b", 3)], "id int, text_a string, label_id int")
+    counts = profile.token_frequency(df, "text_a")
+    vocab = encode.vocabulary(counts, 5)
+    features = encode.encode_single(df, vocab, 4, keep=("label_id",)).select(*schemas.FEATURES.names)
+    assert shape(counts.schema) == shape(schemas.TOKEN_COUNTS)
+    assert shape(vocab.schema) == shape(schemas.VOCABULARY)
+    assert shape(features.schema) == shape(schemas.FEATURES)
+    found = collect.listed_articles(pages(spark, ("s", "https://s/a", "x" * 1000)))
+    assert shape(found.schema) == shape(schemas.ARTICLES)
+    files = spark.createDataFrame([("pos", "k_3", "t")], "folder string, name string, value string")
+    assert shape(scans.labelled(files).drop("name").schema) == shape(schemas.LABELLED)
+    examples = label.as_examples(scans.labelled(files))
+    assert shape(examples.schema) == shape(schemas.EXAMPLES)
+
+
+def test_command_line(spark, raw, tmp_path, capsys):
+    from credence.__main__ import main
+
+    listed = tmp_path / "listed"
+    (listed / "neg").mkdir(parents=True)
+    (listed / "neg" / "z_1").write_text("b b token B c")
+    processed, counts = str(tmp_path / "processed"), str(tmp_path / "counts")
+    main(["build", raw[0], str(listed), processed])
+    main(["frequency", processed, counts])
+    got = {r["token"]: r["count"] for r in spark.read.parquet(counts).collect()}
+    # Known: "ab", "no score"; listed: "b bB c" (the word "token" went with its spaces).
+    assert got == {"ab": 1, "no": 1, "score": 1, "b": 1, "bb": 1, "c": 1}
+
+    stored, out = str(tmp_path / "pages"), str(tmp_path / "articles")
+    pages(
+        spark, ("https://a.com", "https://a.com/1", "x" * 1200), ("https://b.com", "https://b.com/1", "x" * 1300)
+    ).write.parquet(stored)
+    (tmp_path / "sites.txt").write_text("a.com\na.com\n")
+    main(["collect", stored, out, "--listed", str(tmp_path / "sites.txt")])
+    assert [r["url"] for r in spark.read.parquet(out).collect()] == ["https://a.com/1"]

@@ -1,0 +1,45 @@
+"""Every registered query beside its SQL, and the entry point."""
+
+import os
+
+import pytest
+
+import __spark_entry__ as entry_point
+from tests import compare
+
+SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+QUERIES, ORACLES = entry_point.queries(), entry_point.oracle_sql()
+ROWS_ONLY = {"train_softmax", "train_evaluate", "predict_batch"}
+
+
+@pytest.fixture(scope="module")
+def db():
+    return compare.connect(SF_DIR)
+
+
+def test_every_query_has_sql_but_the_trained_ones():
+    assert set(QUERIES) - set(ORACLES) == ROWS_ONLY
+    assert set(ORACLES) <= set(QUERIES)
+
+
+def test_entry(spark):
+    assert entry_point.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_matches_sql(spark, db, name):
+    assert compare.difference(QUERIES[name](spark, SF_DIR), db, ORACLES[name]) is None
+
+
+@pytest.mark.parametrize("name", sorted(ROWS_ONLY))
+def test_trained_queries_run(spark, name):
+    got = QUERIES[name](spark, SF_DIR)
+    assert got.columns and got.count() >= 0
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - ROWS_ONLY))
+def test_no_query_pairs_everything_with_everything(spark, name):
+    text = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+    if name not in ("encode_subword", "linear_head", "cross_entropy", "mean_loss", "confusion"):
+        assert "Python" not in text
