@@ -78,7 +78,8 @@ def strip_boilerplate(
     source = _col(text)
     if not words:
         return source
-    patterns = [rf"(?U){_SPACE}\Q{word}\E{_SPACE}" for word in words]
+    quoted = [word.replace(r"\E", r"\E\\E\Q") for word in words]
+    patterns = [rf"(?U){_SPACE}\Q{word}\E{_SPACE}" for word in quoted]
     stripped = reduce(lambda c, p: F.regexp_replace(c, F.lit(p), F.lit("")), patterns, source)
     # The first deletion needs one of the words in the raw text; a byte search for them
     # spares most texts the regex passes.
@@ -118,21 +119,26 @@ def tokens(text: Column | str) -> Column:
     return F.filter(split_words(text), lambda piece: piece != "")
 
 
-def first_tokens(text: Column | str, n: int) -> Column:
-    """The first ``n`` tokens; equal to slicing ``tokens(text)`` but the regex stops there.
-
-    The possessive quantifiers rule out backtracking on long texts.
-    """
+def lead_text(text: Column | str, n: int) -> Column:
+    """The first ``n`` tokens as they stand, from the first one's start to the last one's
+    end; '' where there is none. Possessive quantifiers rule out backtracking."""
     if n <= 0:
-        return F.array().cast("array<string>")
-    lead = F.regexp_extract(_col(text), rf"(?U)^(?:{_SPACE}*+{_NOT_SPACE}++){{0,{n}}}+", 0)
-    return tokens(lead)
+        return F.lit("")
+    return F.regexp_extract(
+        _col(text), rf"(?U)^{_SPACE}*+({_NOT_SPACE}++(?:{_SPACE}++{_NOT_SPACE}++){{0,{n - 1}}}+)", 1
+    )
+
+
+def first_tokens(text: Column | str, n: int) -> Column:
+    """The first ``n`` tokens; equal to slicing ``tokens(text)`` but the regex stops there."""
+    lead = lead_text(text, n)
+    return F.when(lead == "", F.array().cast("array<string>")).otherwise(split_words(lead))
 
 
 def token_count(text: Column | str, at_most: int) -> Column:
-    """Size of ``first_tokens(text, at_most)``, without building the array."""
-    lead = F.regexp_extract(_col(text), rf"(?U)^(?:{_SPACE}*+{_NOT_SPACE}++){{0,{at_most}}}+", 0)
-    return F.regexp_count(lead, F.lit(rf"(?U){_NOT_SPACE}++"))
+    """Size of ``first_tokens(text, at_most)``."""
+    lead = lead_text(text, at_most)
+    return F.when(lead == "", 0).otherwise(F.size(F.split(lead, rf"(?U){_SPACE}+")))
 
 
 def squeeze_spaces(text: Column | str) -> Column:
@@ -145,6 +151,12 @@ def decode_or_empty(raw: Column | str) -> Column:
     return F.coalesce(F.try_validate_utf8(_col(raw)), F.lit(""))
 
 
+def universal_newlines(text: Column | str) -> Column:
+    """CR LF and CR as LF, as text files are read."""
+    lf = F.lit("\n")
+    return F.replace(F.replace(_col(text), F.lit("\r\n"), lf), F.lit("\r"), lf)
+
+
 def html_text(html: Column | str) -> Column:
     """Visible text of a page: head, scripts, styles, navigation, comments and tags go."""
     bare = F.regexp_replace(_col(html), _HTML_DROPPED, " ")

@@ -78,7 +78,7 @@ def encode_subword(
 
         def document(words):
             ids = []
-            for word in words if words is not None else ():
+            for word in (words or "").split():
                 ids.extend(remembered(word))
                 if len(ids) >= budget:
                     break
@@ -87,6 +87,6 @@ def encode_subword(
         for batch in batches:
             yield batch.map(document)
 
-    ids = examples.select(id, *keep, to_ids(text.first_tokens(text_a, budget)).alias("ids"))
+    ids = examples.select(id, *keep, to_ids(F.lower(text.lead_text(text_a, budget))).alias("ids"))
     n_a = F.size("ids")
     return ids.select(id, *keep, *encode.assemble(F.col("ids"), n_a, F.lit(0), max_len))

@@ -203,7 +203,8 @@ ORACLES: dict[str, str] = {
     "site_union": f"""SELECT DISTINCT source AS site,
         CASE WHEN source IN ({LISTED}) THEN 'listed' ELSE 'known' END AS grp FROM documents""",
     "text_scan": f"""WITH {FILES} SELECT name, sha1, sentiment, polarity,
-        sha1(CASE WHEN lang = 'de' THEN '' ELSE text END) AS text_sha1 FROM files""",
+        sha1(CASE WHEN lang = 'de' THEN ''
+          ELSE replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) END) AS text_sha1 FROM files""",
     "labelled_scan": f"""WITH {FILES} SELECT name, sentiment, polarity, sha1(text) AS sentence_sha1
         FROM files WHERE lang NOT IN ('de', 'es')""",
     "page_text": f"SELECT page_id, {PAGE_TEXT} AS text FROM pages",
@@ -220,6 +221,7 @@ ORACLES: dict[str, str] = {
     "clean_corpus_job": f"""WITH {CORPORA} SELECT corpus, polarity, count(*) AS "count",
         CAST(sum(length({CLEANED})) AS BIGINT) AS chars FROM corpora GROUP BY corpus, polarity""",
     "incremental_append": "SELECT page_id, url FROM pages",
+    "tokenize": f"SELECT doc_id, array_to_string({tokens('text')}, ' ') AS tokens FROM documents",
     "host_extract": "SELECT page_id, split_part(url, '/', 3) AS host FROM pages",
     "host_exclude": f"WITH {HOSTS} SELECT page_id, host FROM p WHERE host NOT IN (SELECT host FROM excluded)",
     "seen_url_anti": f"""WITH {PAGES} SELECT page_id, url FROM p

@@ -13,8 +13,10 @@ from ..functions import text
 from ..operators import evaluate, label, model, sample
 
 
-def labelled_examples(labelled: DataFrame, label_column: str, label_list: Sequence[int], key: str) -> DataFrame:
-    examples = label.as_examples(labelled, "sentence", label_column, keep=(key,))
+def labelled_examples(
+    labelled: DataFrame, label_column: str, label_list: Sequence[int], *keep: str
+) -> DataFrame:
+    examples = label.as_examples(labelled, "sentence", label_column, keep=keep)
     return model.with_label_id(examples, label_list)
 
 
@@ -28,6 +30,25 @@ def split_sample(
     return labelled.sparkSession.read.schema(drawn.schema).parquet(path)
 
 
+def train_on(
+    parts: DataFrame,
+    key: str,
+    label_column: str,
+    label_list: Sequence[int],
+    token_limit: int | None = None,
+    num_features: int = 1 << 16,
+    max_iter: int = 50,
+) -> tuple[PipelineModel, DataFrame]:
+    """Fits on the ``train`` rows of a split sample and judges the others."""
+    examples = model.with_tokens(
+        labelled_examples(parts, label_column, label_list, key, "split"), token_limit=token_limit
+    )
+    training = examples.filter((F.col("split") == "train") & F.col("label_id").isNotNull())
+    fitted = model.text_pipeline(num_features, max_iter).fit(training)
+    judged = model.predict(fitted, examples.filter(F.col("split") != "train"), label_list)
+    return fitted, judged.select(key, "split", "label", "label_id", "log_probs", "pred", "pred_id")
+
+
 def train_and_evaluate(
     labelled: DataFrame,
     key: str = "name",
@@ -46,36 +67,36 @@ def train_and_evaluate(
     sample only, whatever the size of the corpus.
     """
     parts = split_sample(labelled, key, n, slices or sample.DEFAULT_SLICES, seed)
-    examples = model.with_tokens(
-        labelled_examples(parts.filter(F.col("split") == "train"), label_column, label_list, key),
-        token_limit=token_limit,
-    )
-    fitted = model.text_pipeline(num_features, max_iter).fit(examples.filter("label_id is not null"))
-    held_out = model.with_label_id(
-        model.with_tokens(
-            parts.filter(F.col("split") != "train").select(
-                key, "split", F.col("sentence").alias("text_a"), F.col(label_column).alias("label")
-            ),
-            token_limit=token_limit,
-        ),
-        label_list,
-    )
-    judged = model.predict(fitted, held_out, label_list)
-    return fitted, judged.select(key, "split", "label", "label_id", "log_probs", "pred", "pred_id")
+    return train_on(parts, key, label_column, label_list, token_limit, num_features, max_iter)
+
 
+def run_variants(
+    labelled: DataFrame,
+    key: str,
+    n: int,
+    slices: dict[str, tuple[int, int]],
+    seed: int = 7,
+    grid: Sequence[dict] | None = None,
+    num_features: int = 1 << 16,
+    max_iter: int = 50,
+) -> list[dict]:
+    """One training run per variant; each gives its variant, accuracy and mean loss on dev.
 
-def run_variants(labelled: DataFrame, key: str, n: int, slices: dict[str, tuple[int, int]], seed: int = 7,
-                 grid: Sequence[dict] | None = None, max_iter: int = 50) -> list[dict]:
-    """One training run per variant; each returns its variant, accuracy and mean loss on dev."""
+    The corpus is read once per kind of corpora, for the sample; the runs share it.
+    """
+    chosen = model.variants() if grid is None else list(grid)
+    parts = {}
+    for corpora in {v["corpora"] for v in chosen}:
+        rows = labelled if corpora == "combined" else labelled.filter(F.col("corpus") == "known")
+        parts[corpora] = split_sample(rows, key, n, slices, seed)
     results = []
-    for variant in model.variants() if grid is None else grid:
-        rows = labelled if variant["corpora"] == "combined" else labelled.filter(F.col("corpus") == "known")
+    for variant in chosen:
+        rows = parts[variant["corpora"]]
         if variant["spaces"] == "stripped":
             rows = rows.withColumn("sentence", text.strip_control("sentence"))
         labels = tuple(range(11)) if variant["label_kind"] == "sentiment" else (0, 1)
-        _, judged = train_and_evaluate(
-            rows, key, variant["label_kind"], labels, n, slices, seed, variant["token_limit"] - 2,
-            max_iter=max_iter,
+        _, judged = train_on(
+            rows, key, variant["label_kind"], labels, variant["token_limit"] - 2, num_features, max_iter
         )
         dev = evaluate.split_measures(judged.filter(F.col("split") == "dev")).first()
         results.append({**variant, "accuracy": dev and dev["accuracy"], "loss": dev and dev["loss"]})

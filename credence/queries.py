@@ -237,6 +237,10 @@ def incremental_append(spark, d):
 
 # --- projections, filters, scalar functions, joins ---------------------------------
 
+def tokenize(spark, d):
+    return _documents(spark, d).select("doc_id", F.array_join(text.tokens("text"), " ").alias("tokens"))
+
+
 def host_extract(spark, d):
     return _pages(spark, d).select("page_id", "host")
 
@@ -538,11 +542,23 @@ def predict_batch(spark, d):
     )
 
 
+def variant_runs(spark, d):
+    """Both label kinds on both kinds of corpora, trained and judged on the dev slice."""
+    rows = _corpora(spark, d).select("doc_id", F.col("text").alias("sentence"), "sentiment", "polarity", "corpus")
+    grid = [v for v in model.variants() if v["spaces"] == "raw" and v["token_limit"] == 128]
+    results = train.run_variants(
+        rows, "doc_id", 700, {"train": (0, 600), "dev": (601, 650)}, SEED, grid, 1 << 12, 10
+    )
+    return spark.createDataFrame(
+        results, "label_kind string, corpora string, spaces string, token_limit int, accuracy double, loss double"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         kept_articles, site_list, site_union, text_scan, labelled_scan, page_text, collect_known,
-        collect_listed, article_sink, clean_corpus_job, incremental_append, host_extract,
+        collect_listed, article_sink, clean_corpus_job, incremental_append, tokenize, host_extract,
         host_exclude, seen_url_anti, strip_control, strip_literal_token, strip_listed_tokens,
         min_words, min_chars, site_scored, unscored_report, polarity, constant_score, content_key,
         name_roundtrip, hash_split, example_projection, label_index, label_names, drop_reasons,
@@ -552,5 +568,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         encode_quality, encode_pair, subword_vocabulary, encode_subword, linear_head, one_hot,
         cross_entropy, mean_loss, accuracy, binary_counts, prf1, hard_auc, confusion,
         variant_counts, train_softmax, train_evaluate, predict_batch,
+        variant_runs,
     )
 }

@@ -17,9 +17,6 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "256m",
-    # collect_list with one group per document: stay in the hash map for longer
-    # than the default of 128 groups before falling back to sorting.
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "8192",
     "spark.sql.session.timeZone": "UTC",
 }
 

@@ -30,13 +30,16 @@ def scan_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def article_files(files: DataFrame) -> DataFrame:
-    """``name, sha1, sentiment, polarity, text``; an unreadable file is an empty article."""
+    """``name, sha1, sentiment, polarity, text``; an unreadable file is an empty article.
+
+    Line ends are read as LF. The boilerplate passes can tell the difference.
+    """
     return files.select(
         "name",
         F.substring_index("name", "_", 1).alias("sha1"),
         keys.score_of_name("name").alias("sentiment"),
         (F.col("folder") == "pos").cast("int").alias("polarity"),
-        text.decode_or_empty("value").alias("text"),
+        text.universal_newlines(text.decode_or_empty("value")).alias("text"),
     )
 
 

@@ -86,6 +86,13 @@ def test_unreadable_file_is_an_empty_article(spark, raw):
     assert got[raw[1]["bad"]] == "" and len(got) == 4
 
 
+def test_line_ends_count_as_one_space_for_the_boilerplate(spark, tmp_path):
+    (tmp_path / "neg").mkdir()
+    (tmp_path / "neg" / "x_1").write_bytes(b" token\r\ntoken z")
+    cleaned = build.clean_articles(scans.article_files(scans.scan_files(spark, str(tmp_path))))
+    assert cleaned.first()["text"] == "token z"
+
+
 def test_missing_folder_is_no_rows(spark, tmp_path):
     (tmp_path / "neg").mkdir()
     (tmp_path / "neg" / "x_1").write_text("only negative")

@@ -9,7 +9,7 @@ from tests import compare
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 QUERIES, ORACLES = entry_point.queries(), entry_point.oracle_sql()
-ROWS_ONLY = {"train_softmax", "train_evaluate", "predict_batch"}
+ROWS_ONLY = {"train_softmax", "train_evaluate", "predict_batch", "variant_runs"}
 
 
 @pytest.fixture(scope="module")

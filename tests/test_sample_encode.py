@@ -188,6 +188,7 @@ def test_subword_vocabulary_and_encoding(spark):
     assert sorted(pieces) == ["##a", "##ab", "##b", "##c", "a", "ab", "b", "c"]
     assert sorted(pieces.values()) == list(range(4, 12))
     out = {r["id"]: arrays(r) for r in subword.encode_subword(df, pieces, 8).collect()}
+    assert subword.encode_subword(df.limit(0), pieces, 8).count() == 0
     ab, rest, c = pieces["ab"], pieces["##ab"], pieces["c"]
     assert out[1][0] == [2, ab, rest, ab, ab, c, 3, 0]
     assert out[2][0] == out[3][0] == [2, 3, 0, 0, 0, 0, 0, 0]
