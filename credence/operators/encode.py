@@ -19,12 +19,14 @@ from ..functions import text
 
 PAD, UNK, CLS, SEP = 0, 1, 2, 3
 FIRST_TOKEN_ID = 4
+# Longer tokens are never looked up; so a vocabulary of n rows has a bounded size.
+MAX_TOKEN_CHARS = 200
 
 
 def vocabulary(counts: DataFrame, n: int) -> DataFrame:
     """``token, id`` of the ``n`` most frequent tokens; ids follow the special ones."""
     order = [F.col("count").desc(), F.col("token")]
-    top = counts.orderBy(*order).limit(n)
+    top = counts.filter(F.length("token") <= MAX_TOKEN_CHARS).orderBy(*order).limit(n)
     # Unpartitioned, but over the n rows of the limit only.
     rank = F.row_number().over(W.orderBy(*order))
     return top.select("token", (rank + (FIRST_TOKEN_ID - 1)).cast("int").alias("id"))

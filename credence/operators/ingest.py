@@ -20,11 +20,13 @@ def drop_excluded(pages: DataFrame, excluded: DataFrame) -> DataFrame:
 def drop_seen(candidates: DataFrame, seen: DataFrame, key: str = "url") -> DataFrame:
     """Candidates whose key no earlier run has stored.
 
-    Only the key column of the history is read. ``distinct`` combines repeats on the
-    map side under the partitioning the join needs anyway, so a key that fills the
-    history costs one row per task and no second shuffle.
+    The history, of which only the key column is read, is first cut down to the keys
+    on offer. Where Catalyst knows those to be few it broadcasts them, and the history
+    is not shuffled however long it has grown; otherwise both are shuffled by key.
     """
-    return candidates.join(seen.select(key).distinct(), key, "left_anti")
+    offered = candidates.select(key).distinct()
+    stored = seen.select(key).join(offered, key, "left_semi").distinct()
+    return candidates.join(stored, key, "left_anti")
 
 
 def one_per_key(candidates: DataFrame, key: str = "url", prefer: str = "sha1") -> DataFrame:

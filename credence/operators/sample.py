@@ -18,7 +18,7 @@ def shuffle(df: DataFrame, key: str, seed: int) -> DataFrame:
     return df.orderBy(keys.shuffle_key(key, seed), key)
 
 
-def sample_n(df: DataFrame, n: int, key: str, seed: int, digits: int = 4) -> DataFrame:
+def sample_n(df: DataFrame, n: int, key: str, seed: int, digits: int = 5) -> DataFrame:
     """Exactly ``n`` rows without replacement (all of them if there are fewer).
 
     Top-``n`` of the shuffled order. A plain ``orderBy.limit`` would send ``n`` rows

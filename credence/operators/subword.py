@@ -25,6 +25,7 @@ def subword_vocabulary(counts: DataFrame, n: int, min_count: int = 1) -> DataFra
     """``token, id``: the ``n`` most frequent words and every character of the words seen
     ``min_count`` times, each also as a continuation piece. Bounded by ``n`` and the
     alphabet. Both parts read the same aggregate, so Spark computes it once."""
+    counts = counts.filter(F.length("token") <= encode.MAX_TOKEN_CHARS)
     words = encode.vocabulary(counts, n).select("token")
     each = F.transform(F.sequence(F.lit(1), F.length("token")), lambda i: F.substr("token", i, F.lit(1)))
     characters = counts.filter(F.col("count") >= min_count).select(F.explode(F.array_distinct(each)).alias("token"))
@@ -44,11 +45,13 @@ def collect_pieces(vocab: DataFrame, max_size: int = 200_000) -> dict[str, int]:
 
 def splitter(pieces: dict[str, int]) -> Callable[[str], list[int]]:
     """A function from one word to its piece ids, longest match first; the unknown id
-    alone where some part of the word has no piece."""
-    mark, unknown = CONTINUATION, encode.UNK
+    alone where the word is overlong or some part of it has no piece."""
+    mark, unknown, most = CONTINUATION, encode.UNK, encode.MAX_TOKEN_CHARS
     longest = max((len(p) for p in pieces), default=0)
 
     def split(word: str) -> list[int]:
+        if len(word) > most:
+            return [unknown]
         ids, start = [], 0
         while start < len(word):
             prefix = mark if start else ""

@@ -73,7 +73,7 @@ def counts(table: str, where: str = "true") -> str:
 
 VOCABULARY = f"""vocab AS (
   SELECT token, CAST(row_number() OVER (ORDER BY "count" DESC, token) + 3 AS INTEGER) AS id
-  FROM counts QUALIFY row_number() OVER (ORDER BY "count" DESC, token) <= {q.VOCABULARY_SIZE})"""
+  FROM counts WHERE length(token) <= 200 QUALIFY row_number() OVER (ORDER BY "count" DESC, token) <= {q.VOCABULARY_SIZE})"""
 
 L = q.MAX_LEN
 
@@ -120,14 +120,15 @@ laid AS (SELECT pair_id, la, lb, CASE WHEN lb = 0 THEN [2] || ids || [3]
 
 SUBWORDS = f"""{counts('documents')}, {VOCABULARY},
 starts AS (SELECT token FROM vocab UNION
-           SELECT unnest(list_transform(range(1, length(token) + 1), lambda i: substr(token, i, 1))) FROM counts),
+           SELECT unnest(list_transform(range(1, length(token) + 1), lambda i: substr(token, i, 1)))
+           FROM counts WHERE length(token) <= 200),
 pieces AS (SELECT token FROM starts UNION SELECT '##' || token FROM starts),
 sub AS (SELECT token, CAST(row_number() OVER (ORDER BY token) + 3 AS INTEGER) AS id FROM pieces)"""
 
 SEGMENTED = f"""{SUBWORDS},
 tok AS (SELECT doc_id, ({tokens('text')})[1:{L - 2}] AS toks FROM documents),
 lead AS (SELECT doc_id, unnest(toks) AS token, generate_subscripts(toks, 1) AS pos FROM tok),
-words AS (SELECT DISTINCT token AS word FROM lead),
+words AS (SELECT DISTINCT token AS word FROM lead WHERE length(token) <= 200),
 longest AS (SELECT max(length(token)) AS n FROM sub),
 starting AS (SELECT word, unnest(range(1, length(word) + 1)) AS pos FROM words),
 spans AS (SELECT word, pos, unnest(range(1, least(length(word) - pos + 1, n) + 1)) AS len

@@ -29,8 +29,8 @@ def build_session(app_name: str = "credence", **extra: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new path under ``spark.checkpoint.dir``, the folder all executors can reach.
+def shared_folder(spark: SparkSession, name: str | None = None) -> str:
+    """A new path, or the one of that ``name``, under ``spark.checkpoint.dir``, the folder all executors can reach.
 
     Only a local session may lack the setting; it then gets a temporary folder.
     """
@@ -39,4 +39,4 @@ def shared_folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         root = tempfile.mkdtemp(prefix="credence-")
-    return os.path.join(root, f"credence-{uuid.uuid4().hex}")
+    return os.path.join(root, f"credence-{name or uuid.uuid4().hex}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import ingest
+from ..session import shared_folder
 from ..sources import articles
 
 
@@ -22,13 +24,17 @@ def _stored_urls(spark, path: str) -> DataFrame | None:
 def append_unseen(candidates: DataFrame, path: str) -> None:
     """Append one article per URL that ``path`` does not hold; running it again adds nothing.
 
-    Only the URL column of the stored table is read, and the new texts are shuffled
-    by URL once; the stored texts stay where they are.
+    The candidates are written down first (one folder per ``path``, replaced each time):
+    they are prepared once, and their size is known when the history is joined, of
+    which only the URLs are read.
     """
+    spark = candidates.sparkSession
+    staging = shared_folder(spark, f"staging-{hashlib.sha1(path.encode()).hexdigest()}")
     once = ingest.one_per_key(candidates)
-    seen = _stored_urls(candidates.sparkSession, path)
-    new = once if seen is None else ingest.drop_seen(once, seen)
-    articles.write_articles(new, path, mode="append")
+    once.write.mode("overwrite").parquet(staging)
+    staged = spark.read.schema(once.schema).parquet(staging)
+    seen = _stored_urls(spark, path)
+    articles.write_articles(staged if seen is None else ingest.drop_seen(staged, seen), path, mode="append")
 
 
 def ingest_stream(

@@ -180,7 +180,18 @@ def test_drop_seen_reads_only_the_key_of_the_history(spark, tmp_path):
     new = spark.createDataFrame([("a",), ("b",), ("b",)], "url string")
     left = ingest.drop_seen(new, spark.read.parquet(str(tmp_path / "seen")))
     assert rows(left) == [("b",), ("b",)]
-    assert "ReadSchema: struct<url:string>" in plan(left)
+    assert "ReadSchema: struct<url:string>" in plan(left) and "text" not in plan(left)
+
+
+def test_long_history_is_not_shuffled_for_few_candidates(spark, tmp_path):
+    spark.range(300_000).select(F.sha2(F.col("id").cast("string"), 512).alias("url")).write.parquet(str(tmp_path / "seen"))
+    spark.createDataFrame([(f"new{i}",) for i in range(10)], "url string").write.parquet(str(tmp_path / "new"))
+    new, seen = (spark.read.parquet(str(tmp_path / n)) for n in ("new", "seen"))
+    text = plan(ingest.drop_seen(new, seen))
+    scan = next(line for line in text.splitlines() if "FileScan" in line and "/seen]" in line)
+    above = text[:text.index(scan)].splitlines()
+    assert "BroadcastHashJoin" in "".join(above[-4:]) and "LeftSemi" in "".join(above[-4:])
+    assert ingest.drop_seen(new, seen).count() == 10
 
 
 def test_stream_takes_each_url_once(spark, tmp_path):

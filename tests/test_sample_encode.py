@@ -16,7 +16,7 @@ def plan(df):
 # --- samples
 
 @pytest.mark.parametrize("n", [0, 1, 37, 1000, 5000, 6000])
-@pytest.mark.parametrize("digits", [1, 4])
+@pytest.mark.parametrize("digits", [1, 5])
 def test_sample_is_the_head_of_the_shuffled_order(spark, n, digits):
     df = spark.range(5000, numPartitions=6).withColumn("v", F.col("id") * 2)
     drawn = [r["id"] for r in sample.sample_n(df, n, "id", 3, digits).collect()]
@@ -80,6 +80,8 @@ def test_vocabulary_order(spark):
     got = [(r["token"], r["id"]) for r in encode.vocabulary(counts, 3).orderBy("id").collect()]
     assert got == [("a", 4), ("b", 5), ("x", 6)]
     assert encode.vocabulary(counts, 10).count() == 4
+    long = spark.createDataFrame([("x" * 200, 1), ("y" * 201, 9)], schemas.TOKEN_COUNTS)
+    assert [r["token"] for r in encode.vocabulary(long, 10).collect()] == ["x" * 200]
 
 
 def arrays(row):
@@ -177,6 +179,7 @@ def test_greedy_longest_match():
     split = subword.splitter(pieces)
     assert split("unaffable") == [5, 7]
     assert split("unaa") == [4, 9, 9]
+    assert split("a" * 200) == [8] + [9] * 199 and split("a" * 201) == [encode.UNK]
     assert split("unx") == [encode.UNK] and split("") == []
 
 
