@@ -21,10 +21,11 @@ def main(argv: list[str] | None = None) -> None:
     job.add_argument("out")
     job.add_argument("--listed", metavar="SITE_LIST", help="take the sites of this list, least credible")
 
-    job = jobs.add_parser("build", help="raw article folders to the processed table")
+    job = jobs.add_parser("build", help="raw articles to the processed table")
     job.add_argument("known")
     job.add_argument("listed")
     job.add_argument("out")
+    job.add_argument("--tables", action="store_true", help="inputs are tables of collect, not article folders")
     job.add_argument("--mode", choices=("literal", "listed"), default="literal")
 
     job = jobs.add_parser("frequency", help="token counts of a processed table")
@@ -59,11 +60,16 @@ def main(argv: list[str] | None = None) -> None:
             )
         articles.write_articles(found, args.out)
     elif args.job == "build":
-        build.build_corpora(
-            spark, {"known": args.known, "listed": args.listed}, args.out, args.mode
-        ).show()
+        if args.tables:
+            stored = [articles.read_articles(spark, path) for path in (args.known, args.listed)]
+            raw = build.raw_table(stored[0].unionByName(stored[1]))
+        else:
+            raw = build.raw_folders(spark, {"known": args.known, "listed": args.listed})
+        build.build_corpora(raw, args.out, args.mode).show()
     elif args.job == "frequency":
-        chosen = build.combined(spark.read.parquet(args.processed)).filter(F.col("polarity") == args.polarity)
+        # Copies share their polarity, so the other side need not be read at all.
+        side = spark.read.parquet(args.processed).filter(F.col("polarity") == args.polarity)
+        chosen = build.combined(side)
         profile.by_count(profile.token_frequency(chosen)).write.mode("overwrite").parquet(args.out)
     elif args.job == "train":
         rows = build.combined(spark.read.parquet(args.processed)).withColumnRenamed("text", "sentence")

@@ -1,8 +1,9 @@
-"""Raw article folders to cleaned, merged corpora."""
+"""Raw articles to cleaned, merged corpora."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,23 +20,28 @@ def clean_articles(
     return raw.withColumn("text", text.clean("text", mode, tokens))
 
 
-def build_corpora(
-    spark: SparkSession, raw_roots: dict[str, str], out: str, mode: str = "literal"
-) -> DataFrame:
-    """Reads ``{corpus: folder}``, cleans, writes ``out``; returns counts of what was written.
-
-    A second run replaces the first.
-    """
+def raw_folders(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
+    """Raw articles of ``{corpus: folder}``."""
     frames = [
         scans.article_files(scans.scan_files(spark, root)).withColumn("corpus", F.lit(corpus))
-        for corpus, root in raw_roots.items()
+        for corpus, root in roots.items()
     ]
-    raw = frames[0]
-    for frame in frames[1:]:
-        raw = raw.unionByName(frame)
+    return reduce(DataFrame.unionByName, frames)
+
+
+def raw_table(stored: DataFrame) -> DataFrame:
+    """Raw articles of an article table, under the names files would have."""
+    return merge.with_article_name(stored).select("name", "sha1", "sentiment", "polarity", "text", "corpus")
+
+
+def build_corpora(raw: DataFrame, out: str, mode: str = "literal") -> DataFrame:
+    """Cleans raw articles, writes ``out``; returns counts of what was written.
+
+    A second run replaces the first.
+    """
     cleaned = clean_articles(raw, mode)
     articles.write_articles(cleaned, out)
-    return tally.polarity_counts(articles.read_articles(spark, out, cleaned.schema))
+    return tally.polarity_counts(articles.read_articles(raw.sparkSession, out, cleaned.schema))
 
 
 def combined(processed: DataFrame) -> DataFrame:

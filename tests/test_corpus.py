@@ -109,7 +109,7 @@ def test_build_cleans_merges_and_can_run_again(spark, raw, tmp_path):
     (listed / "pos" / "never_9").write_text("left out")
     out = str(tmp_path / "processed")
     for _ in range(2):
-        counts = build.build_corpora(spark, {"known": raw[0], "listed": str(listed)}, out)
+        counts = build.build_corpora(build.raw_folders(spark, {"known": raw[0], "listed": str(listed)}), out)
         assert rows(counts) == [("known", 0, 2), ("known", 1, 2), ("listed", 0, 2), ("listed", 1, 1)]
     processed = spark.read.parquet(out)
     texts = {r["name"]: r["text"] for r in processed.collect()}
@@ -373,3 +373,12 @@ def test_command_line(spark, raw, tmp_path, capsys):
     (tmp_path / "sites.txt").write_text("a.com\na.com\n")
     main(["collect", stored, out, "--listed", str(tmp_path / "sites.txt")])
     assert [r["url"] for r in spark.read.parquet(out).collect()] == ["https://a.com/1"]
+    known = str(tmp_path / "known_articles")
+    articles.write_articles(
+        collect.listed_articles(pages(spark, ("s", "https://s/1", "y token " * 300))).withColumn("corpus", F.lit("known")),
+        known,
+    )
+    main(["build", known, out, processed, "--tables"])
+    got = {(r["corpus"], r["name"].split("_")[1]): r["text"] for r in spark.read.parquet(processed).collect()}
+    assert set(got) == {("known", "1"), ("listed", "1")} and "ytoken" not in got["listed", "1"]
+    assert got["known", "1"].startswith("yyy")

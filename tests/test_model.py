@@ -76,6 +76,26 @@ def labelled(spark):
     )
 
 
+def test_softmax_fit_is_the_maximum_likelihood(spark):
+    """With an intercept, the mean probability of a label at the optimum is its frequency,
+    and the residuals are orthogonal to every feature."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 3))
+    y = (x @ rng.normal(size=(3, 4)) + rng.normal(size=(300, 4))).argmax(axis=1)
+    df = spark.createDataFrame(
+        [([float(v) for v in r], int(k)) for r, k in zip(x, y, strict=True)], "v array<double>, label_id int"
+    )
+    rows = model.with_vector(df, "v")
+    fitted = model.vector_pipeline(max_iter=200).fit(rows)
+    scored = model.predict(fitted, rows, (0, 1, 2, 3)).collect()
+    p = np.exp(np.array([r["log_probs"] for r in scored]))
+    residual = p - np.eye(4)[[r["label_id"] for r in scored]]
+    features = np.array([r["v"] for r in scored])
+    assert np.abs(residual.mean(axis=0)).max() < 1e-3
+    assert np.abs(features.T @ residual / 300).max() < 1e-3
+    assert all(r["pred"] == int(np.argmax(q)) for r, q in zip(scored, p, strict=True))
+
+
 SLICES = {"train": (0, 80), "dev": (81, 100), "test": (101, 119)}
 
 
