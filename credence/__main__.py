@@ -58,7 +58,7 @@ def main(argv: list[str] | None = None) -> None:
             found = collect.known_articles(
                 pages, dimensions.excluded_hosts(spark), dimensions.site_scores(spark)
             )
-        articles.write_articles(found, args.out)
+        collect.store_articles(found, args.out)
     elif args.job == "build":
         if args.tables:
             stored = [articles.read_articles(spark, path) for path in (args.known, args.listed)]

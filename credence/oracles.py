@@ -217,6 +217,10 @@ ORACLES: dict[str, str] = {
         WHERE t.host NOT IN (SELECT host FROM excluded) AND {pieces('text')} >= 50""",
     "collect_listed": f"""SELECT sha1(text) AS sha1, url, 1 AS sentiment, 0 AS polarity, 'listed' AS corpus
         FROM (SELECT url, {PAGE_TEXT} AS text FROM pages) WHERE length(text) >= 1000""",
+    "collect_stored": f"""WITH {PAGES}, t AS (SELECT host AS site, url, {PAGE_TEXT} AS text FROM p)
+        SELECT sha1(text) AS sha1, site, url, 1 AS sentiment, 0 AS polarity, 'listed' AS corpus
+        FROM t WHERE length(text) >= 1000
+        QUALIFY row_number() OVER (PARTITION BY sha1(text) ORDER BY url) = 1""",
     "article_sink": f"""WITH {CORPORA} SELECT doc_id, corpus, sentiment, true AS intact
         FROM corpora WHERE polarity = 0""",
     "clean_corpus_job": f"""WITH {CORPORA} SELECT corpus, polarity, count(*) AS "count",

@@ -1,4 +1,4 @@
-"""Stored pages to scored articles, as one lazy plan."""
+"""Stored pages to scored articles."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import text
-from ..operators import ingest, label
+from ..operators import ingest, label, merge
+from ..sources import articles
 
 
 def _as_articles(scored: DataFrame, corpus: str) -> DataFrame:
@@ -33,3 +34,11 @@ def listed_articles(pages: DataFrame, chars: int = 1000, score: int = 1) -> Data
     """Pages of a listed (not credible) group of sites: all share one score."""
     texts = _texts(pages, text.has_min_chars("text", chars))
     return _as_articles(label.attach_constant_score(texts, score), "listed")
+
+
+def store_articles(found: DataFrame, out: str) -> None:
+    """Writes one article per content key and score; a second run replaces the first.
+
+    The articles are staged, so that picking one copy reads keys, not pages.
+    """
+    articles.write_articles(merge.dedupe_exact(articles.staged(found, out), ["url"]), out)

@@ -8,9 +8,9 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .. import session
 from ..functions import text
 from ..operators import evaluate, label, model, sample
+from ..sources import articles
 
 
 def labelled_examples(
@@ -23,11 +23,9 @@ def labelled_examples(
 def split_sample(
     labelled: DataFrame, key: str, n: int, slices: dict[str, tuple[int, int]], seed: int
 ) -> DataFrame:
-    """The sliced sample, written once and read back, so that no later job redraws it."""
+    """The sliced sample, staged, so that no later job redraws it."""
     drawn = sample.slice_split(sample.sample_n(labelled, n, key, seed), key, slices)
-    path = session.shared_folder(labelled.sparkSession)
-    drawn.write.partitionBy("split").parquet(path)
-    return labelled.sparkSession.read.schema(drawn.schema).parquet(path)
+    return articles.staged(drawn, partition_by=("split",))
 
 
 def train_on(

@@ -204,6 +204,14 @@ def collect_listed(spark, d):
     return collect.listed_articles(pages).select("sha1", "url", "sentiment", "polarity", "corpus")
 
 
+def collect_stored(spark, d):
+    """Listed articles stored one per copy, and read back."""
+    pages = _table(spark, d, "pages").select(keys.host("url").alias("site"), "url", "html")
+    path = shared_folder(spark)
+    collect.store_articles(collect.listed_articles(pages), path)
+    return articles.read_articles(spark, path).select("sha1", "site", "url", "sentiment", "polarity", "corpus")
+
+
 def article_sink(spark, d):
     """Written by corpus and polarity, then read back from the negative side only."""
     path = shared_folder(spark)
@@ -558,7 +566,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         kept_articles, site_list, site_union, text_scan, labelled_scan, page_text, collect_known,
-        collect_listed, article_sink, clean_corpus_job, incremental_append, tokenize, host_extract,
+        collect_listed, collect_stored, article_sink, clean_corpus_job, incremental_append, tokenize, host_extract,
         host_exclude, seen_url_anti, strip_control, strip_literal_token, strip_listed_tokens,
         min_words, min_chars, site_scored, unscored_report, polarity, constant_score, content_key,
         name_roundtrip, hash_split, example_projection, label_index, label_names, drop_reasons,

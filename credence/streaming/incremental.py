@@ -2,39 +2,34 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import ingest
-from ..session import shared_folder
 from ..sources import articles
 
 
-def _stored_urls(spark, path: str) -> DataFrame | None:
+def _stored_urls(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path).select("url")
-    except AnalysisException:
-        return None
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None  # Nothing stored yet.
+        raise
 
 
 def append_unseen(candidates: DataFrame, path: str) -> None:
     """Append one article per URL that ``path`` does not hold; running it again adds nothing.
 
-    The candidates are written down first (one folder per ``path``, replaced each time):
-    they are prepared once, and their size is known when the history is joined, of
-    which only the URLs are read.
+    The candidates are staged: they are prepared once, and their size is known when the
+    history is joined, of which only the URLs are read.
     """
-    spark = candidates.sparkSession
-    staging = shared_folder(spark, f"staging-{hashlib.sha1(path.encode()).hexdigest()}")
-    once = ingest.one_per_key(candidates)
-    once.write.mode("overwrite").parquet(staging)
-    staged = spark.read.schema(once.schema).parquet(staging)
-    seen = _stored_urls(spark, path)
-    articles.write_articles(staged if seen is None else ingest.drop_seen(staged, seen), path, mode="append")
+    offered = articles.staged(ingest.one_per_key(candidates), path)
+    seen = _stored_urls(candidates.sparkSession, path)
+    articles.write_articles(offered if seen is None else ingest.drop_seen(offered, seen), path, mode="append")
 
 
 def ingest_stream(

@@ -167,6 +167,16 @@ def test_collect_listed(spark):
     assert [(r["url"], r["sentiment"], r["polarity"], r["corpus"]) for r in found] == [("https://s/a", 1, 0, "listed")]
 
 
+def test_store_keeps_one_copy_and_can_run_again(spark, tmp_path):
+    found = collect.listed_articles(
+        pages(spark, *[("s", f"https://s/{i}", "copy " * 300) for i in range(5)], ("s", "https://s/x", "own " * 300))
+    )
+    for _ in range(2):
+        collect.store_articles(found, str(tmp_path / "out"))
+        stored = articles.read_articles(spark, str(tmp_path / "out")).collect()
+        assert sorted(r["url"] for r in stored) == ["https://s/0", "https://s/x"]
+
+
 def test_page_without_host_is_not_excluded(spark):
     df = ingest.with_host(spark.createDataFrame([("not a url",), ("http://x/a",)], "url string"))
     hosts = dimensions.host_table(spark, ["x"])
