@@ -26,15 +26,16 @@ BOILERPLATE_TOKENS = (
 # The line-breaking control characters that cleaning deletes.
 CONTROL_CHARACTERS = "\r\n\t"
 
-# One pass over the page: whichever of these starts first goes, whole.
-_HTML_DROPPED = "(?is)" + "|".join((
-    r"<!--.*?-->",
-    r"<head[\s>].*?</head>",
-    r"<script[\s>].*?</script>",
-    r"<style[\s>].*?</style>",
-    r"<nav[\s>].*?</nav>",
-    r"<[^>]*>",
-))
+# One pass over the page: whichever of these starts first goes, whole. The common '<'
+# stands in front, so that most characters are passed over after one comparison.
+_HTML_DROPPED = "(?is)<(?:" + "|".join((
+    r"!--.*?-->",
+    r"head[\s>].*?</head>",
+    r"script[\s>].*?</script>",
+    r"style[\s>].*?</style>",
+    r"nav[\s>].*?</nav>",
+    r"[^>]*>",
+)) + ")"
 
 # The entities HTML itself needs; '&amp;' last, so that '&amp;lt;' reads '&lt;'.
 _HTML_ENTITIES = (

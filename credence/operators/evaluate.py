@@ -61,5 +61,10 @@ def binary_metrics(judged: DataFrame, label: str = "label", pred: str = "pred")
 
 
 def score_auc(scored: DataFrame, score: str = "rawPrediction", label: str = "label") -> float:
-    """AUC of the scores themselves, by Spark ML's evaluator (runs a job)."""
-    return BinaryClassificationEvaluator(rawPredictionCol=score, labelCol=label).evaluate(scored)
+    """AUC of the scores themselves, by Spark ML's evaluator (runs a job).
+
+    Without bins the curve is exact; equal scores are combined before the sort.
+    """
+    return BinaryClassificationEvaluator(
+        rawPredictionCol=score, labelCol=label, metricName="areaUnderROC", numBins=0
+    ).evaluate(scored)

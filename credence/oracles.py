@@ -318,6 +318,11 @@ ORACLES: dict[str, str] = {
         round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 9) AS f1 FROM c""",
     "hard_auc": f"""WITH {JUDGED} SELECT round((coalesce(tp / nullif(tp + fn, 0), 0)
         + coalesce(tn / nullif(tn + fp, 0), 0)) / 2, 9) AS auc FROM c""",
+    "score_auc": """WITH per_score AS (SELECT n_chars, count(*) FILTER (WHERE quality = 1) AS pos,
+          count(*) FILTER (WHERE quality = 0) AS neg
+          FROM documents JOIN labels USING (doc_id) GROUP BY n_chars),
+        below AS (SELECT pos, neg, sum(neg) OVER (ORDER BY n_chars) - neg AS lower FROM per_score)
+        SELECT round(CAST(sum(pos * (lower + neg / 2)) / (sum(pos) * sum(neg)) AS DOUBLE), 9) AS auc FROM below""",
     "confusion": f'WITH {HEAD} SELECT label, pred, count(*) AS "count" FROM head GROUP BY label, pred',
     "variant_counts": f"WITH {_variants()}",
 }

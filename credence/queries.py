@@ -435,7 +435,8 @@ def vocabulary(spark, d):
 
 def _encoded(spark: SparkSession, d: str) -> DataFrame:
     scored = label.attach_score(_documents(spark, d), _scores(spark), keep_unscored=True)
-    examples = scored.select("doc_id", F.col("text").alias("text_a"), label.label_index("sentiment", LABELS).alias("label_id"))
+    label_id = label.label_index("sentiment", LABELS).alias("label_id")
+    examples = scored.select("doc_id", F.col("text").alias("text_a"), label_id)
     return encode.encode_single(examples, _vocabulary(spark, d), MAX_LEN, id="doc_id", keep=("label_id",))
 
 
@@ -509,6 +510,14 @@ def hard_auc(spark, d):
     return _metric(spark, d, "auc")
 
 
+def score_auc(spark, d):
+    """The length itself as the score of a text."""
+    truth = _table(spark, d, "labels").select("doc_id", F.col("quality").alias("label"))
+    sizes = _table(spark, d, "documents").select("doc_id", F.col("n_chars").cast("double").alias("score"))
+    auc = evaluate.score_auc(sizes.join(truth, "doc_id"), "score")
+    return spark.createDataFrame([(round(auc, 9),)], "auc double")
+
+
 def confusion(spark, d):
     return evaluate.confusion(_vector_scores(spark, d))
 
@@ -566,16 +575,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         kept_articles, site_list, site_union, text_scan, labelled_scan, page_text, collect_known,
-        collect_listed, collect_stored, article_sink, clean_corpus_job, incremental_append, tokenize, host_extract,
-        host_exclude, seen_url_anti, strip_control, strip_literal_token, strip_listed_tokens,
-        min_words, min_chars, site_scored, unscored_report, polarity, constant_score, content_key,
-        name_roundtrip, hash_split, example_projection, label_index, label_names, drop_reasons,
-        site_counts, site_rollup, polarity_counts, corpus_counts, load_counts, token_frequency,
-        token_frequency_neg, shuffled, sample_n, split_slices, preview, exact_dedupe, dedupe_texts,
-        cleaned_dedupe, combined_corpus, labelled_concat, vocabulary, encode_single,
-        encode_quality, encode_pair, subword_vocabulary, encode_subword, linear_head, one_hot,
-        cross_entropy, mean_loss, accuracy, binary_counts, prf1, hard_auc, confusion,
-        variant_counts, train_softmax, train_evaluate, predict_batch,
+        collect_listed, collect_stored, article_sink, clean_corpus_job, incremental_append,
+        tokenize, host_extract, host_exclude, seen_url_anti, strip_control, strip_literal_token,
+        strip_listed_tokens, min_words, min_chars, site_scored, unscored_report, polarity,
+        constant_score, content_key, name_roundtrip, hash_split, example_projection, label_index,
+        label_names, drop_reasons, site_counts, site_rollup, polarity_counts, corpus_counts,
+        load_counts, token_frequency, token_frequency_neg, shuffled, sample_n, split_slices,
+        preview, exact_dedupe, dedupe_texts, cleaned_dedupe, combined_corpus, labelled_concat,
+        vocabulary, encode_single, encode_quality, encode_pair, subword_vocabulary, encode_subword,
+        linear_head, one_hot, cross_entropy, mean_loss, accuracy, binary_counts, prf1, hard_auc,
+        score_auc, confusion, variant_counts, train_softmax, train_evaluate, predict_batch,
         variant_runs,
     )
 }
