@@ -160,9 +160,10 @@ _logits = ", ".join(
     for row, bias in zip(q.WEIGHTS, q.BIAS, strict=True)
 )
 HEAD = f"""z AS (SELECT vec_id, label, [{_logits}] AS z FROM embeddings),
-head AS (SELECT vec_id, label, list_transform(z, lambda x: x - list_max(z)
-           - ln(list_sum(list_transform(z, lambda y: exp(y - list_max(z)))))) AS log_probs,
-         CAST(list_position(z, list_max(z)) - 1 AS INTEGER) AS pred FROM z)"""
+logged AS (SELECT vec_id, label, list_transform(z, lambda x: x - list_max(z)
+           - ln(list_sum(list_transform(z, lambda y: exp(y - list_max(z)))))) AS log_probs FROM z),
+head AS (SELECT vec_id, label, log_probs,
+         CAST(list_position(log_probs, list_max(log_probs)) - 1 AS INTEGER) AS pred FROM logged)"""
 
 FILES = f"""{SCORED}, files AS (
   SELECT doc_id, sha1, polarity, lang, text,

@@ -142,7 +142,7 @@ def _vector_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         "vec_id", "label", vectors.linear_logits("embedding", WEIGHTS, BIAS).alias("logits")
     )
     return vectors.with_log_softmax(scored).select(
-        "vec_id", "label", "log_probs", vectors.argmax("logits").alias("pred")
+        "vec_id", "label", "log_probs", vectors.argmax("log_probs").alias("pred")
     )
 
 
