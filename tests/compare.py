@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import math
+import os
 import sys
 import time
 from collections import Counter
@@ -19,7 +20,12 @@ TABLES = (
 def connect(sf_dir: str):
     db = duckdb.connect()
     for table in TABLES:
-        db.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{sf_dir}/{table}.parquet')")
+        path = f"{sf_dir}/{table}.parquet"
+        if os.path.isdir(path):
+            path += "/*.parquet"
+        elif not os.path.exists(path):
+            continue
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{path}')")
     return db
 
 

@@ -1,0 +1,62 @@
+"""Hot groups: a third of all documents are copies of one text from one site, a third of
+all pages come from one host, and the tables have many files."""
+
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry_point
+from tests import compare
+
+SOURCE = "/root/testdata/sf0.001"
+COPIES = 9
+
+
+@pytest.fixture(scope="module")
+def hot(spark, tmp_path_factory):
+    base = str(tmp_path_factory.mktemp("hot"))
+
+    def copies(table):
+        rows = spark.read.parquet(f"{SOURCE}/{table}.parquet").repartition(8)
+        return rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
+
+    is_hot = F.col("copy") % 3 == 0
+    text = spark.read.parquet(f"{SOURCE}/documents.parquet").filter("doc_id = 7").first()["text"]
+    documents = copies("documents").select(
+        (F.col("copy") * 1_000_000 + F.col("doc_id")).cast("bigint").alias("doc_id"),
+        F.when(is_hot, F.lit(text)).otherwise(F.concat("text", F.lit(" c"), "copy")).alias("text"),
+        "lang",
+        F.when(is_hot, "src1").otherwise(F.col("source")).alias("source"),
+        "n_chars",
+    )
+    documents.write.parquet(f"{base}/documents.parquet")
+    pages = copies("pages").select(
+        (F.col("copy") * 1_000_000 + F.col("page_id")).cast("bigint").alias("page_id"),
+        F.when(is_hot, F.concat(F.lit("https://blog.hot.example.com/"), "copy", F.lit("/"), "page_id"))
+        .otherwise(F.concat("url", F.lit("#"), "copy")).alias("url"),
+        "html",
+    )
+    pages.write.parquet(f"{base}/pages.parquet")
+    return base, compare.connect(base)
+
+
+QUERIES = (
+    "kept_articles", "exact_dedupe", "dedupe_texts", "cleaned_dedupe", "combined_corpus",
+    "collect_known", "collect_stored", "incremental_append", "seen_url_anti", "drop_reasons",
+    "site_rollup", "token_frequency", "sample_n", "split_slices", "encode_single", "variant_counts",
+)
+
+
+@pytest.mark.parametrize("broadcasts", [True, False])
+@pytest.mark.parametrize("name", QUERIES)
+def test_hot_groups_match_sql(spark, hot, name, broadcasts):
+    base, db = hot
+    settings = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    if not broadcasts:
+        for key in settings:
+            spark.conf.set(key, "-1")
+    try:
+        query, sql = entry_point.queries()[name], entry_point.oracle_sql()[name]
+        assert compare.difference(query(spark, base), db, sql) is None
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
