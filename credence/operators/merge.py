@@ -15,17 +15,20 @@ TEXT_COLUMNS = ("text", "sentence", "html")
 
 
 def dedupe_exact(
-    articles: DataFrame, row_id: Sequence[str], by: Sequence[str] = ("sha1", "sentiment")
+    articles: DataFrame,
+    row_id: Sequence[str],
+    by: Sequence[str] = ("sha1", "sentiment"),
+    texts: Sequence[str] = TEXT_COLUMNS,
 ) -> DataFrame:
     """One row per ``by``: the one with the lowest ``row_id`` (which must identify a row).
 
-    Without a text column the rows themselves are aggregated: one scan, one shuffle.
+    Without a column of ``texts`` the rows themselves are aggregated: one scan, one shuffle.
     With one, only keys and ids are, and the winners pick their rows by id: ids are
     spread evenly whatever the copies, and a text is shuffled once, or not at all in a
     table bucketed by id. Either way copies are combined on the map side, so a text
     copied into a third of all rows is one row per task.
     """
-    if not set(TEXT_COLUMNS) & set(articles.columns):
+    if not set(texts) & set(articles.columns):
         others = [c for c in articles.columns if c not in by and c not in row_id]
         return _lowest(articles, row_id, by, others).select(*articles.columns)
     winners = _lowest(articles, row_id, by, []).select(*row_id)

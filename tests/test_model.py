@@ -136,3 +136,19 @@ def test_run_variants(spark, labelled):
     results = train.run_variants(labelled, "name", 90, {"train": (0, 60), "dev": (61, 85)}, grid=grid, max_iter=5)
     assert len(results) == 2
     assert all(r["accuracy"] is not None and r["accuracy"] > 0.8 for r in results)
+
+
+def test_command_line_trains_and_predicts(spark, tmp_path):
+    from credence.__main__ import main
+
+    articles = spark.createDataFrame(
+        [(f"k{i}_{9 if i % 2 else 1}", f"k{i}", 9 if i % 2 else 1, i % 2,
+          f"{'calm report' if i % 2 else 'shocking secret'} number {i}", "known") for i in range(120)],
+        "name string, sha1 string, sentiment int, polarity int, text string, corpus string",
+    )
+    articles.write.partitionBy("corpus", "polarity").parquet(str(tmp_path / "processed"))
+    (tmp_path / "sentences.txt").write_text("a calm report\na shocking secret\n")
+    main(["train", str(tmp_path / "processed"), str(tmp_path / "model"), "--label", "polarity"])
+    main(["predict", str(tmp_path / "model"), str(tmp_path / "sentences.txt"), str(tmp_path / "out"), "--label", "polarity"])
+    got = {r["sentence"]: r["label"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {"a calm report": 1, "a shocking secret": 0}
