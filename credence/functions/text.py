@@ -27,12 +27,14 @@ BOILERPLATE_TOKENS = (
 CONTROL_CHARACTERS = "\r\n\t"
 
 # One pass over the page: whichever of these starts first goes, whole. The common '<'
-# stands in front, so that most characters are passed over after one comparison.
+# stands in front, so that most characters are passed over after one comparison. A
+# comment, script or style that is never closed runs to the end, as in a browser; that
+# also keeps a page full of them from being searched to its end time and again.
 _HTML_DROPPED = "(?is)<(?:" + "|".join((
-    r"!--.*?-->",
+    r"!--(?:.*?-->|.*)",
     r"head[\s>].*?</head>",
-    r"script[\s>].*?</script>",
-    r"style[\s>].*?</style>",
+    r"script[\s>](?:.*?</script>|.*)",
+    r"style[\s>](?:.*?</style>|.*)",
     r"nav[\s>].*?</nav>",
     r"[^>]*>",
 )) + ")"

@@ -57,8 +57,8 @@ def strip_words(text: str, words: list[str]) -> str:
 CLEANED = strip_control(strip_words("text", ["token"] * len(BOILERPLATE_TOKENS)))
 
 _dropped = "|".join((
-    r"<!--.*?-->", r"<head[\s>].*?</head>", r"<script[\s>].*?</script>",
-    r"<style[\s>].*?</style>", r"<nav[\s>].*?</nav>", r"<[^>]*>",
+    r"<!--(?:.*?-->|.*)", r"<head[\s>].*?</head>", r"<script[\s>](?:.*?</script>|.*)",
+    r"<style[\s>](?:.*?</style>|.*)", r"<nav[\s>].*?</nav>", r"<[^>]*>",
 ))
 _text = f"regexp_replace(html, '(?is){_dropped}', ' ', 'g')"
 for _entity, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):

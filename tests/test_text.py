@@ -87,6 +87,11 @@ def test_html_text(spark):
     assert values(spark, text.html_text, [page, None, "plain"]) == ["One & two<b> three &lt;", None, "plain"]
 
 
+def test_unclosed_markup_runs_to_the_end(spark):
+    rows = ["a <script>b <p>c", "a <!-- b", "<p>a</p><style x='1'> b", "<head><p>a", "a < b", "x <script " * 50_000]
+    assert values(spark, text.html_text, rows) == ["a", "a", "a", "a", "a < b", "x"]
+
+
 def test_decode_or_empty(spark):
     df = spark.sql("SELECT CAST(unhex('FFFE62') AS STRING) AS value UNION ALL SELECT 'ok'")
     assert sorted(r[0] for r in df.select(text.decode_or_empty("value")).collect()) == ["", "ok"]
