@@ -4,16 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import decontamination, language, tokens
 from .common import table
 from .jaccard import similar_groups
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs, language.read_vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
+    out = language.identify(docs, model)
+    return out.withColumn("held_out", ~language.in_training(out.doc_id)).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = tokens.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
 def op9_shingle_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(table(spark, sf_dir, "documents"))
 
 
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_language_id": op3_language_id,
+    "op7_token_counts": op7_token_counts,
     "op9_shingle_jaccard_join": op9_shingle_jaccard_join,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
