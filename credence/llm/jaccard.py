@@ -16,9 +16,11 @@ One-deletion neighbourhoods. A segment that also indexes its one-deletion varian
 for two differences at the cost of a row per shingle. That pays for the smallest sets
 (under ``TINY`` shingles: at most one difference), whose only segment is the whole set.
 
-Sets with a common signature are candidates. They are kept if enough of their shingles occur
-in another candidate at all, then compared exactly, first against the least member of each
-signature, then all that are still in different components.
+A set of a band whose least size is L indexes L // 20 segments more than it must, so similar
+sets have that many more signatures in common: sets with fewer signatures that any other set
+has, and sets with too few shingles that any other candidate has, drop out. The others are
+compared exactly, first with the least and greatest member of each signature, then with all
+members that are still in another component.
 """
 
 from __future__ import annotations
@@ -58,6 +60,17 @@ def segments_of_band(floor: np.ndarray) -> np.ndarray:
     return np.where(floor < TINY, 1, 5 * floor // 7 + 9)
 
 
+def more_than_needed(floor):
+    """How many more segments than it must a set of the band indexes."""
+    return floor // 20
+
+
+def _marked(signature: np.ndarray, floor: np.ndarray) -> np.ndarray:
+    """The signature with the number of its band in its last six bits, 0 for tiny sets."""
+    number = np.where(floor < TINY, 0, 1 + np.log2(np.maximum(floor, TINY) / TINY)).astype(np.uint64)
+    return (signature & ~np.uint64(63)) | number
+
+
 def _variants(values: np.ndarray, starts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of whole tiny sets and of their one-deletion variants, with the rows they belong to.
 
@@ -74,7 +87,7 @@ def _variants(values: np.ndarray, starts: np.ndarray, rows: np.ndarray) -> tuple
         at = np.concatenate([np.arange(starts[r], starts[r + 1]) for r in wide])
         signature.append(mix(total[owner_of] - spread[at]))
         owner.append(owner_of)
-    return np.concatenate(signature), np.concatenate(owner)
+    return _marked(np.concatenate(signature), np.ones(1, np.int64)), np.concatenate(owner)
 
 
 def _prefixes(values, starts, rows, floor, need, common, frequency) -> tuple[np.ndarray, np.ndarray]:
@@ -93,7 +106,7 @@ def _prefixes(values, starts, rows, floor, need, common, frequency) -> tuple[np.
     content = segment_sums(mix(value ^ _SEED), np.append(at, len(value)))
     owner, segment = owner[at], segment[at]
     band = floor[owner].astype(np.uint64) << np.uint64(32)
-    signature = mix(content ^ mix(band | segment))
+    signature = _marked(mix(content ^ mix(band | segment)), floor[owner])
     if len(common):
         place = np.minimum(np.searchsorted(common, value), len(common) - 1)
         cost = np.minimum.reduceat(np.where(common[place] == value, frequency[place], 0), at).astype(np.uint64)
@@ -102,6 +115,7 @@ def _prefixes(values, starts, rows, floor, need, common, frequency) -> tuple[np.
     rank = (np.minimum(cost, np.uint64(0xFFFF)) << np.uint64(48)) | (signature >> np.uint64(16))
     order = np.argsort(rank)
     order = order[np.argsort(owner[order].astype(np.uint16 if len(rows) < 1 << 16 else np.int64), kind="stable")]
+    need = need + more_than_needed(floor)
     have = np.bincount(owner, minlength=len(rows))
     begin = np.cumsum(have) - have
     position = np.arange(len(order)) - begin[owner[order]]
@@ -110,7 +124,7 @@ def _prefixes(values, starts, rows, floor, need, common, frequency) -> tuple[np.
     for r in np.flatnonzero(have < need):  # sets that run out of segments also index empty ones
         taken = segment[owner == r]
         empty = np.setdiff1d(np.arange(count[r], dtype=np.uint64), taken)[: need[r] - have[r]]
-        out.append(mix(_EMPTY ^ mix((np.uint64(floor[r]) << np.uint64(32)) | empty)))
+        out.append(_marked(mix(_EMPTY ^ mix((np.uint64(floor[r]) << np.uint64(32)) | empty)), floor[r : r + 1]))
         of.append(np.full(len(empty), rows[r]))
     return np.concatenate(out), np.concatenate(of)
 
@@ -286,6 +300,16 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     entries = docs.mapInArrow(_entries(8 * width, common, frequency), "part int, entries binary")
     shared = staged(entries.repartition(width, "part").mapInArrow(_shared, "signature long, low long"), "shared")
 
+    # A set must have so many signatures of one band in common with others.
+    for _ in range(2):
+        band = F.col("signature").bitwiseAND(63).cast("int")
+        extra = F.when(band > 0, F.floor(TINY * F.pow(F.lit(2.0), band - 1) / 20)).otherwise(0)
+        enough = shared.groupBy("low", band.alias("band")).agg(F.count("*").alias("n"), F.max(extra).alias("extra"))
+        enough = enough.where("n > extra").select("low", "band")
+        kept = shared.withColumn("band", band).join(enough, ["low", "band"]).select("signature", "low")
+        several = kept.groupBy("signature").agg(F.count("*").alias("n")).where("n > 1").select("signature")
+        shared = staged(kept.join(several, "signature"), "shared")
+
     # Candidate sets by number; a low digest that two sets share stands for both.
     wanted = classes.join(shared.select("low").distinct(), "low").select("high", "low", "set", "size")
     wanted = staged(wanted.where(F.col("set").isNotNull()), "candidates")
@@ -299,13 +323,12 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     sets = staged(sets, "shingles")
 
     # A set can only be linked if three quarters of its shingles occur in other candidates too.
-    exploded = sets.select("set", "size", F.explode("shingles").alias("x"))
-    twice = exploded.groupBy("x").agg(F.count("*").alias("n")).where("n > 1").select("x")
-    viable = (
-        exploded.join(twice, "x").groupBy("set", "size").agg(F.count("*").alias("shared"))
-        .where(4 * F.col("shared") >= 3 * F.col("size"))
-    )
-    viable = staged(viable.join(sets.select("set", "low"), "set"), "viable")
+    exploded = sets.select("set", F.explode("shingles").alias("x"))
+    own = exploded.groupBy("x").agg(F.count("*").alias("n"), F.first("set").alias("set")).where("n = 1")
+    own = own.groupBy("set").agg(F.count("*").alias("own"))
+    shared_count = F.col("size") - F.coalesce("own", F.lit(0))
+    viable = sets.select("set", "size", "low").join(own, "set", "left").withColumn("shared", shared_count)
+    viable = staged(viable.where(4 * F.col("shared") >= 3 * F.col("size")).select("set", "size", "low", "shared"), "viable")
     sets = sets.join(viable.select("set"), "set", "left_semi")
     runs = staged(shared.join(viable, "low").select("signature", "set", "size", "shared"), "runs")
 
