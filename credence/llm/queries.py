@@ -6,12 +6,25 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontamination, language, tokens
+from . import decontamination, fingerprints, language, mixing, sharding, tokens
 from .common import table
 from .jaccard import similar_groups
 
 
+def op1_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+def op2_two_pass_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.sharded(table(spark, sf_dir, "documents"))
+    text = F.coalesce("text", F.lit(""))
+    return out.select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.fit(docs, language.read_vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
@@ -19,6 +32,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("held_out", ~language.in_training(out.doc_id)).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.words_taken(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = tokens.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -34,7 +51,10 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_merkle_fingerprints": op1_merkle_fingerprints,
+    "op2_two_pass_sharding": op2_two_pass_sharding,
     "op3_language_id": op3_language_id,
+    "op5_source_mix": op5_source_mix,
     "op7_token_counts": op7_token_counts,
     "op9_shingle_jaccard_join": op9_shingle_jaccard_join,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
