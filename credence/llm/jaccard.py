@@ -173,6 +173,13 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(high), pa.array(low), shingles], names=["high", "low", "shingles"])
 
 
+def _with_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in pieces(batches):
+        high, low = digests(*shingle_sets(*as_utf8(batch.column("text"))))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("row"), pa.array(high), pa.array(low)], names=["doc_id", "row", "high", "low"])
+
+
 def _entries(parts: int, common: np.ndarray, frequency: np.ndarray):
     """Signature entries (signature, low digest), packed into one row for each part they go to."""
 
@@ -275,16 +282,8 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "b").join(right, "a").where(_similar("x", "y")).select("a", "b")
 
 
-def similar_groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text, ...).
-
-    Rows are linked where their sets of distinct 5-word shingles (A-Z lower-cased, words
-    between spaces and U+0009..U+000D) have a Jaccard similarity of 0.75 or more; fewer
-    words than five are one shingle. ``component_id`` is the least doc_id that links reach.
-    Null, empty or blank texts have no shingles and form a component each. Rows with an equal
-    doc_id stay separate rows; a null doc_id is never a component's name unless no other id
-    is there. Other columns are ignored. Any number of copies costs one member of each group.
-    """
+def _grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and the set's digests for every row."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     described = staged(docs.mapInArrow(_describe, "doc_id long, n_shingles long, high long, low long"), "sets")
@@ -292,7 +291,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     classes = described.where("n_shingles > 0").groupBy("high", "low").agg(
         F.min("doc_id").alias("set"), F.max("n_shingles").alias("size"), F.count("*").alias("copies"))
     if not total:
-        return described.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+        return described.withColumn("component_id", F.col("doc_id"))
     classes = staged(classes, "classes")
 
     common, frequency = _common_shingles(docs, described)
@@ -355,5 +354,44 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     named = classes.join(found, F.col("set") == F.col("node"), "left").select(
         "high", "low", F.coalesce("component", "set").alias("component_id"))
     out = described.join(named, ["high", "low"], "left")
-    alone = F.col("n_shingles") == 0
-    return out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
+
+
+def similar_groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text, ...).
+
+    Rows are linked where their sets of distinct 5-word shingles (A-Z lower-cased, words
+    between spaces and U+0009..U+000D) have a Jaccard similarity of 0.75 or more; fewer
+    words than five are one shingle. ``component_id`` is the least doc_id that links reach.
+    Null, empty or blank texts have no shingles and form a component each. Rows with an equal
+    doc_id stay separate rows. Texts whose every copy has a null doc_id are not compared with
+    different ones, and their component is null. Other columns are ignored. Any number of
+    copies costs one member of each group.
+    """
+    return _grouped(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def one_per_group(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that come first in their component, all columns kept.
+
+    That is the document whose doc_id names the component, so every group keeps one. Rows with a
+    null doc_id all stay. Where a doc_id is repeated, each of its different texts is judged by
+    itself, and one row of equal texts stays.
+    """
+    groups = staged(_grouped(docs), "groups")
+    repeated = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    gone = groups.where("component_id <> doc_id").select("doc_id").unionAll(repeated).distinct()
+    gone = staged(gone, "gone")
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    single = docs.join(gone, "doc_id", "left_anti")
+    repeated = staged(repeated, "repeated")
+    if not repeated.limit(1).count():
+        return single.select(docs.columns)
+    first = groups.where("component_id = doc_id").select("doc_id", "high", "low").join(repeated, "doc_id", "left_semi").distinct()
+    again = docs.join(repeated, "doc_id", "left_semi")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    again = again.select("doc_id", "text", row.alias("row")).mapInArrow(
+        _with_digest, again.select("doc_id", row.alias("row"), F.lit(0).cast("long").alias("high"), F.lit(0).cast("long").alias("low")).schema)
+    again = again.groupBy("doc_id", "high", "low").agg(F.first("row").alias("row")).join(first, ["doc_id", "high", "low"], "left_semi")
+    return single.select(docs.columns).unionAll(again.select("row.*"))

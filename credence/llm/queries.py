@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, language, mixing, sharding, tokens
+from . import decontamination, fingerprints, language, mixing, quality, sharding, tokens, urls, warc
 from .common import table
 from .jaccard import similar_groups
 
@@ -32,10 +32,21 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("held_out", ~language.in_training(out.doc_id)).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # A page shows the document of the same number, so that document's labels tag it.
+    labels = table(spark, sf_dir, "labels")
+    bad = labels.select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("bad"))
+    return urls.judge(table(spark, sf_dir, "pages"), bad)
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.words_taken(table(spark, sf_dir, "documents"))
 
 
+def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages")).drop("url")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = tokens.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -46,6 +57,10 @@ def op9_shingle_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -54,8 +69,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_merkle_fingerprints": op1_merkle_fingerprints,
     "op2_two_pass_sharding": op2_two_pass_sharding,
     "op3_language_id": op3_language_id,
+    "op4_url_filters": op4_url_filters,
     "op5_source_mix": op5_source_mix,
+    "op6_warc_archive": op6_warc_archive,
     "op7_token_counts": op7_token_counts,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_shingle_jaccard_join": op9_shingle_jaccard_join,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
