@@ -2,4 +2,39 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+# Base32 digit j of the SHA-1 is 5 bits of the (j // 8)-th group of 5 bytes.
+OP6 = """
+WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS h, strlen(coalesce(html, '')) AS n FROM pages),
+g AS (SELECT h, max(page_id) AS last FROM p GROUP BY h)
+SELECT page_id, n AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (((('0x' || substr(p.h, 1 + 10 * (j // 8), 10))::BIGINT >> (35 - 5 * (j % 8))) & 31) + 1)::BIGINT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> last THEN last END AS refers_to
+FROM p JOIN g ON p.h = g.h
+"""
+
+OP9 = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM documents),
+s AS (
+  SELECT doc_id, CASE
+    WHEN len(words) >= 5 THEN list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')))
+    WHEN len(words) > 0 THEN [array_to_string(words, ' ') || ' ' || len(words)] ELSE [] END AS grams
+  FROM w),
+k AS (SELECT doc_id, len(grams) AS n, md5(array_to_string(list_sort(grams), '|')) AS key, grams FROM s),
+c AS (SELECT key, min(doc_id) AS a, any_value(n) AS n, any_value(grams) AS grams FROM k WHERE n > 0 GROUP BY key),
+t AS (SELECT a, n, unnest(grams) AS g FROM c),
+l AS (
+  SELECT x.a AS a, y.a AS b FROM t x JOIN t y ON x.g = y.g AND x.a < y.a
+  GROUP BY x.a, y.a, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(a, b) AS (SELECT a, a FROM c UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+m AS (SELECT a, min(b) AS least FROM r GROUP BY a)
+SELECT doc_id, k.n AS n_shingles, coalesce(least, doc_id) AS component_id
+FROM k LEFT JOIN c ON k.n > 0 AND k.key = c.key LEFT JOIN m ON c.a = m.a
+"""
+
+ORACLES: dict[str, str] = {"op6_warc_archive": OP6, "op9_shingle_jaccard_join": OP9}

@@ -1,0 +1,87 @@
+import re
+from collections import Counter
+
+import pytest
+
+import corpus_pipeline
+from credence.llm import mixing
+
+from .helpers import clashing, components, no_docs, odd_docs, words
+
+SF = "/root/testdata/sf0.001"
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def stage(name):
+    return dict(corpus_pipeline.STAGES)[name]
+
+
+@pytest.fixture(scope="module")
+def steps(spark, tmp_path_factory):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    out = [docs]
+    for name, function in corpus_pipeline.STAGES:
+        path = str(tmp_path_factory.mktemp("stage") / name)
+        function(spark, docs, SF).write.parquet(path)
+        docs = spark.read.parquet(path)
+        out.append(docs)
+    return [df.collect() for df in out]
+
+
+def test_each_stage_matches_brute_force(spark, steps):
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "ngram_jaccard_join", "benchmark_decontamination", "source_mix", "sharding"]
+    first, told, single, clean, mix, shards = steps
+    assert all(r.asDict().keys() == set(COLUMNS) for rows in steps[:5] for r in rows[:1])
+    kept = {r.doc_id for r in told}
+    assert kept <= {r.doc_id for r in first}
+    assert all(r.text and any(c.isalpha() for c in r.text) for r in told)
+    assert sum(r.doc_id not in kept for r in first) <= 0.02 * len(first)
+
+    groups = components([(r.doc_id, r.text) for r in told])
+    assert sorted(r.doc_id for r in single) == sorted(set(groups))
+
+    plain = lambda t: re.sub(r"[^\w]+", " ", t.lower()).strip()
+    items = [plain(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    assert sorted(r.doc_id for r in clean) == sorted(r.doc_id for r in single if not any(i in plain(r.text) for i in items))
+
+    docs = spark.createDataFrame([tuple(r) for r in clean], "doc_id long, text string, lang string, source string, n_chars long")
+    taken = {r.doc_id: r for r in mixing.words_taken(docs).collect()}
+    times = Counter(r.doc_id for r in mix)
+    assert all(abs(times[d] - r.taken / max(r.size, 1)) <= 0.5 for d, r in taken.items())
+    assert {r.doc_id: tuple(r) for r in mix} == {r.doc_id: tuple(r) for r in clean if times[r.doc_id]}
+
+    assert Counter(tuple(r)[:5] for r in [tuple(r[c] for c in COLUMNS) for r in shards]) == Counter(tuple(r) for r in mix)
+    for shard in {r["shard"] for r in shards}:
+        assert sorted(r["slot"] for r in shards if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in shards)))
+
+
+def test_run_gives_the_last_stage(spark, steps):
+    out = corpus_pipeline.run(spark, SF)
+    assert Counter(map(str, out.select(*COLUMNS, "shard", "slot").collect())) == Counter(
+        str(r) for r in spark.createDataFrame(steps[-1]).select(*COLUMNS, "shard", "slot").collect())
+
+
+def test_passages_and_copies_go_and_clean_documents_stay(spark):
+    benchmark = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(20).collect()
+    long = max(docs, key=lambda r: len(words(r.text)))
+    near = " ".join(w if k != 30 else "changed" for k, w in enumerate(words(long.text)))
+    rows = [tuple(r) for r in docs] + [
+        (9001, long.text, "en", "z", 1), (9002, near, "en", "z", 1), (9003, f"see here: {benchmark} indeed so", "en", "z", 1), (9004, "12 345", "en", "z", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    told = stage("language_id")(spark, df, SF)
+    assert 9004 not in {r.doc_id for r in told.collect()}
+    single = {r.doc_id for r in stage("ngram_jaccard_join")(spark, df, SF).collect()}
+    assert not {9001, 9002} & single and long.doc_id in single and 9003 in single
+    assert 9003 not in {r.doc_id for r in stage("benchmark_decontamination")(spark, df, SF).collect()}
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_odd_rows_and_no_rows(spark, name):
+    docs = clashing(odd_docs(spark), "shard", "high", "k1", "lang_pred", "item_id")
+    out = stage(name)(spark, docs, SF)
+    rows = out.collect()
+    assert len(rows) <= 3 * docs.count()
+    if name != "sharding":
+        assert out.columns == docs.columns
+    assert stage(name)(spark, no_docs(spark), SF).count() == 0
