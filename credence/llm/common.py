@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 # Bytes of text that are turned into numpy arrays at a time; a longer text goes alone.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 512 << 10
 
 
 def shared_root(spark: SparkSession) -> str:

@@ -42,7 +42,7 @@ SAMPLE_ROWS = 4000  # documents from which shingle frequencies are estimated
 SAMPLE_COMMON = 5  # documents of the sample that share a shingle for it to count as common
 COMMON_LIMIT = 50_000  # common shingles that are shipped to the tasks; only their order depends on it
 ENTRIES = 2_000_000  # signature entries handled by one task
-FLUSH = 1_000_000
+FLUSH = 500_000
 BROADCAST_ROWS = 500_000
 
 _SEED = np.uint64(0x9E3779B97F4A7C15)

@@ -31,7 +31,7 @@ TRAIN_ROWS = 400  # about so many documents of each language, drawn by hash, fit
 ROUNDS = 4
 SMOOTHING = 0.1
 UNKNOWN = 1e-6
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 MARK = "▁"
 UNDETERMINED = "und"
 
