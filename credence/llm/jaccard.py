@@ -19,8 +19,9 @@ for two differences at the cost of a row per shingle. That pays for the smallest
 A set of a band whose least size is L indexes L // 20 segments more than it must, so similar
 sets have that many more signatures in common: sets with fewer signatures that any other set
 has, and sets with too few shingles that any other candidate has, drop out. The others are
-compared exactly, first with the least and greatest member of each signature, then with all
-members that are still in another component.
+compared exactly, first with the least and greatest member of each signature. Members of one
+signature that are still in different components are paired by their rarest shingles, and
+compared too.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_utf8, mix, pieces, staged
@@ -282,6 +283,33 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "b").join(right, "a").where(_similar("x", "y")).select("a", "b")
 
 
+def _prefix_pairs(apart: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets of different components that may be similar: prefixes and positions.
+
+    Shingles are ordered by how many of these sets have them, rare ones first. The first
+    shingle that two similar sets share is among the first size - ceil(3/4 size) + 1 of each,
+    and what follows it in both is long enough for the overlap they need. One side is never
+    in the component that most sets belong to, so that it is not compared with itself.
+    """
+    largest = apart.groupBy("component").count().orderBy(F.desc("count"), "component").limit(1).select(
+        F.col("component").alias("largest"))
+    shingles = sets.join(apart, "set").select("set", apart["size"], "component", F.explode("shingles").alias("x"))
+    shingles = staged(shingles, "apart-shingles")
+    often = shingles.groupBy("x").agg(F.count("*").alias("n"))
+    by_rarity = Window.partitionBy("set").orderBy("n", "x")
+    placed = shingles.join(often, "x").withColumn("place", F.row_number().over(by_rarity))
+    prefix = F.col("size") - F.ceil(3 * F.col("size") / 4) + 1
+    placed = staged(placed.where((F.col("place") <= prefix) & (F.col("n") > 1)).select("x", "set", "size", "component", "place"), "prefixes")
+    a = placed.join(F.broadcast(largest), F.col("component") == F.col("largest"), "left_anti").alias("a")
+    b = placed.join(F.broadcast(largest), F.col("component") == F.col("largest"), "left").withColumn("in_largest", F.col("largest").isNotNull()).alias("b")
+    after = F.least(F.col("a.size") - F.col("a.place"), F.col("b.size") - F.col("b.place")) + 1
+    pairs = a.join(
+        b, (F.col("a.x") == F.col("b.x")) & (F.col("a.component") != F.col("b.component"))
+        & (F.col("b.in_largest") | (F.col("a.set") < F.col("b.set")))
+        & (7 * after >= 3 * (F.col("a.size") + F.col("b.size"))))
+    return pairs.select(F.least("a.set", "b.set").alias("a"), F.greatest("a.set", "b.set").alias("b")).distinct()
+
+
 def _grouped(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and the set's digests for every row."""
     spark = docs.sparkSession
@@ -337,16 +365,11 @@ def _grouped(docs: DataFrame) -> DataFrame:
     links = staged(_verified(stars, sets), "links")
     found = components(links)
 
-    # Members of one signature that are still apart, if what they share with others allows a link.
+    # Members of one signature that are still apart.
     named = runs.join(found.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
     apart = named.groupBy("signature").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
-    named = staged(named.join(apart.select("signature"), "signature", "left_semi"), "apart")
-    x, y = named.alias("x"), named.alias("y")
-    rest = x.join(
-        y, (F.col("x.signature") == F.col("y.signature")) & (F.col("x.set") < F.col("y.set"))
-        & (F.col("x.component") != F.col("y.component"))
-        & (7 * F.least("x.shared", "y.shared") >= 3 * (F.col("x.size") + F.col("y.size"))))
-    rest = rest.select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct()
+    apart = named.join(apart.select("signature"), "signature", "left_semi").select("set", "size", "component").distinct()
+    rest = _prefix_pairs(staged(apart, "apart"), sets)
     more = staged(_verified(rest.join(stars, ["a", "b"], "left_anti"), sets), "links")
     if more.limit(1).count():
         found = components(links.unionAll(more))
