@@ -17,10 +17,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_folder
+from .common import new_folder, staged
 
 BUCKET_BYTES = 32 << 20
 LEAST_BUCKETS = 4
+BROADCAST_BUCKETS = 500_000
 
 
 def shard_column(doc_id: Column, shards: int, seed: int) -> Column:
@@ -70,7 +71,9 @@ def read_shards(docs: DataFrame) -> DataFrame:
     """What ``write_shards`` wrote, with the slot of each row in its shard, gapless from 0."""
     sizes = docs.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    first = sizes.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    first = staged(sizes.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")), "buckets")
+    if first.count() <= BROADCAST_BUCKETS:  # else the records are shuffled by bucket once more
+        first = F.broadcast(first)
     return docs.drop("slot").join(first, ["shard", "bucket"]).withColumn("slot", F.col("first") + F.col("position")).drop("first")
 
 
