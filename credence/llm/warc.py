@@ -39,17 +39,15 @@ def archive(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     page_id is a response and the others revisit it; smaller payloads are all responses. Null
     html is an empty payload and a null url an empty one; a null page_id is smaller than
     others, and a response if its payload has no others. Equal rows each give a record. Other
-    columns are ignored. Groups of copies are combined before they are shuffled, and only the
-    responses' payloads move.
+    columns are ignored. Groups of copies are combined before they are shuffled.
     """
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     digest = F.sha2("payload", 256)
     named = rows.select("page_id", "url", digest.alias("sha256"), base32_sha1(F.col("payload")).alias("sha1"), F.octet_length("payload").cast("long").alias("payload_bytes"))
     first = named.groupBy("sha256").agg(F.max("page_id").alias("response_id"))
-    winners = first.select(F.col("response_id").alias("page_id"), "sha256")
-    stored = rows.withColumn("sha256", digest).alias("r").join(
-        winners.alias("w"), F.col("r.page_id").eqNullSafe(F.col("w.page_id")) & (F.col("r.sha256") == F.col("w.sha256")), "left_semi")
-    stored.groupBy("sha256").agg(F.first("payload").alias("payload")).write.parquet(f"{path}/payloads")
+    # Copies have the same bytes, so any of them is stored; each task sends one at most.
+    stored = rows.select(digest.alias("sha256"), "payload").groupBy("sha256").agg(F.first("payload").alias("payload"))
+    stored.write.parquet(f"{path}/payloads")
 
     records = named.join(first, "sha256")
     revisit = (F.col("payload_bytes") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("response_id"))
