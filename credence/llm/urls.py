@@ -67,7 +67,7 @@ def templates(paths: DataFrame) -> DataFrame:
         rest = F.slice("segments", level + 1, LEVELS)
         general = F.concat(F.slice("segments", 1, level - 1), F.array(F.lit("*")), rest)
         rows = rows.withColumn("segments", F.when(F.col("wide") & F.col("segment").isNotNull(), general).otherwise(F.col("segments")))
-        rows = rows.drop("prefix", "segment", "wide")
+        rows = staged(rows.drop("prefix", "segment", "wide"), "segments")
     return rows
 
 
@@ -97,6 +97,7 @@ def template_purity(rows: DataFrame) -> DataFrame:
         own = own.select("host", "parent", "prefix", merged("t").alias("t"), merged("b").alias("b"))
         above = nodes.select("host", F.col("prefix").alias("parent"), F.col("impurity").alias("prior"))
         nodes = own.join(above, ["host", "parent"]).select("host", "prefix", _smoothed(F.col("b"), F.col("t"), F.col("prior")).alias("impurity"))
+        nodes = staged(nodes, "nodes")  # the next level's prior
         ended = leaves.where(F.size("segments") == level).select("host", "segments", F.concat_ws("/", "segments").alias("prefix"))
         found.append(ended.join(nodes, ["host", "prefix"]).select("host", "segments", "impurity"))
     return reduce(DataFrame.unionAll, found)
@@ -114,7 +115,7 @@ def judge(pages: DataFrame, bad_pages: DataFrame, rules=RULES) -> DataFrame:
     tagged = rows.join(tags, "page_id", "left")
     counts = tagged.groupBy("host", "path").agg(
         F.count("*").alias("n"), F.count("bad").alias("tagged"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    general = staged(templates(staged(counts, "paths")), "general")
+    general = templates(staged(counts, "paths"))
     purity = template_purity(general)
     by_path = general.select("host", "path", "segments").join(purity, ["host", "segments"])
     by_path = by_path.select("host", "path", F.concat(F.lit("/"), F.concat_ws("/", "segments")).alias("template"), F.round("impurity", 6).alias("impurity"))
