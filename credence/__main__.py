@@ -6,6 +6,8 @@ import argparse
 
 from pyspark.sql import functions as F
 
+from . import schemas
+from .functions import text
 from .operators import evaluate, profile
 from .plans import build, collect, predict, train
 from .session import build_session
@@ -38,6 +40,12 @@ def main(argv: list[str] | None = None) -> None:
     job.add_argument("model")
     job.add_argument("--label", choices=("sentiment", "polarity"), default="sentiment")
     job.add_argument("--seed", type=int, default=7)
+    job.add_argument("--corpora", choices=("known", "combined"), default="combined", help="what to train on")
+    job.add_argument("--spaces", choices=("raw", "stripped"), default="raw", help="strip line breaks and tabs first")
+    job.add_argument("--token-limit", type=int, help="tokens the model reads of a text, two special ones included")
+    job.add_argument("--sample", type=int, default=10_000, help="articles drawn")
+    job.add_argument("--slice", action="append", default=[], metavar="NAME=START:END",
+                     help="positions of a slice of the sample, the end not included; replaces the usual ones")
 
     job = jobs.add_parser("predict", help="label the sentences of a text file")
     job.add_argument("model")
@@ -50,7 +58,7 @@ def main(argv: list[str] | None = None) -> None:
     labels = {"sentiment": tuple(range(11)), "polarity": (0, 1)}
 
     if args.job == "collect":
-        pages = spark.read.parquet(args.pages)
+        pages = spark.read.schema(schemas.PAGES).parquet(args.pages)
         if args.listed:
             sites = dimensions.read_site_list(spark, args.listed).distinct()
             found = collect.listed_articles(pages.join(sites, "site", "left_semi"))
@@ -68,16 +76,22 @@ def main(argv: list[str] | None = None) -> None:
         build.build_corpora(raw, args.out, args.mode).show()
     elif args.job == "frequency":
         # Copies share their polarity, so the other side need not be read at all.
-        side = spark.read.parquet(args.processed).filter(F.col("polarity") == args.polarity)
+        side = spark.read.schema(schemas.PROCESSED).parquet(args.processed).filter(F.col("polarity") == args.polarity)
         chosen = build.combined(side)
         profile.by_count(profile.token_frequency(chosen)).write.mode("overwrite").parquet(args.out)
     elif args.job == "train":
-        rows = build.combined(spark.read.parquet(args.processed)).withColumnRenamed("text", "sentence")
+        processed = spark.read.schema(schemas.PROCESSED).parquet(args.processed)
+        rows = build.combined(processed) if args.corpora == "combined" else build.known(processed)
+        if args.spaces == "stripped":
+            rows = rows.withColumn("text", text.strip_control("text"))
+        slices = {name: tuple(map(int, span.split(":"))) for name, _, span in (s.partition("=") for s in args.slice)}
         fitted, judged = train.train_and_evaluate(
-            rows, label_column=args.label, label_list=labels[args.label], seed=args.seed
+            rows.withColumnRenamed("text", "sentence"), label_column=args.label, label_list=labels[args.label],
+            n=args.sample, slices=slices or None, seed=args.seed,
+            token_limit=args.token_limit and args.token_limit - 2,
         )
         fitted.write().overwrite().save(args.model)
-        evaluate.split_measures(judged).show()
+        evaluate.split_measures(judged, binary=args.label == "polarity").show()
     else:
         sentences = spark.read.text(args.sentences).withColumnRenamed("value", "sentence")
         predict.predict_to_table(args.model, sentences, args.out, labels[args.label])

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import html.entities
+import json
 import operator
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -26,28 +28,22 @@ BOILERPLATE_TOKENS = (
 # The line-breaking control characters that cleaning deletes.
 CONTROL_CHARACTERS = "\r\n\t"
 
-# One pass over the page: whichever of these starts first goes, whole. The common '<'
-# stands in front, so that most characters are passed over after one comparison. A
-# comment, script or style that is never closed runs to the end, as in a browser; that
-# also keeps a page full of them from being searched to its end time and again.
-_HTML_DROPPED = "(?is)<(?:" + "|".join((
-    r"!--(?:.*?-->|.*)",
-    r"head[\s>].*?</head>",
-    r"script[\s>](?:.*?</script>|.*)",
-    r"style[\s>](?:.*?</style>|.*)",
-    r"nav[\s>].*?</nav>",
-    r"[^>]*>",
-)) + ")"
-
-# The entities HTML itself needs; '&amp;' last, so that '&amp;lt;' reads '&lt;'.
-_HTML_ENTITIES = (
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&nbsp;", " "),
-    ("&amp;", "&"),
-)
+# What is dropped from a page, each in one pass that never looks at a character twice.
+# A comment, script or style that is never closed runs to the end, as in a browser.
+_HTML_HIDDEN = r"(?is)<(?:!--(?:.*?-->|.*)|script[\s/>](?:.*?</script\s*>|.*)|style[\s/>](?:.*?</style\s*>|.*))"
+# Between two ends of such an element, all from its first start goes. Without an end only
+# the tag goes: the page is cut at the ends first, so no start is searched for an end.
+_HTML_ELEMENTS = ("head", "nav")
+# A tag begins with a letter, '/', '!' or '?'; a quoted value after '=' may hold any '>'.
+# Any other '<' is text. Possessive loops neither backtrack nor recurse.
+_HTML_TAG = r"""<[a-zA-Z/!?](?:[^<>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+>"""
+
+# Character references: the names of the HTML standard, as Python's library lists them. Some
+# may stand without a semicolon. Numbers 128 to 159 mean Windows-1252, as in browsers.
+_NAMED = {name.rstrip(";"): char for name, char in html.entities.html5.items()}
+_BARE = sorted((name for name in html.entities.html5 if not name.endswith(";")), key=len, reverse=True)
+_WINDOWS = {n: bytes([n]).decode("cp1252", "replace") for n in range(128, 160)}
+_REFERENCE = r"^(?:#(\d+);?|#[xX]([0-9a-fA-F]+);?|(?:([A-Za-z][A-Za-z0-9]*);|(" + "|".join(_BARE) + r")))"
 
 
 def _col(c: Column | str) -> Column:
@@ -119,7 +115,7 @@ def split_words(text: Column | str) -> Column:
 
 def tokens(text: Column | str) -> Column:
     """Lower-cased whitespace tokens, empty pieces dropped."""
-    return F.filter(split_words(text), lambda piece: piece != "")
+    return F.array_remove(split_words(text), "")
 
 
 def lead_text(text: Column | str, n: int) -> Column:
@@ -160,10 +156,55 @@ def universal_newlines(text: Column | str) -> Column:
     return F.replace(F.replace(_col(text), F.lit("\r\n"), lf), F.lit("\r"), lf)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body mentions it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _without_element(page: Column, name: str) -> Column:
+    """Drop ``<name ...> ... </name>``, from the first start since the last end."""
+    def bare(parts: Column) -> Column:
+        ended = F.slice(parts, F.lit(1), F.size(parts) - 1)
+        cut = F.transform(ended, lambda part: F.regexp_replace(part, rf"(?is)<{name}[\s/>].*", ""))
+        return F.array_join(F.concat(cut, F.slice(parts, F.size(parts), F.lit(1))), " ")
+
+    return _let(F.split(page, rf"(?i)</{name}\s*>"), bare)
+
+
+def _code_point(code: Column) -> Column:
+    """The character of a number; U+FFFD where there is none. Null and overlong numbers too."""
+    wrong = (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+    known = F.element_at(F.from_json(F.lit(json.dumps(_WINDOWS)), "map<string,string>"), code.cast("string"))
+    plain = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return F.when(wrong | code.isNull(), "\ufffd").otherwise(F.coalesce(known, plain))
+
+
+def _reference(piece: Column) -> Column:
+    """A piece of text that came after an ``&``, with the reference it begins with decoded."""
+    def decoded(parts: Column) -> Column:
+        whole, decimal, hexadecimal, name = (F.element_at(parts, k) for k in (1, 2, 3, 4))
+        number = F.when(decimal != "", decimal.try_cast("bigint")).otherwise(
+            F.when(F.length(hexadecimal) <= 15, F.conv(hexadecimal, 16, 10).cast("bigint")))
+        named = F.element_at(F.from_json(F.lit(json.dumps(_NAMED)), "map<string,string>"), name)
+        char = F.when((decimal != "") | (hexadecimal != ""), _let(number, _code_point)).when(name != "", named)
+        rest = F.substr(piece, F.length(whole) + 1)
+        return F.coalesce(F.concat(char, rest), F.concat(F.lit("&"), piece))
+
+    part = [F.regexp_extract(piece, _REFERENCE, k) for k in range(5)]
+    found = _let(F.array(*part[:3], F.concat(*part[3:])), decoded)
+    return F.when(piece.rlike("^(?:#[0-9xX]|[A-Za-z])"), found).otherwise(F.concat(F.lit("&"), piece))
+
+
+def decode_references(text: Column | str) -> Column:
+    """Named and numeric character references as characters, each once; unknown ones stay."""
+    def joined(pieces: Column) -> Column:
+        return F.concat(F.element_at(pieces, 1), F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), _reference), ""))
+
+    return _let(F.split(_col(text), "&"), joined)
+
+
 def html_text(html: Column | str) -> Column:
     """Visible text of a page: head, scripts, styles, navigation, comments and tags go."""
-    bare = F.regexp_replace(_col(html), _HTML_DROPPED, " ")
-    plain = reduce(
-        lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), _HTML_ENTITIES, bare
-    )
-    return squeeze_spaces(plain)
+    shown = F.regexp_replace(_col(html), _HTML_HIDDEN, " ")
+    shown = reduce(_without_element, _HTML_ELEMENTS, shown)
+    return squeeze_spaces(decode_references(F.regexp_replace(shown, _HTML_TAG, " ")))

@@ -36,7 +36,9 @@ def linear_logits(
         x = np.stack(present.to_numpy()).astype("float64")
         return pd.Series(list(x @ w + b), index=present.index).reindex(batch.index)
 
-    return logits(_col(vector))
+    # Not said to be deterministic, so that a filter on its result is not pushed below it and
+    # the product computed a second time there.
+    return logits.asNondeterministic()(_col(vector))
 
 
 def with_log_softmax(df: DataFrame, logits: str = "logits", out: str = "log_probs") -> DataFrame:

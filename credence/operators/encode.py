@@ -19,14 +19,12 @@ from ..functions import text
 
 PAD, UNK, CLS, SEP = 0, 1, 2, 3
 FIRST_TOKEN_ID = 4
-# Longer tokens are never looked up; so a vocabulary of n rows has a bounded size.
-MAX_TOKEN_CHARS = 200
 
 
 def vocabulary(counts: DataFrame, n: int) -> DataFrame:
     """``token, id`` of the ``n`` most frequent tokens; ids follow the special ones."""
     order = [F.col("count").desc(), F.col("token")]
-    top = counts.filter(F.length("token") <= MAX_TOKEN_CHARS).orderBy(*order).limit(n)
+    top = counts.orderBy(*order).limit(n)
     # Unpartitioned, but over the n rows of the limit only.
     rank = F.row_number().over(W.orderBy(*order))
     return top.select("token", (rank + (FIRST_TOKEN_ID - 1)).cast("int").alias("id"))
@@ -116,8 +114,17 @@ def encode_pair(
     return _look_up(cut.drop("a", "b"), vocab, [id, *keep], max_len)
 
 
+def repeated_ids(examples: DataFrame, id: str = "id") -> DataFrame:
+    """How many rows share their id with another one; encoding merges such rows into one."""
+    per_id = examples.groupBy(id).agg(F.count("*").alias("rows"))
+    return per_id.agg(F.coalesce(F.sum(F.when(F.col("rows") > 1, F.col("rows"))), F.lit(0)).alias("repeated"))
+
+
 def quality(features: DataFrame, max_len: int) -> DataFrame:
-    """Counts that must be zero: arrays of the wrong length, and labels outside the list."""
+    """Counts that must be zero: arrays of the wrong length, and labels outside the list.
+
+    Rows that had one id before encoding are counted by ``repeated_ids``.
+    """
     return features.agg(
         F.count("*").alias("rows"),
         F.count_if(F.size("input_ids") != max_len).alias("bad_ids"),

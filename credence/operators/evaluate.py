@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vectors
@@ -13,7 +15,12 @@ def accuracy(judged: DataFrame, label: str = "label", pred: str = "pred") -> Dat
     return judged.agg(F.avg((F.col(label) == F.col(pred)).cast("int")).alias("accuracy"))
 
 
-def split_measures(judged: DataFrame) -> DataFrame:
+def split_measures(judged: DataFrame, binary: bool = False) -> DataFrame:
+    """Rows, accuracy and mean loss of each split; with ``binary`` labels 0 and 1 also all of
+    ``binary_metrics``."""
+    if binary:
+        loss = judged.groupBy("split").agg(F.count("*").alias("rows"), F.avg(vectors.cross_entropy("log_probs", "label_id")).alias("loss"))
+        return loss.join(binary_metrics(judged, by=("split",)), "split")
     """Accuracy and mean loss per ``split``, in one pass (``label, pred, label_id, log_probs``)."""
     return judged.groupBy("split").agg(
         F.count("*").alias("rows"),
@@ -29,10 +36,10 @@ def confusion(judged: DataFrame, label: str = "label", pred: str = "pred") -> Da
     )
 
 
-def binary_counts(judged: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
+def binary_counts(judged: DataFrame, label: str = "label", pred: str = "pred", by: Sequence[str] = ()) -> DataFrame:
     yes, no = F.col(label) == 1, F.col(label) == 0
     said_yes, said_no = F.col(pred) == 1, F.col(pred) == 0
-    return judged.agg(
+    return judged.groupBy(*by).agg(
         F.count_if(yes & said_yes).alias("tp"),
         F.count_if(no & said_no).alias("tn"),
         F.count_if(no & said_yes).alias("fp"),
@@ -44,14 +51,14 @@ def _ratio(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part, whole), F.lit(0.0))
 
 
-def binary_metrics(judged: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
+def binary_metrics(judged: DataFrame, label: str = "label", pred: str = "pred", by: Sequence[str] = ()) -> DataFrame:
     """Counts, accuracy, precision, recall, F1 and the AUC of hard labels; 0/0 reads 0.
 
     The AUC is that of the one point a hard label gives: the mean of both recalls.
     """
     tp, tn, fp, fn = (F.col(c) for c in ("tp", "tn", "fp", "fn"))
-    return binary_counts(judged, label, pred).select(
-        "tp", "tn", "fp", "fn",
+    return binary_counts(judged, label, pred, by).select(
+        *by, "tp", "tn", "fp", "fn",
         _ratio(tp + tn, tp + tn + fp + fn).alias("accuracy"),
         _ratio(tp, tp + fp).alias("precision"),
         _ratio(tp, tp + fn).alias("recall"),
@@ -60,11 +67,25 @@ def binary_metrics(judged: DataFrame, label: str = "label", pred: str = "pred")
     )
 
 
-def score_auc(scored: DataFrame, score: str = "rawPrediction", label: str = "label") -> float:
-    """AUC of the scores themselves, by Spark ML's evaluator (runs a job).
+def score_auc(scored: DataFrame, score: str = "rawPrediction", label: str = "label", parts: int = 200) -> DataFrame:
+    """``auc``, the exact area under the ROC curve of a score: the chance that a positive row
+    scores above a negative one, ties counting half. Null if either kind is missing.
 
-    Without bins the curve is exact; equal scores are combined before the sort.
+    Rows are counted per score first. The scores are cut into ``parts`` ranges; the negatives
+    below a score are those of the ranges before, whose totals are few, and of its own range.
     """
-    return BinaryClassificationEvaluator(
-        rawPredictionCol=score, labelCol=label, metricName="areaUnderROC", numBins=0
-    ).evaluate(scored)
+    counts = scored.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("score")).agg(
+        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
+    )
+    marks = [k / parts for k in range(1, parts)]
+    bounds = counts.agg(F.percentile_approx("score", marks, 10_000).alias("b")).scalar()
+    ranged = counts.withColumn("bounds", F.lit(bounds)).withColumn(
+        "range", F.size(F.filter("bounds", lambda b: b < F.col("score")))
+    )
+    totals = ranged.groupBy("range").agg(F.sum("neg").alias("all_neg"))
+    before = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)  # at most `parts` rows
+    totals = totals.select("range", F.coalesce(F.sum("all_neg").over(before), F.lit(0)).alias("before"))
+    own = W.partitionBy("range").orderBy("score").rowsBetween(W.unboundedPreceding, -1)
+    below = ranged.withColumn("own", F.coalesce(F.sum("neg").over(own), F.lit(0))).join(totals, "range")
+    wins = F.sum(F.col("pos") * (F.col("before") + F.col("own") + F.col("neg") / 2))
+    return below.agg(F.try_divide(wins, (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc"))

@@ -29,13 +29,21 @@ def drop_seen(candidates: DataFrame, seen: DataFrame, key: str = "url") -> DataF
     return candidates.join(stored, key, "left_anti")
 
 
-def one_per_key(candidates: DataFrame, key: str = "url", prefer: str = "sha1") -> DataFrame:
-    """One candidate per key, the one with the lowest ``prefer``, so that a re-run task
-    picks the same one. Repeats are combined on the map side, and the partitioning by
-    key serves ``drop_seen`` too."""
-    others = [c for c in candidates.columns if c not in (key, prefer)]
-    lowest = F.min(F.struct(prefer, *others)).alias("lowest")
-    return candidates.groupBy(key).agg(lowest).select(key, "lowest.*").select(*candidates.columns)
+def with_identity(candidates: DataFrame, key: str = "url", content: str = "sha1") -> DataFrame:
+    """``identity``: the key of an article, or its content key where it has none."""
+    return candidates.withColumn("identity", F.coalesce(F.col(key), F.concat(F.lit("sha1:"), content)))
+
+
+def one_per_key(numbered: DataFrame, key: str = "identity", prefer: str = "sha1", number: str = "row") -> DataFrame:
+    """One candidate per key, the one with the lowest ``prefer``; ``number`` tells rows apart
+    and must be written down. Rows without a key all stay.
+
+    Keys, preferences and numbers are combined on the map side; the rows themselves are
+    picked by number.
+    """
+    winners = numbered.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(prefer, number)).alias("first"))
+    kept = numbered.filter(F.col(key).isNotNull()).join(winners.select(f"first.{number}"), number, "left_semi")
+    return kept.select(*numbered.columns).unionByName(numbered.filter(F.col(key).isNull()))
 
 
 def extract_text(pages: DataFrame, html: str = "html") -> DataFrame:

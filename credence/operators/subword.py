@@ -1,16 +1,15 @@
-"""Greedy longest-match sub-words, the one step Spark's functions cannot express.
+"""Greedy longest-match sub-words, as joins of word spans with the vocabulary.
 
-Only the words that can still fit (``max_len - 2`` per document) reach Python. Each
-task memoises the words it has split, so nothing is shuffled by word and a word that
-fills the corpus costs one dictionary look-up per occurrence.
+Only words that can still fit (``max_len - 2`` per document) are split, each different one
+once: its spans of the lengths that pieces have are joined with the vocabulary, the longest
+match at each position is kept, and a fold walks from match to match. The ids then join
+the documents' words, as single tokens do in ``encode``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
-from functools import lru_cache
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,77 +18,78 @@ from ..functions import text
 from . import encode
 
 CONTINUATION = "##"
+# Positions of a long word that travel together, so that cutting spans stays linear.
+_BLOCK = 256
 
 
 def subword_vocabulary(counts: DataFrame, n: int, min_count: int = 1) -> DataFrame:
     """``token, id``: the ``n`` most frequent words and every character of the words seen
     ``min_count`` times, each also as a continuation piece. Bounded by ``n`` and the
     alphabet. Both parts read the same aggregate, so Spark computes it once."""
-    counts = counts.filter(F.length("token") <= encode.MAX_TOKEN_CHARS)
     words = encode.vocabulary(counts, n).select("token")
-    each = F.transform(F.sequence(F.lit(1), F.length("token")), lambda i: F.substr("token", i, F.lit(1)))
-    characters = counts.filter(F.col("count") >= min_count).select(F.explode(F.array_distinct(each)).alias("token"))
+    characters = counts.filter(F.col("count") >= min_count).select(
+        F.explode(F.array_distinct(F.split("token", ""))).alias("token")
+    )
     both = F.array(F.col("token"), F.concat(F.lit(CONTINUATION), F.col("token")))
-    pieces = words.union(characters).distinct().select(F.explode(both).alias("token")).distinct()
+    pieces = words.union(characters.distinct()).distinct().select(F.explode(both).alias("token")).distinct()
     rank = F.row_number().over(W.orderBy("token"))
     return pieces.select("token", (rank + (encode.FIRST_TOKEN_ID - 1)).cast("int").alias("id"))
 
 
-def collect_pieces(vocab: DataFrame, max_size: int = 200_000) -> dict[str, int]:
-    """The vocabulary as a dictionary; refuses one over ``max_size`` instead of cutting it."""
-    rows = vocab.limit(max_size + 1).toPandas()
-    if len(rows) > max_size:
-        raise ValueError(f"sub-word vocabulary has more than {max_size} pieces")
-    return dict(zip(rows["token"], rows["id"].astype(int), strict=True))
-
-
-def splitter(pieces: dict[str, int]) -> Callable[[str], list[int]]:
-    """A function from one word to its piece ids, longest match first; the unknown id
-    alone where the word is overlong or some part of it has no piece."""
-    mark, unknown, most = CONTINUATION, encode.UNK, encode.MAX_TOKEN_CHARS
-    longest = max((len(p) for p in pieces), default=0)
-
-    def split(word: str) -> list[int]:
-        if len(word) > most:
-            return [unknown]
-        ids, start = [], 0
-        while start < len(word):
-            prefix = mark if start else ""
-            ends = range(min(len(word), start + longest), start, -1)
-            end = next((e for e in ends if prefix + word[start:e] in pieces), None)
-            if end is None:
-                return [unknown]
-            ids.append(pieces[prefix + word[start:end]])
-            start = end
-        return ids
-
-    return split
+def _spans(words: DataFrame, vocab: DataFrame) -> DataFrame:
+    """``word, pos, len, piece``: every part of a word that is as long as some piece."""
+    length = F.length(F.regexp_replace("token", f"^{CONTINUATION}(?=.)", ""))
+    lengths = vocab.agg(F.coalesce(F.sort_array(F.collect_set(length)), F.array().cast("array<int>")))
+    size = F.length("word")
+    blocks = words.select(
+        "word", size.alias("size"), F.lit(lengths.scalar()).alias("lengths"),
+        F.explode(F.sequence(F.lit(1), size, F.lit(_BLOCK))).alias("start"),
+    ).withColumn("block", F.substr("word", F.col("start"), F.lit(_BLOCK) + F.coalesce(F.array_max("lengths"), F.lit(0))))
+    here = F.least(F.lit(_BLOCK), F.col("size") - F.col("start") + 1)
+    at = blocks.select("*", F.explode(F.sequence(F.lit(1), here)).alias("offset")).withColumn(
+        "pos", F.col("start") + F.col("offset") - 1
+    )
+    fitting = F.filter("lengths", lambda n: n <= F.col("size") - F.col("pos") + 1)
+    spans = at.select("word", "pos", "block", "offset", F.explode(fitting).alias("len"))
+    part = F.substr("block", F.col("offset"), F.col("len"))
+    return spans.select("word", "pos", "len", F.when(F.col("pos") > 1, F.concat(F.lit(CONTINUATION), part)).otherwise(part).alias("piece"))
+
+
+def word_pieces(words: DataFrame, vocab: DataFrame, at_most: int) -> DataFrame:
+    """``word, ids``: the first ``at_most`` piece ids of each different ``word``, longest match
+    first; words of which some part has no piece are left out."""
+    matched = _spans(words, vocab).join(vocab.select(F.col("token").alias("piece"), "id"), "piece")
+    longest = matched.groupBy("word", "pos").agg(F.max(F.struct("len", "id")).alias("m"))
+    steps = longest.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("pos", "m.len", "m.id"))).alias("steps"))
+    none = F.array().cast("array<int>")
+
+    def step(state, match):
+        taken = state["next"] == match["pos"]
+        ids = F.when(taken & (F.size(state["ids"]) < at_most), F.concat(state["ids"], F.array(match["id"]))).otherwise(state["ids"])
+        following = F.when(taken, match["pos"] + match["len"]).otherwise(state["next"])
+        return F.struct(following.alias("next"), ids.alias("ids"))
+
+    walk = F.aggregate("steps", F.struct(F.lit(1).alias("next"), none.alias("ids")), step)
+    return steps.select("word", walk.alias("walk")).filter(
+        F.col("walk.next") == F.length("word") + 1
+    ).select("word", F.col("walk.ids").alias("ids"))
 
 
 def encode_subword(
-    examples: DataFrame, pieces: dict[str, int], max_len: int, id: str = "id", text_a: str = "text_a",
+    examples: DataFrame, vocab: DataFrame, max_len: int, id: str = "id", text_a: str = "text_a",
     keep: Sequence[str] = (),
 ) -> DataFrame:
-    """``encode_single`` with words split into pieces first."""
+    """``encode_single`` with words split into the pieces of ``vocab`` first; a word that
+    cannot be split is one unknown id."""
     budget = max_len - 2
-    split = splitter(pieces)
-
-    # Closes over local names only, so executors need pandas but not this package.
-    @F.pandas_udf("array<int>")
-    def to_ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        remembered = lru_cache(maxsize=1 << 16)(split)
-
-        def document(words):
-            ids = []
-            for word in (words or "").split():
-                ids.extend(remembered(word))
-                if len(ids) >= budget:
-                    break
-            return ids[:budget]
-
-        for batch in batches:
-            yield batch.map(document)
-
-    ids = examples.select(id, *keep, to_ids(F.lower(text.lead_text(text_a, budget))).alias("ids"))
+    words = F.coalesce(text.first_tokens(text_a, budget), F.array().cast("array<string>"))
+    lead = examples.select(id, *keep, F.posexplode_outer(words).alias("pos", "word"))
+    pieces = word_pieces(lead.filter("word is not null").select("word").distinct(), vocab, budget)
+    unknown = F.array(F.lit(encode.UNK))
+    found = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("ids", unknown).alias("ids")))
+    folded = lead.join(pieces, "word", "left").groupBy(id, *keep).agg(
+        F.sort_array(F.collect_list(found)).alias("found")
+    )
+    ids = F.slice(F.flatten(F.transform("found", lambda x: x["ids"])), F.lit(1), F.lit(budget))
     n_a = F.size("ids")
-    return ids.select(id, *keep, *encode.assemble(F.col("ids"), n_a, F.lit(0), max_len))
+    return folded.withColumn("ids", ids).select(id, *keep, *encode.assemble(F.col("ids"), n_a, F.lit(0), max_len))

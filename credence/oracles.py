@@ -56,14 +56,18 @@ def strip_words(text: str, words: list[str]) -> str:
 
 CLEANED = strip_control(strip_words("text", ["token"] * len(BOILERPLATE_TOKENS)))
 
-_dropped = "|".join((
-    r"<!--(?:.*?-->|.*)", r"<head[\s>].*?</head>", r"<script[\s>](?:.*?</script>|.*)",
-    r"<style[\s>](?:.*?</style>|.*)", r"<nav[\s>].*?</nav>", r"<[^>]*>",
-))
-_text = f"regexp_replace(html, '(?is){_dropped}', ' ', 'g')"
-for _entity, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
-    _text = f"replace({_text}, '{_entity}', '{_char}')"
-PAGE_TEXT = f"trim(regexp_replace({_text}, '{SPACE}+', ' ', 'g'))"
+# The page cut up by DuckDB's own expressions: elements first, then what follows each '<',
+# then each '&'. The references are those that the test tables hold.
+_page = "html"
+for _open, _close in (("<!--", "-->"), ("<script[ >]", "</script *>"), ("<style[ >]", "</style *>"), ("<head[ >]", "</head *>"), ("<nav[ >]", "</nav *>")):
+    _page = f"regexp_replace({_page}, '(?is){_open}.*?{_close}', ' ', 'g')"
+_inside = "list_transform(string_split({page}, '<')[2:], lambda x: CASE WHEN regexp_matches(x, '^[a-zA-Z/!?]') THEN ' ' || array_to_string(string_split(x, '>')[2:], '>') ELSE '<' || x END)"
+_page = f"string_split({_page}, '<')[1] || array_to_string({_inside.format(page=_page)}, '')"
+_names = "MAP {'amp': '&', 'lt': '<', 'gt': '>', 'quot': '\"', 'middot': '·', 'copy': '©', 'nbsp': ' '}"
+_decode = f"""CASE WHEN regexp_matches(x, '^(amp|lt|gt|quot|middot|copy|nbsp)\\b')
+  THEN {_names}[regexp_extract(x, '^[a-z]+')] || regexp_replace(x, '^[a-z]+;?', '') ELSE '&' || x END"""
+_page = f"string_split({_page}, '&')[1] || array_to_string(list_transform(string_split({_page}, '&')[2:], lambda x: {_decode}), '')"
+PAGE_TEXT = f"trim(regexp_replace({_page}, '{SPACE}+', ' ', 'g'))"
 
 
 def counts(table: str, where: str = "true") -> str:
@@ -73,7 +77,7 @@ def counts(table: str, where: str = "true") -> str:
 
 VOCABULARY = f"""vocab AS (
   SELECT token, CAST(row_number() OVER (ORDER BY "count" DESC, token) + 3 AS INTEGER) AS id
-  FROM counts WHERE length(token) <= 200 QUALIFY row_number() OVER (ORDER BY "count" DESC, token) <= {q.VOCABULARY_SIZE})"""
+  FROM counts QUALIFY row_number() OVER (ORDER BY "count" DESC, token) <= {q.VOCABULARY_SIZE})"""
 
 L = q.MAX_LEN
 
@@ -121,14 +125,14 @@ laid AS (SELECT pair_id, la, lb, CASE WHEN lb = 0 THEN [2] || ids || [3]
 SUBWORDS = f"""{counts('documents')}, {VOCABULARY},
 starts AS (SELECT token FROM vocab UNION
            SELECT unnest(list_transform(range(1, length(token) + 1), lambda i: substr(token, i, 1)))
-           FROM counts WHERE length(token) <= 200),
+           FROM counts),
 pieces AS (SELECT token FROM starts UNION SELECT '##' || token FROM starts),
 sub AS (SELECT token, CAST(row_number() OVER (ORDER BY token) + 3 AS INTEGER) AS id FROM pieces)"""
 
 SEGMENTED = f"""{SUBWORDS},
 tok AS (SELECT doc_id, ({tokens('text')})[1:{L - 2}] AS toks FROM documents),
 lead AS (SELECT doc_id, unnest(toks) AS token, generate_subscripts(toks, 1) AS pos FROM tok),
-words AS (SELECT DISTINCT token AS word FROM lead WHERE length(token) <= 200),
+words AS (SELECT DISTINCT token AS word FROM lead),
 longest AS (SELECT max(length(token)) AS n FROM sub),
 starting AS (SELECT word, unnest(range(1, length(word) + 1)) AS pos FROM words),
 spans AS (SELECT word, pos, unnest(range(1, least(length(word) - pos + 1, n) + 1)) AS len
@@ -195,6 +199,27 @@ def _variants() -> str:
   GROUP BY label_kind, corpora, spaces, token_limit"""
 
 
+def sliced(rows: str, n: int, slices: dict) -> str:
+    """The sample of the scored documents with the slice of each row, start included, end not."""
+    case = " ".join(f"WHEN position >= {a} AND position < {b} THEN '{name}'" for name, (a, b) in slices.items())
+    return f"""drawn AS (SELECT *, row_number() OVER (ORDER BY sha1('{q.SEED}:' || doc_id), doc_id) - 1 AS position
+        FROM {rows} QUALIFY position < {n}),
+      parts AS (SELECT *, CASE {case} END AS split FROM drawn)"""
+
+
+def _runs() -> str:
+    both = []
+    for kind, where in (("known", "corpus = 'known'"), ("combined", "true")):
+        cut = sliced(f"(SELECT * FROM corpora WHERE {where})", q.VARIANT_SAMPLE, q.VARIANT_SLICES)
+        both.append(f"SELECT '{kind}' AS corpora, split FROM (WITH {cut} SELECT split FROM parts)")
+    return f"""{CORPORA}, n AS (SELECT corpora, count(*) FILTER (WHERE split = 'train') AS train_rows,
+            count(*) FILTER (WHERE split = 'dev') AS dev_rows FROM ({' UNION ALL '.join(both)}) GROUP BY corpora)
+      SELECT label_kind, n.corpora, spaces, CAST(token_limit AS INTEGER) AS token_limit, train_rows, true AS fitted,
+             dev_rows, true AS judged
+      FROM n, (SELECT unnest(['sentiment', 'polarity']) AS label_kind), (SELECT unnest(['raw', 'stripped']) AS spaces),
+           (SELECT unnest([32, 128, 256]) AS token_limit) WHERE dev_rows > 0"""
+
+
 ORACLES: dict[str, str] = {
     "kept_articles": f"""WITH {SCORED}
         SELECT site, polarity, count(*) AS articles FROM (
@@ -204,10 +229,10 @@ ORACLES: dict[str, str] = {
     "site_list": "SELECT 'https://' || split_part(url, '/', 3) AS site FROM pages",
     "site_union": f"""SELECT DISTINCT source AS site,
         CASE WHEN source IN ({LISTED}) THEN 'listed' ELSE 'known' END AS grp FROM documents""",
-    "text_scan": f"""WITH {FILES} SELECT name, sha1, sentiment, polarity,
+    "text_scan": f"""WITH {FILES} SELECT DISTINCT name, sha1, sentiment, polarity,
         sha1(CASE WHEN lang = 'de' THEN ''
-          ELSE replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) END) AS text_sha1 FROM files""",
-    "labelled_scan": f"""WITH {FILES} SELECT name, sentiment, polarity, sha1(text) AS sentence_sha1
+          ELSE replace(replace(text || chr(10), chr(13) || chr(10), chr(10)), chr(13), chr(10)) END) AS text_sha1 FROM files""",
+    "labelled_scan": f"""WITH {FILES} SELECT DISTINCT name, sentiment, polarity, sha1(text || chr(10)) AS sentence_sha1
         FROM files WHERE lang NOT IN ('de', 'es')""",
     "page_text": f"SELECT page_id, {PAGE_TEXT} AS text FROM pages",
     "collect_known": f"""WITH {HOSTS}, t AS (SELECT host, url, {PAGE_TEXT} AS text FROM p)
@@ -218,12 +243,16 @@ ORACLES: dict[str, str] = {
         WHERE t.host NOT IN (SELECT host FROM excluded) AND {pieces('text')} >= 50""",
     "collect_listed": f"""SELECT sha1(text) AS sha1, url, 1 AS sentiment, 0 AS polarity, 'listed' AS corpus
         FROM (SELECT url, {PAGE_TEXT} AS text FROM pages) WHERE length(text) >= 1000""",
-    "collect_stored": f"""WITH {PAGES}, t AS (SELECT host AS site, url, {PAGE_TEXT} AS text FROM p)
+    "collect_stored": f"""WITH {PAGES}, crawl AS (
+          SELECT host, url, html FROM p
+          UNION ALL SELECT host, CASE WHEN page_id % 2 = 0 THEN url END, html FROM p WHERE page_id % 5 = 0
+          UNION ALL SELECT host, 'https://one.example/for/many', html FROM p WHERE page_id % 7 = 0),
+        t AS (SELECT host AS site, url, {PAGE_TEXT} AS text FROM crawl)
         SELECT sha1(text) AS sha1, site, url, 1 AS sentiment, 0 AS polarity, 'listed' AS corpus
         FROM t WHERE length(text) >= 1000
-        QUALIFY row_number() OVER (PARTITION BY sha1(text) ORDER BY url) = 1""",
-    "article_sink": f"""WITH {CORPORA} SELECT doc_id, corpus, sentiment, true AS intact
-        FROM corpora WHERE polarity = 0""",
+        QUALIFY row_number() OVER (PARTITION BY sha1(text) ORDER BY url NULLS FIRST, site) = 1""",
+    "article_sink": f"""WITH {CORPORA} SELECT doc_id, corpus, sentiment, polarity, true AS intact
+        FROM corpora""",
     "clean_corpus_job": f"""WITH {CORPORA} SELECT corpus, polarity, count(*) AS "count",
         CAST(sum(length({CLEANED})) AS BIGINT) AS chars FROM corpora GROUP BY corpus, polarity""",
     "incremental_append": "SELECT page_id, url FROM pages",
@@ -326,4 +355,17 @@ ORACLES: dict[str, str] = {
         SELECT round(CAST(sum(pos * (lower + neg / 2)) / (sum(pos) * sum(neg)) AS DOUBLE), 9) AS auc FROM below""",
     "confusion": f'WITH {HEAD} SELECT label, pred, count(*) AS "count" FROM head GROUP BY label, pred',
     "variant_counts": f"WITH {_variants()}",
+    "train_softmax": """SELECT CAST(label AS INTEGER) AS label, count(*) AS rows, CAST(count(*) AS DOUBLE) AS expected
+        FROM embeddings GROUP BY label""",
+    "train_evaluate": f"""WITH {SCORED}, {sliced('scored', q.TRAIN_SAMPLE, q.TRAIN_SLICES)}
+        SELECT split, count(*) AS rows, CAST(sum(polarity) AS BIGINT) AS positives,
+               CASE split WHEN 'train' THEN CAST(sum(polarity) AS DOUBLE) END AS expected, true AS consistent
+        FROM parts WHERE split IS NOT NULL GROUP BY split""",
+    "train_scores": f"""WITH {SCORED}, {sliced('scored', q.TRAIN_SAMPLE, q.TRAIN_SLICES)}
+        SELECT split, sentiment AS label, count(*) AS rows,
+               CASE split WHEN 'train' THEN CAST(count(*) AS DOUBLE) END AS expected
+        FROM parts WHERE split IS NOT NULL GROUP BY split, sentiment""",
+    "predict_batch": """SELECT doc_id, sha1(text) AS sentence_sha1, CAST(1 AS DOUBLE) AS total, true AS likeliest
+        FROM documents""",
+    "variant_runs": f"WITH {_runs()}",
 }

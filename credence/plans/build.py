@@ -44,6 +44,11 @@ def build_corpora(raw: DataFrame, out: str, mode: str = "literal") -> DataFrame:
     return tally.polarity_counts(articles.read_articles(raw.sparkSession, out, cleaned.schema))
 
 
+def known(processed: DataFrame) -> DataFrame:
+    """The known corpus alone of a processed table, one per content key and score."""
+    return merge.dedupe_exact(processed.filter(F.col("corpus") == "known"), ("name",))
+
+
 def combined(processed: DataFrame) -> DataFrame:
     """The combined corpus of a processed table (``corpus`` 'known' and 'listed')."""
     known = processed.filter(F.col("corpus") == "known")

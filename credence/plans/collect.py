@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .. import schemas
+from .. import schemas, session
 from ..functions import text
 from ..operators import ingest, label, merge
 from ..sources import articles
@@ -37,8 +37,10 @@ def listed_articles(pages: DataFrame, chars: int = 1000, score: int = 1) -> Data
 
 
 def store_articles(found: DataFrame, out: str) -> None:
-    """Writes one article per content key and score; a second run replaces the first.
+    """Writes one article per content key and score, the one with the lowest URL; a second
+    run replaces the first.
 
-    The articles are staged, so that picking one copy reads keys, not pages.
+    The articles are written down once, so that picking one copy reads keys, not pages.
     """
-    articles.write_articles(merge.dedupe_exact(articles.staged(found, out), ["url"]), out)
+    with session.work_folder(found.sparkSession):
+        articles.write_articles(merge.dedupe_exact(found, ["url"]), out)

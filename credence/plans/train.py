@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import evaluate, label, model, sample
-from ..sources import articles
+from ..operators import label, model, sample
+from ..session import staging
+
+ROWS_PER_TASK = 10_000
 
 
 def labelled_examples(
@@ -25,7 +27,7 @@ def split_sample(
 ) -> DataFrame:
     """The sliced sample, staged, so that no later job redraws it."""
     drawn = sample.slice_split(sample.sample_n(labelled, n, key, seed), key, slices)
-    return articles.staged(drawn, partition_by=("split",))
+    return staging(drawn, partition_by=("split",))
 
 
 def train_on(
@@ -35,15 +37,23 @@ def train_on(
     label_list: Sequence[int],
     token_limit: int | None = None,
     num_features: int = 1 << 16,
-    max_iter: int = 50,
+    max_iter: int = 500,
 ) -> tuple[PipelineModel, DataFrame]:
-    """Fits on the ``train`` rows of a split sample and judges the others."""
+    """Fits on the ``train`` rows of a split sample and judges all of them, these included."""
     examples = model.with_tokens(
         labelled_examples(parts, label_column, label_list, key, "split"), token_limit=token_limit
     )
+    return _fit(examples, key, label_list, num_features, max_iter)
+
+
+def _fit(
+    examples: DataFrame, key: str, label_list: Sequence[int], num_features: int, max_iter: int
+) -> tuple[PipelineModel, DataFrame]:
     training = examples.filter((F.col("split") == "train") & F.col("label_id").isNotNull())
+    # The sample is bounded: each step sends its gradient once for so many rows, not per file.
+    training = training.coalesce(1 + training.count() // ROWS_PER_TASK)
     fitted = model.text_pipeline(num_features, max_iter).fit(training)
-    judged = model.predict(fitted, examples.filter(F.col("split") != "train"), label_list)
+    judged = model.predict(fitted, examples, label_list)
     return fitted, judged.select(key, "split", "label", "label_id", "log_probs", "pred", "pred_id")
 
 
@@ -57,9 +67,9 @@ def train_and_evaluate(
     seed: int = 7,
     token_limit: int | None = None,
     num_features: int = 1 << 16,
-    max_iter: int = 50,
+    max_iter: int = 500,
 ) -> tuple[PipelineModel, DataFrame]:
-    """The fitted pipeline, and the predictions on its ``dev`` and ``test`` slices.
+    """The fitted pipeline, and its predictions on all slices (``split`` tells them apart).
 
     ``labelled`` has ``sentence``, the label column and ``key``. Training sees the
     sample only, whatever the size of the corpus.
@@ -76,26 +86,30 @@ def run_variants(
     seed: int = 7,
     grid: Sequence[dict] | None = None,
     num_features: int = 1 << 16,
-    max_iter: int = 50,
-) -> list[dict]:
-    """One training run per variant; each gives its variant, accuracy and mean loss on dev.
+    max_iter: int = 500,
+) -> list[tuple[dict, DataFrame]]:
+    """One training run per variant; each gives its variant and its predictions on all slices.
 
-    The corpus is read once per kind of corpora, for the sample; the runs share it.
+    The corpus is read once per kind of corpora, for the sample, and the sample's tokens are
+    cut once per kind and whitespace handling; the runs share them.
     """
     chosen = model.variants() if grid is None else list(grid)
-    parts = {}
-    for corpora in {v["corpora"] for v in chosen}:
+    tokens = {}
+    for corpora in dict.fromkeys(v["corpora"] for v in chosen):
         rows = labelled if corpora == "combined" else labelled.filter(F.col("corpus") == "known")
-        parts[corpora] = split_sample(rows, key, n, slices, seed)
-    results = []
+        parts = split_sample(rows, key, n, slices, seed)
+        for spaces in dict.fromkeys(v["spaces"] for v in chosen if v["corpora"] == corpora):
+            cut = parts.withColumn("sentence", text.strip_control("sentence")) if spaces == "stripped" else parts
+            longest = max(v["token_limit"] for v in chosen)
+            kept = model.with_tokens(cut, "sentence", longest - 2)
+            tokens[corpora, spaces] = staging(kept.select(key, "split", "sentiment", "polarity", "tokens"))
+    runs = []
     for variant in chosen:
-        rows = parts[variant["corpora"]]
-        if variant["spaces"] == "stripped":
-            rows = rows.withColumn("sentence", text.strip_control("sentence"))
         labels = tuple(range(11)) if variant["label_kind"] == "sentiment" else (0, 1)
-        _, judged = train_on(
-            rows, key, variant["label_kind"], labels, variant["token_limit"] - 2, num_features, max_iter
+        rows = tokens[variant["corpora"], variant["spaces"]].select(
+            key, "split", F.col(variant["label_kind"]).alias("label"),
+            F.slice("tokens", F.lit(1), F.lit(variant["token_limit"] - 2)).alias("tokens"),
         )
-        dev = evaluate.split_measures(judged.filter(F.col("split") == "dev")).first()
-        results.append({**variant, "accuracy": dev and dev["accuracy"], "loss": dev and dev["loss"]})
-    return results
+        _, judged = _fit(model.with_label_id(rows, labels), key, labels, num_features, max_iter)
+        runs.append((variant, judged))
+    return runs

@@ -9,14 +9,15 @@ assistant turn of ``conversations`` is a text pair.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import keys, text, vectors
 from .operators import encode, evaluate, ingest, label, merge, model, profile, sample, subword, tally
-from .plans import build, collect, train
-from .session import shared_folder
+from .plans import build, collect, predict, train
+from .session import shared_folder, staging
 from .sources import articles, dimensions, scans
 from .streaming import incremental
 
@@ -34,6 +35,8 @@ SLICES = {"train": (0, 900), "dev": (901, 950), "test": (951, 999)}
 # Scored documents are fewer than documents, so training draws a smaller sample.
 TRAIN_SAMPLE = 800
 TRAIN_SLICES = {"train": (0, 700), "dev": (701, 750), "test": (751, 799)}
+VARIANT_SAMPLE = 700
+VARIANT_SLICES = {"train": (0, 600), "dev": (601, 650)}
 VECTOR_SIZE, VECTOR_LABELS = 64, 10
 WEIGHTS = [[((31 * k + 17 * i) % 23 - 11) / 50 for i in range(VECTOR_SIZE)] for k in range(VECTOR_LABELS)]
 BIAS = [(k % 5 - 2) / 10 for k in range(VECTOR_LABELS)]
@@ -159,14 +162,16 @@ def _flat(features: DataFrame, *others: str) -> DataFrame:
 
 def kept_articles(spark, d):
     """Flagship: score, keep long enough articles, one per copy, count by site and polarity."""
-    kept = _keyed(_scored(spark, d).filter(text.has_min_words("text")))
-    unique = merge.dedupe_exact(kept.select("doc_id", "site", "sha1", "sentiment", "polarity"), ["doc_id"])
-    return unique.groupBy("site", "polarity").agg(F.count("*").alias("articles"))
+    kept = _keyed(label.attach_score(_documents(spark, d), _scores(spark)).filter(text.has_min_words("text")))
+    unique = merge.dedupe_exact(kept.select("doc_id", "site", "sha1", "sentiment"), ["doc_id"])
+    return label.attach_polarity(unique).groupBy("site", "polarity").agg(F.count("*").alias("articles"))
 
 
 def site_list(spark, d):
-    lines = _pages(spark, d).select(F.concat("host", F.lit(" \t")).alias("value"))
-    return dimensions.site_list(lines)
+    """The hosts written as a site list, and the list read."""
+    path = shared_folder(spark)
+    dimensions.write_site_list(_pages(spark, d).select(F.concat("host", F.lit(" \t")).alias("site")), path)
+    return dimensions.read_site_list(spark, path)
 
 
 def site_union(spark, d):
@@ -178,13 +183,20 @@ def site_union(spark, d):
     )
 
 
+def _folder(spark: SparkSession, d: str) -> str:
+    path = shared_folder(spark)
+    scans.write_files(_files(spark, d), path)
+    return path
+
+
 def text_scan(spark, d):
-    files = scans.article_files(_files(spark, d).drop("doc_id"))
+    """The documents written as one file each, and the folder scanned."""
+    files = scans.article_files(scans.scan_files(spark, _folder(spark, d)))
     return files.select("name", "sha1", "sentiment", "polarity", keys.content_key("text").alias("text_sha1"))
 
 
 def labelled_scan(spark, d):
-    return scans.labelled(_files(spark, d)).select(
+    return scans.read_labelled(spark, _folder(spark, d)).select(
         "name", "sentiment", "polarity", keys.content_key("sentence").alias("sentence_sha1")
     )
 
@@ -205,20 +217,26 @@ def collect_listed(spark, d):
 
 
 def collect_stored(spark, d):
-    """Listed articles stored one per copy, and read back."""
-    pages = _table(spark, d, "pages").select(keys.host("url").alias("site"), "url", "html")
+    """Listed articles stored one per copy, and read back. Some pages were fetched twice under
+    one URL, some have none."""
+    pages = _table(spark, d, "pages").select(keys.host("url").alias("site"), "page_id", "url", "html")
+    again = pages.filter(F.col("page_id") % 5 == 0).withColumn("url", F.when(F.col("page_id") % 2 == 0, F.col("url")))
+    moved = pages.filter(F.col("page_id") % 7 == 0).withColumn("url", F.lit("https://one.example/for/many"))
+    crawled = pages.unionByName(again).unionByName(moved).select("site", "url", "html")
     path = shared_folder(spark)
-    collect.store_articles(collect.listed_articles(pages), path)
+    collect.store_articles(collect.listed_articles(crawled), path)
     return articles.read_articles(spark, path).select("sha1", "site", "url", "sentiment", "polarity", "corpus")
 
 
 def article_sink(spark, d):
-    """Written by corpus and polarity, then read back from the negative side only."""
+    """Written by corpus and polarity, then both sides read back."""
     path = shared_folder(spark)
     rows = _keyed(_corpora(spark, d)).select("doc_id", "sha1", "text", "sentiment", "polarity", "corpus")
     articles.write_articles(rows, path)
-    stored = articles.read_articles(spark, path, rows.schema).filter(F.col("polarity") == 0)
-    return stored.select("doc_id", "corpus", "sentiment", (keys.content_key("text") == F.col("sha1")).alias("intact"))
+    stored = articles.read_articles(spark, path, rows.schema)
+    return stored.select(
+        "doc_id", "corpus", "sentiment", "polarity", (keys.content_key("text") == F.col("sha1")).alias("intact")
+    )
 
 
 def clean_corpus_job(spark, d):
@@ -404,7 +422,7 @@ def exact_dedupe(spark, d):
 def dedupe_texts(spark, d):
     """The same with the whole texts carried along."""
     rows = _keyed(_scored(spark, d)).select("doc_id", "sha1", "sentiment", "text")
-    return merge.dedupe_exact(rows, ["doc_id"])
+    return merge.dedupe_exact(rows, ["doc_id"], unique_ids=True)
 
 
 def cleaned_dedupe(spark, d):
@@ -459,9 +477,9 @@ def subword_vocabulary(spark, d):
 
 
 def encode_subword(spark, d):
-    pieces = subword.collect_pieces(subword_vocabulary(spark, d))
+    vocab = staging(subword_vocabulary(spark, d))
     examples = _documents(spark, d).select("doc_id", F.col("text").alias("text_a"))
-    return _flat(subword.encode_subword(examples, pieces, MAX_LEN, id="doc_id"), "doc_id")
+    return _flat(subword.encode_subword(examples, vocab, MAX_LEN, id="doc_id"), "doc_id")
 
 
 # --- model and evaluation --------------------------------------------------------------
@@ -514,8 +532,7 @@ def score_auc(spark, d):
     """The length itself as the score of a text."""
     truth = _table(spark, d, "labels").select("doc_id", F.col("quality").alias("label"))
     sizes = _table(spark, d, "documents").select("doc_id", F.col("n_chars").cast("double").alias("score"))
-    auc = evaluate.score_auc(sizes.join(truth, "doc_id"), "score")
-    return spark.createDataFrame([(round(auc, 9),)], "auc double")
+    return evaluate.score_auc(sizes.join(truth, "doc_id"), "score").select(F.round("auc", 9).alias("auc"))
 
 
 def confusion(spark, d):
@@ -527,48 +544,90 @@ def variant_counts(spark, d):
 
 
 def train_softmax(spark, d):
-    """The softmax layer fitted on sentence vectors, and its confusion on them."""
-    rows = model.with_label_id(
-        model.with_vector(_table(spark, d, "embeddings"), "embedding"), list(range(VECTOR_LABELS))
-    )
-    fitted = model.vector_pipeline(max_iter=20).fit(rows)
-    return evaluate.confusion(model.predict(fitted, rows, list(range(VECTOR_LABELS))))
+    """The softmax layer fitted on sentence vectors: at the optimum the summed probability of
+    each label is the number of rows that have it."""
+    labels = list(range(VECTOR_LABELS))
+    rows = model.with_label_id(model.with_vector(_table(spark, d, "embeddings"), "embedding"), labels)
+    fitted = model.vector_pipeline(reg=0.01).fit(rows)
+    return _sums(model.label_sums(model.predict(fitted, rows, labels), labels))
+
+
+def _sums(sums: DataFrame, *by: str) -> DataFrame:
+    return sums.filter("rows > 0").select(*by, "label", "rows", F.round("expected", 1).alias("expected"))
+
+
+def _sentences(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).select("doc_id", F.col("text").alias("sentence"), "sentiment", "polarity")
+
+
+def _consistent() -> Column:
+    """Whether the measures of a split are those of its own four counts."""
+    tp, tn, fp, fn = (F.col(c) for c in ("tp", "tn", "fp", "fn"))
+    same = [
+        tp + tn + fp + fn == F.col("rows"), F.abs(F.col("accuracy") * F.col("rows") - tp - tn) < 1e-6,
+        F.abs(F.col("precision") * (tp + fp) - tp) < 1e-6, F.abs(F.col("recall") * (tp + fn) - tp) < 1e-6,
+        F.abs(F.col("f1") * (2 * tp + fp + fn) - 2 * tp) < 1e-6, F.col("auc").between(0, 1), F.col("loss") >= 0,
+    ]
+    return reduce(lambda a, b: a & b, same)
 
 
 def train_evaluate(spark, d):
-    """Text classifier on the sliced sample, judged on the dev and test slices."""
-    rows = _scored(spark, d).select("doc_id", F.col("text").alias("sentence"), "sentiment", "polarity")
+    """Text classifier on the sliced sample: its measures on every slice agree with its counts,
+    and the probabilities it gives the training rows sum to their labels."""
+    _, judged = train.train_and_evaluate(
+        _sentences(spark, d), "doc_id", "polarity", (0, 1), TRAIN_SAMPLE, TRAIN_SLICES, SEED
+    )
+    judged = staging(judged)
+    measures = evaluate.split_measures(judged, binary=True)
+    sums = model.label_sums(judged, (0, 1), "split").filter("label = 1")
+    expected = F.when(F.col("split") == "train", F.round("expected", 1))
+    return measures.join(sums.withColumnRenamed("rows", "positives"), "split").select(
+        "split", "rows", "positives", expected.alias("expected"), _consistent().alias("consistent")
+    )
+
+
+def train_scores(spark, d):
+    """The same with the labels 0 to 10."""
     _, judged = train.train_and_evaluate(
-        rows, "doc_id", "polarity", (0, 1), TRAIN_SAMPLE, TRAIN_SLICES, SEED, num_features=1 << 12, max_iter=10
+        _sentences(spark, d), "doc_id", "sentiment", LABELS, TRAIN_SAMPLE, TRAIN_SLICES, SEED
     )
-    return evaluate.split_measures(judged)
+    sums = _sums(model.label_sums(judged, LABELS, "split"), "split")
+    return sums.withColumn("expected", F.when(F.col("split") == "train", F.col("expected")))
 
 
 def predict_batch(spark, d):
-    """A classifier trained on the sample labels every document."""
-    rows = _scored(spark, d).select("doc_id", F.col("text").alias("sentence"), "sentiment", "polarity")
+    """A classifier trained on the sample, saved, and loaded to label every document."""
     fitted, _ = train.train_and_evaluate(
-        rows, "doc_id", "polarity", (0, 1), TRAIN_SAMPLE, TRAIN_SLICES, SEED, num_features=1 << 12, max_iter=10
+        _sentences(spark, d), "doc_id", "polarity", (0, 1), TRAIN_SAMPLE, TRAIN_SLICES, SEED
     )
+    path = shared_folder(spark)
+    fitted.write().save(f"{path}/model")
     sentences = _documents(spark, d).select("doc_id", F.col("text").alias("sentence"))
-    scored = model.predict(fitted, model.with_tokens(sentences, "sentence"), (0, 1))
-    return scored.select(
-        "doc_id", F.round(F.try_element_at("log_probs", F.lit(1)), 6).alias("log_prob_negative"),
-        F.round(F.try_element_at("log_probs", F.lit(2)), 6).alias("log_prob_positive"),
-        "pred", label.label_name("pred_id").alias("label"),
+    predict.predict_to_table(f"{path}/model", sentences, f"{path}/predictions", (0, 1), keep=("doc_id",))
+    found = predict.read_predictions(spark, f"{path}/predictions", sentences.select("doc_id").schema)
+    total = F.aggregate("log_probs", F.lit(0.0), lambda acc, x: acc + F.exp(x))
+    return found.select(
+        "doc_id", F.sha1("sentence").alias("sentence_sha1"), F.round(total, 6).alias("total"),
+        (F.col("label") == vectors.argmax("log_probs")).alias("likeliest"),
     )
 
 
 def variant_runs(spark, d):
-    """Both label kinds on both kinds of corpora, trained and judged on the dev slice."""
+    """All variants, trained on the same sample: rows of both slices, and whether the fit is at
+    its optimum (summed probabilities are label counts) and its measures are in bounds."""
     rows = _corpora(spark, d).select("doc_id", F.col("text").alias("sentence"), "sentiment", "polarity", "corpus")
-    grid = [v for v in model.variants() if v["spaces"] == "raw" and v["token_limit"] == 128]
-    results = train.run_variants(
-        rows, "doc_id", 700, {"train": (0, 600), "dev": (601, 650)}, SEED, grid, 1 << 12, 10
-    )
-    return spark.createDataFrame(
-        results, "label_kind string, corpora string, spaces string, token_limit int, accuracy double, loss double"
-    )
+    runs = train.run_variants(rows, "doc_id", VARIANT_SAMPLE, VARIANT_SLICES, SEED)
+
+    def checked(variant: dict, judged: DataFrame) -> DataFrame:
+        labels = LABELS if variant["label_kind"] == "sentiment" else (0, 1)
+        sums = model.label_sums(judged.filter(F.col("split") == "train"), labels)
+        fit = sums.agg(F.sum("rows").alias("train_rows"), (F.max(F.abs(F.col("rows") - F.col("expected"))) < 0.5).alias("fitted"))
+        dev = evaluate.split_measures(judged.filter(F.col("split") == "dev")).select(
+            F.col("rows").alias("dev_rows"), (F.col("accuracy").between(0, 1) & (F.col("loss") >= 0)).alias("judged"))
+        both = fit.withColumn("one", F.lit(1)).join(dev.withColumn("one", F.lit(1)), "one").drop("one")
+        return both.select(*[F.lit(v).alias(k) for k, v in variant.items()], "train_rows", "fitted", "dev_rows", "judged")
+
+    return reduce(DataFrame.unionAll, [checked(*run) for run in runs])
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -584,7 +643,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         preview, exact_dedupe, dedupe_texts, cleaned_dedupe, combined_corpus, labelled_concat,
         vocabulary, encode_single, encode_quality, encode_pair, subword_vocabulary, encode_subword,
         linear_head, one_hot, cross_entropy, mean_loss, accuracy, binary_counts, prf1, hard_auc,
-        score_auc, confusion, variant_counts, train_softmax, train_evaluate, predict_batch,
-        variant_runs,
+        score_auc, confusion, variant_counts, train_softmax, train_evaluate, train_scores,
+        predict_batch, variant_runs,
     )
 }

@@ -32,6 +32,15 @@ ARTICLES = T.StructType([
     T.StructField("corpus", T.StringType()),
 ])
 
+PROCESSED = T.StructType([
+    T.StructField("name", T.StringType()),
+    T.StructField("sha1", T.StringType()),
+    T.StructField("sentiment", T.IntegerType()),
+    T.StructField("polarity", T.IntegerType()),
+    T.StructField("text", T.StringType()),
+    T.StructField("corpus", T.StringType()),
+])
+
 LABELLED = T.StructType([
     T.StructField("sentence", T.StringType()),
     T.StructField("sentiment", T.IntegerType()),

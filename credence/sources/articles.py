@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from .. import schemas
-from ..session import shared_folder
 
 
 def write_articles(articles: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -18,16 +15,3 @@ def write_articles(articles: DataFrame, path: str, mode: str = "overwrite") -> N
 
 def read_articles(spark: SparkSession, path: str, schema: T.StructType = schemas.ARTICLES) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
-
-
-def staged(df: DataFrame, target: str | None = None, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """``df`` written down in the shared folder and read back.
-
-    For a frame that is costly to compute and read more than once: it is computed once,
-    survives lost executors, and has a known size. With ``target``, what was staged
-    for that path before is replaced.
-    """
-    name = target and f"staging-{hashlib.sha1(target.encode()).hexdigest()}"
-    path = shared_folder(df.sparkSession, name)
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)

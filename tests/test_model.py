@@ -59,7 +59,18 @@ def test_binary_metrics(spark):
 def test_hard_auc_is_the_evaluators(spark):
     df = judged(spark, 3, 2, 1, 4).withColumn("score", F.col("pred").cast("double"))
     hard = evaluate.binary_metrics(df).first()["auc"]
-    assert evaluate.score_auc(df, "score") == pytest.approx(hard)
+    assert evaluate.score_auc(df, "score").first()["auc"] == pytest.approx(hard)
+
+
+@pytest.mark.parametrize("parts", [2, 200])
+def test_score_auc_against_all_pairs(spark, parts):
+    rng = np.random.default_rng(5)
+    data = [(int(rng.integers(0, 2)), float(rng.integers(0, 40)) if rng.random() < 0.95 else None) for _ in range(400)]
+    df = spark.createDataFrame(data, "label int, score double")
+    pos, neg = ([s for y, s in data if y == k and s is not None] for k in (1, 0))
+    wins = sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg))
+    assert evaluate.score_auc(df, "score", parts=parts).first()["auc"] == pytest.approx(wins)
+    assert evaluate.score_auc(df.filter("label = 1"), "score").first()["auc"] is None
 
 
 def test_empty_ratios_are_zero(spark):
@@ -102,9 +113,14 @@ SLICES = {"train": (0, 80), "dev": (81, 100), "test": (101, 119)}
 @pytest.mark.parametrize("kind,labels", [("polarity", (0, 1)), ("sentiment", tuple(range(11)))])
 def test_training_separates_what_is_separable(spark, labelled, tmp_path, kind, labels):
     fitted, scored = train.train_and_evaluate(
-        labelled, "name", kind, labels, 120, SLICES, num_features=512, max_iter=15
+        labelled, "name", kind, labels, 120, SLICES, num_features=512
     )
-    measures = {r["split"]: r for r in evaluate.split_measures(scored).collect()}
+    measures = {r["split"]: r for r in evaluate.split_measures(scored, binary=kind == "polarity").collect()}
+    if kind == "polarity":
+        for r in measures.values():
+            assert (r["f1"], r["auc"], r["precision"], r["recall"]) == (1.0, 1.0, 1.0, 1.0) and r["tp"] + r["tn"] == r["rows"]
+    sums = model.label_sums(scored.filter("split = 'train'"), labels).collect()
+    assert sum(r["rows"] for r in sums) == 80 and all(abs(r["rows"] - r["expected"]) < 0.05 for r in sums)
     assert (measures["dev"]["rows"], measures["test"]["rows"]) == (19, 18)
     assert measures["dev"]["accuracy"] == measures["test"]["accuracy"] == 1.0
     assert 0 < measures["dev"]["loss"] < 1
@@ -133,12 +149,14 @@ def test_variants(spark, labelled):
 
 def test_run_variants(spark, labelled):
     grid = [v for v in model.variants() if v["token_limit"] == 32 and v["label_kind"] == "polarity"][:2]
-    results = train.run_variants(labelled, "name", 90, {"train": (0, 60), "dev": (61, 85)}, grid=grid, max_iter=5)
-    assert len(results) == 2
-    assert all(r["accuracy"] is not None and r["accuracy"] > 0.8 for r in results)
+    runs = train.run_variants(labelled, "name", 90, {"train": (0, 60), "dev": (61, 85)}, grid=grid, num_features=512)
+    assert [v for v, _ in runs] == grid
+    for _, judged in runs:
+        dev = evaluate.split_measures(judged).filter("split = 'dev'").first()
+        assert dev["rows"] == 24 and dev["accuracy"] > 0.8
 
 
-def test_command_line_trains_and_predicts(spark, tmp_path):
+def test_command_line_trains_and_predicts(spark, tmp_path, capsys):
     from credence.__main__ import main
 
     articles = spark.createDataFrame(
@@ -152,3 +170,7 @@ def test_command_line_trains_and_predicts(spark, tmp_path):
     main(["predict", str(tmp_path / "model"), str(tmp_path / "sentences.txt"), str(tmp_path / "out"), "--label", "polarity"])
     got = {r["sentence"]: r["label"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {"a calm report": 1, "a shocking secret": 0}
+    main(["train", str(tmp_path / "processed"), str(tmp_path / "other"), "--label", "polarity", "--corpora", "known", "--spaces", "stripped",
+          "--token-limit", "32", "--sample", "110", "--slice", "train=0:90", "--slice", "dev=90:110", "--seed", "3"])
+    shown = capsys.readouterr().out
+    assert "|  dev|  20|" in shown and "|train|  90|" in shown and "f1" in shown and "auc" in shown

@@ -1,5 +1,7 @@
 """Samples, splits, vocabulary and encoding."""
 
+import random
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -80,8 +82,20 @@ def test_vocabulary_order(spark):
     got = [(r["token"], r["id"]) for r in encode.vocabulary(counts, 3).orderBy("id").collect()]
     assert got == [("a", 4), ("b", 5), ("x", 6)]
     assert encode.vocabulary(counts, 10).count() == 4
-    long = spark.createDataFrame([("x" * 200, 1), ("y" * 201, 9)], schemas.TOKEN_COUNTS)
-    assert [r["token"] for r in encode.vocabulary(long, 10).collect()] == ["x" * 200]
+
+
+def test_long_tokens_have_ids_too(spark):
+    long = "y" * 5000
+    counts = spark.createDataFrame([("x", 3), (long, 9), (long + "z", 1)], schemas.TOKEN_COUNTS)
+    vocab = encode.vocabulary(counts, 2)
+    assert {r["token"]: r["id"] for r in vocab.collect()} == {long: 4, "x": 5}
+    assert encoded(spark, vocab, [f"x {long} {long}z"], 6)[0][0] == [2, 5, 4, 1, 3, 0]
+
+
+def test_repeated_ids_are_reported(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d")], "id int, text_a string")
+    assert encode.repeated_ids(df).first()["repeated"] == 2
+    assert encode.repeated_ids(df.filter("id = 2")).first()["repeated"] == 0
 
 
 def arrays(row):
@@ -174,33 +188,59 @@ def test_encode_pair_hand_rows(spark, vocab):
 
 # --- sub-words
 
-def test_greedy_longest_match():
-    pieces = {"un": 4, "unaff": 5, "##aff": 6, "##able": 7, "a": 8, "##a": 9}
-    split = subword.splitter(pieces)
-    assert split("unaffable") == [5, 7]
-    assert split("unaa") == [4, 9, 9]
-    assert split("a" * 200) == [8] + [9] * 199 and split("a" * 201) == [encode.UNK]
-    assert split("unx") == [encode.UNK] and split("") == []
+def split_all(spark, pieces, words, at_most=1000):
+    vocab = spark.createDataFrame(list(pieces.items()), schemas.VOCABULARY)
+    df = spark.createDataFrame([(w,) for w in words], "word string")
+    return {r["word"]: r["ids"] for r in subword.word_pieces(df, vocab, at_most).collect()}
+
+
+def greedy(pieces, word):
+    ids, start = [], 0
+    while start < len(word):
+        prefix = "##" if start else ""
+        end = next((e for e in range(len(word), start, -1) if prefix + word[start:e] in pieces), None)
+        if end is None:
+            return None
+        ids.append(pieces[prefix + word[start:end]])
+        start = end
+    return ids
+
+
+def test_greedy_longest_match(spark):
+    pieces = {"un": 4, "unaff": 5, "##aff": 6, "##able": 7, "a": 8, "##a": 9, "é😀": 10, "##😀": 11, "##": 12}
+    got = split_all(spark, pieces, ["unaffable", "unaa", "a" * 200, "a" * 700, "unx", "é😀😀", "##a"])
+    assert got == {"unaffable": [5, 7], "unaa": [4, 9, 9], "a" * 200: [8] + [9] * 199, "a" * 700: [8] + [9] * 699, "é😀😀": [10, 11], "##a": [9]}
+    assert split_all(spark, pieces, ["a" * 300], 5) == {"a" * 300: [8, 9, 9, 9, 9]}
+
+
+def test_greedy_match_of_random_words(spark):
+    rng = random.Random(4)
+    alphabet = ["".join(rng.choices("abc", k=rng.randint(1, 4))) for _ in range(12)]
+    pieces = {p: i + 4 for i, p in enumerate({*alphabet, *("##" + p for p in alphabet), "##a", "##b", "a", "b"})}
+    words = ["".join(rng.choices("abc", k=rng.randint(1, 600))) for _ in range(60)] + ["".join(rng.choices("ab", k=9)) for _ in range(60)]
+    want = {w: ids for w in words if (ids := greedy(pieces, w)) is not None}
+    assert split_all(spark, pieces, sorted(set(words))) == want and len(want) > 50
 
 
 def test_subword_vocabulary_and_encoding(spark):
-    df = spark.createDataFrame([(1, "abab ab ab c"), (2, ""), (3, None), (4, "abc " * 50)], "id int, text_a string")
+    df = spark.createDataFrame([(1, "abab ab ab c"), (2, ""), (3, None), (4, "abc " * 50), (5, "ab zz c")], "id int, text_a string")
     counts = profile.token_frequency(df.filter("id = 1"), "text_a")
     vocab = subword.subword_vocabulary(counts, 1)
-    pieces = subword.collect_pieces(vocab)
+    pieces = {r["token"]: r["id"] for r in vocab.collect()}
     assert sorted(pieces) == ["##a", "##ab", "##b", "##c", "a", "ab", "b", "c"]
     assert sorted(pieces.values()) == list(range(4, 12))
-    out = {r["id"]: arrays(r) for r in subword.encode_subword(df, pieces, 8).collect()}
-    assert subword.encode_subword(df.limit(0), pieces, 8).count() == 0
+    out = {r["id"]: arrays(r) for r in subword.encode_subword(df, vocab, 8).collect()}
+    assert subword.encode_subword(df.limit(0), vocab, 8).count() == 0
     ab, rest, c = pieces["ab"], pieces["##ab"], pieces["c"]
     assert out[1][0] == [2, ab, rest, ab, ab, c, 3, 0]
     assert out[2][0] == out[3][0] == [2, 3, 0, 0, 0, 0, 0, 0]
     assert out[4][0] == [2, *[ab, pieces["##c"]] * 3, 3]
-    with pytest.raises(ValueError):
-        subword.collect_pieces(vocab, max_size=3)
+    assert out[5][0] == [2, ab, encode.UNK, c, 3, 0, 0, 0]
+    none = vocab.filter("false")
+    assert {r["id"]: r["input_ids"] for r in subword.encode_subword(df, none, 8).collect()}[5] == [2, 1, 1, 1, 3, 0, 0, 0]
 
 
-def test_subword_plan_shuffles_nothing(spark):
+def test_subword_plan_has_no_python(spark):
     df = spark.createDataFrame([(1, "a")], "id int, text_a string")
-    text = plan(subword.encode_subword(df, {"a": 4}, 8))
-    assert "ArrowEvalPython" in text and "Exchange" not in text
+    vocab = spark.createDataFrame([("a", 4)], schemas.VOCABULARY)
+    assert "Python" not in plan(subword.encode_subword(df, vocab, 8))

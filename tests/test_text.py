@@ -1,6 +1,7 @@
 """Row-local expressions against hand rows and Python's own string functions."""
 
 import re
+import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -78,6 +79,41 @@ def test_first_tokens_of_a_long_text_does_not_overflow(spark):
     assert [len(g) for g in got] == [254, 1, 0]
 
 
+@pytest.mark.parametrize(("page", "shown"), [
+    ("<p>a</script ><b>x", "a x"),
+    ("one<script>two</script >three", "one three"),
+    ("one<style media=x>two</STYLE >three", "one three"),
+    ("when 3 < 4 and it matters</p>", "when 3 < 4 and it matters"),
+    ('<a title="x > y">z', "z"),
+    ("<a title='x > y' b = \"c>d\">z", "z"),
+    ("<p class=it's>don't</p>", "don't"),
+    ('<p>a="b"</p>', 'a="b"'),
+    ("a &middot; b &copy; 2020 &copy 2021", "a · b © 2020 © 2021"),
+    ("&amp;lt; &lt;b&gt; &#8212; &#x1F600; &#150; &#0; &#xD800; &#99999999999999999999;", "&lt; <b> — 😀 – \ufffd \ufffd \ufffd"),
+    ("&nosuch; & &#; &&amp;&", "&nosuch; & &#; &&&"),
+    ("x<nav>menu", "x menu"),
+    ("<nav>a<nav>b</nav >c</nav>d", "c d"),
+    ("<head><title>t</title></head><header>k</header>", "k"),
+    ("a<!-- b > --> c <!-- d", "a c"),
+    ("<script>var t='</p>';", ""),
+    (None, None), ("", ""),
+])
+def test_html_cases(spark, page, shown):
+    assert values(spark, text.html_text, [page]) == [shown]
+
+
+@pytest.mark.parametrize("part", ["<nav>", "<head>", "<a ", '<a "', "<!--", "<script>", "<style>", "<a b='", "<", "&", "</nav>", "<a b='c' ", "&#", "="])
+def test_hostile_pages_take_linear_time(spark, part):
+    def seconds(size):
+        df = spark.createDataFrame([("<a " + part * (size // len(part)),)], "h string")
+        start = time.perf_counter()
+        df.select(text.html_text("h").alias("t")).agg(F.length(F.max("t"))).collect()
+        return time.perf_counter() - start
+
+    seconds(1000)
+    assert seconds(2_000_000) < 30  # quadratic time would be hours
+
+
 def test_html_text(spark):
     page = (
         "<html><head><title>T</title><style>p{}</style></head><body><nav><a>menu</a></nav>"
