@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import pieces, staged
 
 SECTION_ENDS = 32
-# Up to six words, ended early by punctuation; a word of over 80 characters counts as several.
-SPAN = regex.compile(r"\S{1,80}(?:(?<![.,;:!?])\s+\S{1,80}){0,5}+\s*+|\s+")
+# Up to three words, ended early by punctuation; a word of over 80 characters counts as several.
+SPAN = regex.compile(r"\S{1,80}(?:(?<![.,;:!?])\s+\S{1,80}){0,2}+\s*+|\s+")
 
 
 def _digest(content: bytes) -> bytes:
