@@ -15,7 +15,7 @@ from ..functions import text, vectors
 from . import label as labels
 
 
-def text_pipeline(num_features: int = 1 << 16, max_iter: int = 500, reg: float = 1.0) -> Pipeline:
+def text_pipeline(num_features: int = 1 << 14, max_iter: int = 500, reg: float = 1.0) -> Pipeline:
     """Hashed token counts, inverse document frequency, multinomial logistic regression.
 
     Hashing needs no vocabulary pass and keeps the coefficients at labels x features. With far
@@ -36,7 +36,7 @@ def vector_pipeline(max_iter: int = 500, reg: float = 0.0) -> Pipeline:
 def _softmax(max_iter: int, reg: float) -> LogisticRegression:
     # The tolerance ends the fit; the number of steps is only a stop for one that never settles.
     return LogisticRegression(
-        family="multinomial", featuresCol="features", labelCol="label_id", maxIter=max_iter, regParam=reg, tol=1e-7
+        family="multinomial", featuresCol="features", labelCol="label_id", maxIter=max_iter, regParam=reg, tol=1e-6
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
@@ -36,7 +37,7 @@ def train_on(
     label_column: str,
     label_list: Sequence[int],
     token_limit: int | None = None,
-    num_features: int = 1 << 16,
+    num_features: int = 1 << 14,
     max_iter: int = 500,
 ) -> tuple[PipelineModel, DataFrame]:
     """Fits on the ``train`` rows of a split sample and judges all of them, these included."""
@@ -66,7 +67,7 @@ def train_and_evaluate(
     slices: dict[str, tuple[int, int]] | None = None,
     seed: int = 7,
     token_limit: int | None = None,
-    num_features: int = 1 << 16,
+    num_features: int = 1 << 14,
     max_iter: int = 500,
 ) -> tuple[PipelineModel, DataFrame]:
     """The fitted pipeline, and its predictions on all slices (``split`` tells them apart).
@@ -85,8 +86,9 @@ def run_variants(
     slices: dict[str, tuple[int, int]],
     seed: int = 7,
     grid: Sequence[dict] | None = None,
-    num_features: int = 1 << 16,
+    num_features: int = 1 << 14,
     max_iter: int = 500,
+    parallelism: int = 8,
 ) -> list[tuple[dict, DataFrame]]:
     """One training run per variant; each gives its variant and its predictions on all slices.
 
@@ -103,13 +105,15 @@ def run_variants(
             longest = max(v["token_limit"] for v in chosen)
             kept = model.with_tokens(cut, "sentence", longest - 2)
             tokens[corpora, spaces] = staging(kept.select(key, "split", "sentiment", "polarity", "tokens"))
-    runs = []
-    for variant in chosen:
+    def run(variant: dict) -> tuple[dict, DataFrame]:
         labels = tuple(range(11)) if variant["label_kind"] == "sentiment" else (0, 1)
         rows = tokens[variant["corpora"], variant["spaces"]].select(
             key, "split", F.col(variant["label_kind"]).alias("label"),
             F.slice("tokens", F.lit(1), F.lit(variant["token_limit"] - 2)).alias("tokens"),
         )
         _, judged = _fit(model.with_label_id(rows, labels), key, labels, num_features, max_iter)
-        runs.append((variant, judged))
-    return runs
+        return variant, judged
+
+    # A step of one fit is one small task; fits side by side fill the cluster.
+    with ThreadPoolExecutor(parallelism) as pool:
+        return list(pool.map(run, chosen))
