@@ -31,7 +31,7 @@ TRAIN_ROWS = 400  # about so many documents of each language, drawn by hash, fit
 ROUNDS = 4
 SMOOTHING = 0.1
 UNKNOWN = 1e-6
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 256 << 10
 MARK = "▁"
 UNDETERMINED = "und"
 
@@ -179,8 +179,8 @@ def forward(pieces_: Pieces, chance: np.ndarray, codes, begin, length) -> np.nda
 def expected_counts(pieces_: Pieces, chance: np.ndarray, language, weight, codes, begin, length) -> np.ndarray:
     """Expected uses of each node as a piece in each language, for runs of known language."""
     total = np.zeros(chance.size)
-    for at in range(0, len(begin), 20_000):
-        part = slice(at, at + 20_000)
+    for at in range(0, len(begin), 5_000):
+        part = slice(at, at + 5_000)
         b, n, own, times = begin[part], length[part], language[part], weight[part]
         longest = int(n.max())
         grid = np.zeros((len(b), longest), np.int32)
