@@ -21,8 +21,7 @@ SHARDS = 16
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told: no null text, no text without letters, one likeliest language."""
     model = language.fit(docs, language.read_vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
-    judged = language.identify(docs, model, tuple(docs.columns))
-    return judged.where((judged.lang_pred != language.UNDETERMINED) & (judged.score >= LEAST_SCORE)).select(docs.columns)
+    return language.told(docs, model, LEAST_SCORE)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -318,10 +318,11 @@ def identify(docs: DataFrame, model: Model | None, columns: tuple[str, ...] = ()
 
     ``score`` is the predicted language's share of the probability. Null texts and texts
     without letters, and all texts if there is no model, are ``und`` with score 0. Equal
-    rows give equal rows. Only the text decides; nothing is shuffled.
+    rows give equal rows. Only the text decides; nothing is shuffled. Of ``columns``, those
+    named like the new ones are replaced.
     """
-    kept = docs.select(*dict.fromkeys(("doc_id", "text", *columns)))
-    names = [c for c in dict.fromkeys(("doc_id", *columns))]
+    names = [c for c in dict.fromkeys(("doc_id", *columns)) if c not in ("lang_pred", "score")]
+    kept = docs.select(*dict.fromkeys(("text", *names)))
     schema = docs.select(*names, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -335,3 +336,18 @@ def identify(docs: DataFrame, model: Model | None, columns: tuple[str, ...] = ()
                 [*(batch.column(c) for c in names), pa.array(found, pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
 
     return kept.mapInArrow(run, schema)
+
+
+def told(docs: DataFrame, model: Model | None, least_score: float) -> DataFrame:
+    """The rows of ``docs`` that ``identify`` gives a language with at least this score, all columns kept."""
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if shipped.value is None:
+            return
+        for batch in pieces(batches, limit=PIECE_BYTES):
+            found, score = shipped.value.predict(*as_utf8(batch.column("text")))
+            known = np.array([name != UNDETERMINED for name in found], bool)
+            yield batch.filter(pa.array(known & (score >= least_score)))
+
+    return docs.mapInArrow(run, docs.schema)
