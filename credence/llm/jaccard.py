@@ -58,7 +58,7 @@ def band_floor(sizes: np.ndarray) -> np.ndarray:
 
 def segments_of_band(floor: np.ndarray) -> np.ndarray:
     """A quarter more ranges than a set of the band can need, so that costly ones can be skipped."""
-    return np.where(floor < TINY, 1, 5 * floor // 7 + 9)
+    return np.where(floor < TINY, 1, 5 * floor // 6 + 9)
 
 
 def more_than_needed(floor):
@@ -136,9 +136,9 @@ def signatures(values, starts, common, frequency) -> tuple[np.ndarray, np.ndarra
     floor = band_floor(size)
     tiny = np.flatnonzero((size > 0) & (size < TINY + 1))  # 7 shingles: as partner of 6
     out = [_variants(values, starts, tiny)]
-    # In its own band a set meets partners of up to 4/3 of its size and below the band's end.
+    # In its own band a set meets partners of up to 4/3 of its size, those of the next band too.
     rows = np.flatnonzero(size >= TINY)
-    largest = np.minimum(4 * size[rows] // 3, 2 * floor[rows] - 1)
+    largest = 4 * size[rows] // 3
     out.append(_prefixes(values, starts, rows, floor[rows], (size[rows] + largest) // 7 + 1, common, frequency))
     # One of at most 4/3 of the band's least size also meets smaller ones of the band before.
     rows = np.flatnonzero((size >= 2 * TINY) & (3 * size <= 4 * (floor - 1)))

@@ -109,3 +109,38 @@ def test_any_order_of_segments_gives_the_same_groups(spark, monkeypatch):
     common, counts = np.unique(values, return_counts=True)
     monkeypatch.setattr(jaccard, "_common_shingles", lambda *_: (common, counts))
     assert found(df) == expected(rows)
+
+
+@pytest.mark.parametrize("border", [14, 28, 56, 112, 224, 14336])
+def test_both_sides_of_a_pair_index_enough_segments(border):
+    sizes = range(border // 2, 8 * border // 3) if border < 1000 else [border - 1, 4 * (border - 1) // 3]
+    rng = np.random.default_rng(border)
+    sets = [np.sort(rng.integers(0, 2**64, n, dtype=np.uint64)) for n in sizes]
+    signature, row = jaccard.signatures(
+        np.concatenate(sets), np.cumsum([0, *sizes]), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    band = (signature & np.uint64(63)).astype(np.int64)
+    count = np.zeros((len(sizes), 64), np.int64)
+    np.add.at(count, (row, band), 1)
+    for i, s in enumerate(sizes):
+        if s >= border:
+            continue
+        floor = int(jaccard.band_floor(np.array([s]))[0])
+        own = 1 + int(np.log2(floor // 7))
+        for j, t in enumerate(sizes):
+            if s <= t <= 4 * s // 3:
+                least = (s + t) // 7 + 1 + jaccard.more_than_needed(floor)
+                assert min(count[i, own], count[j, own]) >= least, (s, t)
+
+
+def test_pairs_across_a_border_share_signatures():
+    rng = np.random.default_rng(4)
+    for s, t in ((12, 16), (13, 17), (27, 36)):
+        sets = []
+        for _ in range(4000):
+            large = rng.integers(0, 2**64, t, dtype=np.uint64)
+            sets += [np.sort(large[:s]), np.sort(large)]
+        signature, row = jaccard.signatures(
+            np.concatenate(sets), np.cumsum([0, *map(len, sets)]), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        _, both = np.unique(np.stack([signature, (row // 2).astype(np.uint64)]), axis=1, return_counts=True)
+        pair = np.unique(np.stack([signature, (row // 2).astype(np.uint64)]), axis=1)[1][both > 1]
+        assert len(np.unique(pair)) == 4000, (s, t)
