@@ -6,9 +6,9 @@ pass adds up; a text's is the product over its words. The piece probabilities ar
 expectation maximisation: a backward pass gives the expected number of times each piece is
 used in the training words, and these counts, smoothed, are the next probabilities.
 
-Words are runs of letters in lower case, begun by the vocabulary's word mark; runs of more than
-``RUN`` characters are read as several. A letter that no piece holds has the same small
-probability in all languages.
+Words are runs of letters in lower case, begun by the vocabulary's word mark. Texts are judged by
+whole runs of any length; training reads runs of more than ``RUN`` characters as several. A
+letter that no piece holds has the same small probability in all languages.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from .tokens import code_points
 from .words import _power
 
 RUN = 48
+RESCALE = 8
 TRAIN_ROWS = 400  # about so many documents of each language, drawn by hash, fit its model
 ROUNDS = 4
 SMOOTHING = 0.1
@@ -90,8 +91,11 @@ class Pieces:
         inner = code < self.columns
         return np.where(inner, self.step[node, np.where(inner, code, 0)], 0)
 
-    def runs(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Codes of all runs after each other; begin and length of each; each text's first run."""
+    def runs(self, data: np.ndarray, offsets: np.ndarray, whole: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Codes of all runs after each other; begin and length of each; each text's first run.
+
+        Runs of more than ``RUN`` characters are cut unless ``whole``.
+        """
         point, at = code_points(data)
         first = np.searchsorted(at, offsets)
         letter = _letters()[point]
@@ -108,7 +112,7 @@ class Pieces:
         begin = place[new] - 1
         length = np.diff(begin, append=len(codes))
         text_first = np.searchsorted(kept[new], first)
-        if len(length) and length.max() > RUN:
+        if not whole and len(length) and length.max() > RUN:
             parts = -(-length // RUN)
             which = np.repeat(np.arange(len(begin)), parts)
             offset = (np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)) * RUN
@@ -138,18 +142,32 @@ def _code_weights(size: int) -> np.ndarray:
 
 
 def forward(pieces_: Pieces, chance: np.ndarray, codes, begin, length) -> np.ndarray:
-    """Probability of each run (row) in each language (column) over all its segmentations.
+    """Probability of each run (row) in each language (column) over all its segmentations."""
+    return np.exp(log_forward(pieces_, chance, codes, begin, length))
+
 
-    ``chance`` has a row for each node of the trie and is 0 where the node is no piece.
+def log_forward(pieces_: Pieces, chance: np.ndarray, codes, begin, length) -> np.ndarray:
+    """Logarithm of the probability of each run (row) in each language (column).
+
+    ``chance`` has a row for each node of the trie and is 0 where the node is no piece. The
+    sums are scaled to 1 every ``RESCALE`` letters and the logarithm of the scale is kept, so
+    that runs of any length and letters of any probability add up without underflow.
     """
     order = np.argsort(-length, kind="stable")
     begin, length = begin[order], length[order]
     rising = length[::-1]
     reach = [np.zeros((len(begin), chance.shape[1])) for _ in range(pieces_.longest + 1)]
     reach[0][:] = 1
+    scale = np.zeros((len(begin), chance.shape[1]))
     out = np.zeros((len(begin), chance.shape[1]))
     for start in range(int(length.max()) if len(length) else 0):
         active = len(length) - int(np.searchsorted(rising, start, side="right"))
+        if start and start % RESCALE == 0:
+            most = reduce(np.maximum, (r[:active] for r in reach))
+            most[most == 0] = 1
+            for r in reach:
+                r[:active] /= most
+            scale[:active] += np.log(most)
         here = reach[0]
         rows = np.arange(active)
         node = pieces_.root[codes[begin[:active] + start]]
@@ -170,14 +188,19 @@ def forward(pieces_: Pieces, chance: np.ndarray, codes, begin, length) -> np.nda
             if not len(rows):
                 break
         ended = slice(len(length) - int(np.searchsorted(rising, start + 1, side="right")), active)
-        out[order[ended]] = reach[1][ended]
+        with np.errstate(divide="ignore"):
+            out[order[ended]] = np.log(reach[1][ended]) + scale[ended]
         here[:active] = 0
         reach = [*reach[1:], here]
     return out
 
 
 def expected_counts(pieces_: Pieces, chance: np.ndarray, language, weight, codes, begin, length) -> np.ndarray:
-    """Expected uses of each node as a piece in each language, for runs of known language."""
+    """Expected uses of each node as a piece in each language, for runs of known language.
+
+    ``ahead`` is scaled to 1 at each letter and ``sure`` keeps the logarithm of the probability of
+    what lies before it, so nothing underflows; ``behind`` is the chance that a cut lies there.
+    """
     total = np.zeros(chance.size)
     for at in range(0, len(begin), 5_000):
         part = slice(at, at + 5_000)
@@ -189,8 +212,17 @@ def expected_counts(pieces_: Pieces, chance: np.ndarray, language, weight, codes
         edges = []
         ahead = np.zeros((len(b), longest + 1))
         ahead[:, 0] = 1
-        for start in range(longest):
-            rows = np.flatnonzero(n > start)
+        sure = np.zeros((len(b), longest + 1))
+        scale = np.zeros(len(b))
+        for start in range(longest + 1):
+            rows = np.flatnonzero(n >= start)
+            most = np.where(ahead[rows, start] > 0, ahead[rows, start], 1)
+            ahead[rows, start : start + pieces_.longest + 1] /= most[:, None]
+            scale[rows] += np.log(most)
+            sure[rows, start] = scale[rows]
+            rows = rows[n[rows] > start]
+            if not len(rows):
+                break
             node = pieces_.root[grid[rows, start]]
             for k in range(1, pieces_.longest + 1):
                 piece = pieces_.is_piece[node]
@@ -206,11 +238,10 @@ def expected_counts(pieces_: Pieces, chance: np.ndarray, language, weight, codes
                 rows, node = rows[node != 0], node[node != 0]
         behind = np.zeros((len(b), longest + 1))
         behind[np.arange(len(b)), n] = 1
-        scale = times / ahead[np.arange(len(b)), n]
         for r, start, k, p, gain in reversed(edges):
-            through = gain * behind[r, start + k]
+            through = ahead[r, start] * gain * np.exp(sure[r, start] - sure[r, start + k]) * behind[r, start + k]
             behind[r, start] += through
-            total += np.bincount(p * chance.shape[1] + own[r], ahead[r, start] * through * scale[r], minlength=chance.size)
+            total += np.bincount(p * chance.shape[1] + own[r], through * times[r], minlength=chance.size)
     return total.reshape(chance.shape)
 
 
@@ -225,12 +256,12 @@ class Model:
 
     def log_likelihood(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each text in each language; and the letters read."""
-        codes, begin, length, first = self.pieces.runs(data, offsets)
+        codes, begin, length, first = self.pieces.runs(data, offsets, whole=True)
         out = np.zeros((len(offsets) - 1, len(self.languages)))
         letters = np.zeros(len(offsets) - 1, np.int64)
         if len(begin):
             row, number = _distinct(codes, begin, length)
-            logs = np.log(forward(self.pieces, self.chance, codes, begin[row], length[row]))[number]
+            logs = log_forward(self.pieces, self.chance, codes, begin[row], length[row])[number]
             full = np.flatnonzero(np.diff(first))
             out[full] = np.add.reduceat(logs, first[full])
             letters[full] = np.add.reduceat(length, first[full])

@@ -99,3 +99,48 @@ def test_odd_rows(spark, model):
     assert {r.lang_pred for r in language.identify(docs, None).collect()} == {"und"}
     again = language.fit(docs, vocabulary)
     assert again.languages and np.array_equal(again.chance, language.fit(docs, vocabulary).chance)
+
+
+def test_a_long_run_of_an_untrained_script_does_not_decide():
+    shape = language.Pieces(language.read_vocabulary(PATH))
+    chance = np.where(shape.is_piece, 1.0, 0)[:, None].repeat(2, axis=1)
+    sizes = np.array([1e6, 2e6])  # expected uses: an unseen piece has 0.1 of them
+    chance *= language.SMOOTHING / sizes
+    chance[2] = language.UNKNOWN
+    for word, times in (("▁the", (1, 1e5)), ("▁and", (1, 1e5)), ("▁der", (1e5, 1)), ("▁und", (1e5, 1))):
+        at = 1
+        for c in word:
+            at = shape.root[shape.code[ord(c)]] if at == 1 else shape.step[at, shape.code[ord(c)]]
+        assert shape.is_piece[at]
+        chance[at] = np.array(times) / sizes
+    model = language.Model(shape, ["de", "en"], chance)
+    singles = [chr(p) for p in range(0x4E00, 0x9FFF) if shape.code[p] >= shape.columns][:200]
+    run = "".join(singles)
+    assert len(run) == 200
+    texts = ["the and " * 200 + run, "der und " * 200 + run, run, run[:150] + "x" * 50]
+    data, offsets = as_utf8(pa.array(texts))
+    logs, _ = model.log_likelihood(data, offsets)
+    assert np.isfinite(logs).all()
+    names, score = model.predict(data, offsets)
+    assert names[:2] == ["en", "de"] and (score >= 0).all() and (score <= 1).all()
+    # A run with no other cut than between its letters: the product over them.
+    assert np.allclose(logs[2], np.log(chance[shape.root[shape.code[ord("▁")]]]) + 200 * np.log(language.SMOOTHING / sizes))
+
+
+def test_runs_are_judged_whole_and_counts_do_not_underflow():
+    pieces = ["▁", "a", "b", "ab", "ba", "aba"]
+    shape = language.Pieces(pieces)
+    chance = np.where(shape.is_piece, 1e-11, 0)[:, None].repeat(2, axis=1)
+    word = "ab" * 100
+    logs, _ = language.Model(shape, ["x", "y"], chance).log_likelihood(*as_utf8(pa.array([word])))
+    ways = [-np.inf] * 201  # log of the probability up to each letter
+    ways[0] = np.log(1e-11)
+    for k in range(1, 201):
+        ways[k] = np.logaddexp.reduce([ways[k - len(p)] + np.log(1e-11) for p in pieces[1:] if word[:k].endswith(p)])
+    assert np.allclose(logs[0], ways[200])
+    codes, begin, length, _ = shape.runs(*as_utf8(pa.array([word])), whole=True)
+    uses = language.expected_counts(shape, chance, np.zeros(1, np.int64), np.ones(1), codes, begin, length)
+    assert np.isfinite(uses).all() and uses[shape.root[shape.code[ord("▁")]], 0] == pytest.approx(1)
+    a, b = shape.root[shape.code[ord("a")]], shape.root[shape.code[ord("b")]]
+    ab, ba = shape.step[a, shape.code[ord("b")]], shape.step[b, shape.code[ord("a")]]
+    assert uses[a, 0] + uses[b, 0] + 2 * (uses[ab, 0] + uses[ba, 0]) + 3 * uses[shape.step[ab, shape.code[ord("a")]], 0] == pytest.approx(200)
