@@ -1,23 +1,23 @@
 """URL verdicts from a tree of path templates for each host.
 
-Segments that vary are generalised: numbers and long hexadecimal names by their look, and all
-children of a node with many different ones. Sibling branches whose share of bad pages does
-not differ significantly from that of the others are merged. A template's purity is smoothed
-down the tree: the whole crawl, the host, then each level's (merged) branch, each one shrunk
-towards the level above. Explicit rules come first.
+Segments that vary are generalised: numbers and long hexadecimal names by their look, and the
+children of a node that have too few tagged pages to be tested, if there are many. Sibling
+branches whose share of bad pages does not differ significantly from that of the others are
+merged. A template's purity is smoothed down the tree: the whole crawl, the host, then each
+level's (merged) branch, each one shrunk towards the level above. Explicit rules come first.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
 
-LEVELS = 6  # a longer path's rest is one segment
 FANOUT = 12
+TESTABLE = 5  # tagged pages from which a child is a branch of its own, however many siblings it has
 STRENGTH = 8.0
 SIGNIFICANT = 2.58
 REJECT = 0.5
@@ -53,22 +53,26 @@ def looks_variable(segment: Column) -> Column:
 def templates(paths: DataFrame) -> DataFrame:
     """(host, path, n, bad, tagged) with the segments of the generalised path, level by level.
 
-    At each level the children of a node become ``*`` if there are more than ``FANOUT`` of
-    them. Only counts are grouped, combined before they are shuffled.
+    At each level down to the deepest, the children of a node with fewer than ``TESTABLE`` tagged
+    pages become ``*`` if there are more than ``FANOUT`` of them. Only counts are grouped,
+    combined before they are shuffled.
     """
-    raw = F.split(F.substring("path", 2, 1 << 30), "/", LEVELS)
-    rows = paths.withColumn("segments", F.transform(raw, looks_variable))
-    for level in range(1, LEVELS + 1):
-        prefix = F.concat_ws("/", F.slice("segments", 1, level - 1))
-        rows = rows.withColumn("prefix", prefix).withColumn("segment", F.get("segments", F.lit(level - 1)))
-        children = rows.where("segment is not null").groupBy("host", "prefix", "segment").agg(F.lit(1).alias("one"))
-        wide = children.groupBy("host", "prefix").agg(F.count("*").alias("n")).where(F.col("n") > FANOUT).select("host", "prefix", F.lit(True).alias("wide"))
-        rows = rows.join(wide, ["host", "prefix"], "left")
-        rest = F.slice("segments", level + 1, LEVELS)
+    rows = staged(paths.withColumn("segments", F.transform(F.split(F.substring("path", 2, 1 << 30), "/"), looks_variable)), "segments")
+    done = [rows.where("false")]
+    for level in range(1, (rows.agg(F.max(F.size("segments"))).first()[0] or 0) + 1):
+        rows = rows.withColumn("prefix", F.concat_ws("/", F.slice("segments", 1, level - 1)))
+        rows = rows.withColumn("segment", F.get("segments", F.lit(level - 1)))
+        children = rows.groupBy("host", "prefix", "segment").agg(F.sum("tagged").alias("t")).where(F.col("t") < TESTABLE)
+        wide = children.groupBy("host", "prefix").agg(F.count("*").alias("n")).where(F.col("n") > FANOUT).select("host", "prefix")
+        vague = children.join(wide, ["host", "prefix"], "left_semi").select("host", "prefix", "segment", F.lit(True).alias("vague"))
+        rows = rows.join(vague, ["host", "prefix", "segment"], "left")
+        rest = F.slice("segments", F.lit(level + 1), F.size("segments"))
         general = F.concat(F.slice("segments", 1, level - 1), F.array(F.lit("*")), rest)
-        rows = rows.withColumn("segments", F.when(F.col("wide") & F.col("segment").isNotNull(), general).otherwise(F.col("segments")))
-        rows = staged(rows.drop("prefix", "segment", "wide"), "segments")
-    return rows
+        rows = rows.withColumn("segments", F.when(F.col("vague"), general).otherwise(F.col("segments")))
+        rows = staged(rows.select(done[0].columns), "segments")
+        done.append(rows.where(F.size("segments") == level))
+        rows = rows.where(F.size("segments") > level)
+    return reduce(DataFrame.unionAll, done)
 
 
 def _smoothed(bad: Column, count: Column, prior: Column) -> Column:
@@ -82,25 +86,30 @@ def template_purity(rows: DataFrame) -> DataFrame:
     hosts = leaves.groupBy("host").agg(F.sum("tagged").alias("t"), F.sum("bad").alias("b"))
     nodes = hosts.select("host", F.lit("").alias("prefix"), _smoothed(F.col("b"), F.col("t"), F.lit(whole)).alias("impurity"))
     found = []
-    for level in range(1, LEVELS + 1):
+    for level in range(1, (leaves.agg(F.max(F.size("segments"))).first()[0] or 0) + 1):
         deep = leaves.where(F.size("segments") >= level)
         prefix = F.concat_ws("/", F.slice("segments", 1, level))
         own = deep.groupBy("host", F.concat_ws("/", F.slice("segments", 1, level - 1)).alias("parent"), prefix.alias("prefix")).agg(
             F.sum("tagged").alias("t"), F.sum("bad").alias("b"))
-        siblings = Window.partitionBy("host", "parent")  # at most FANOUT of them and a few endings
-        others, bad = F.sum("t").over(siblings) - F.col("t"), F.sum("b").over(siblings) - F.col("b")
-        pooled = (F.col("b") + bad) / (F.col("t") + others)
-        error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("t") + 1 / others))
-        z = F.abs(F.col("b") / F.col("t") - bad / others) / error
+        own = staged(own, "branches")
+        family = own.groupBy("host", "parent").agg(F.sum("t").alias("all_t"), F.sum("b").alias("all_b"))
+        own = own.join(family, ["host", "parent"])
+        others, bad = F.col("all_t") - F.col("t"), F.col("all_b") - F.col("b")
+        pooled = F.try_divide("all_b", "all_t")
+        error = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1), "t") + F.try_divide(F.lit(1), others)))
+        z = F.try_divide(F.abs(F.try_divide("b", "t") - F.try_divide(bad, others)), error)
         own = own.withColumn("merge", F.when((F.col("t") == 0) | (others == 0) | (error == 0), True).otherwise(z < SIGNIFICANT))
-        merged = lambda c: F.when(F.col("merge"), F.sum(F.when(F.col("merge"), F.col(c))).over(siblings)).otherwise(F.col(c))
+        alike = own.where("merge").groupBy("host", "parent").agg(F.sum("t").alias("merged_t"), F.sum("b").alias("merged_b"))
+        own = own.join(alike, ["host", "parent"], "left")
+        merged = lambda c: F.when(F.col("merge"), F.col(f"merged_{c}")).otherwise(F.col(c))
         own = own.select("host", "parent", "prefix", merged("t").alias("t"), merged("b").alias("b"))
         above = nodes.select("host", F.col("prefix").alias("parent"), F.col("impurity").alias("prior"))
         nodes = own.join(above, ["host", "parent"]).select("host", "prefix", _smoothed(F.col("b"), F.col("t"), F.col("prior")).alias("impurity"))
         nodes = staged(nodes, "nodes")  # the next level's prior
         ended = leaves.where(F.size("segments") == level).select("host", "segments", F.concat_ws("/", "segments").alias("prefix"))
         found.append(ended.join(nodes, ["host", "prefix"]).select("host", "segments", "impurity"))
-    return reduce(DataFrame.unionAll, found)
+    empty = leaves.where("false").select("host", "segments", F.lit(0.0).alias("impurity"))
+    return reduce(DataFrame.unionAll, found, empty)
 
 
 def judge(pages: DataFrame, bad_pages: DataFrame, rules=RULES) -> DataFrame:

@@ -107,3 +107,31 @@ def test_odd_tags_and_no_rows(spark):
     tags = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (2, None), (99, 1)], TAGS)
     assert urls.judge(pages, tags).count() == 4
     assert urls.judge(pages.where("false"), tags).count() == 0
+
+
+def test_sections_with_enough_tags_stay_apart_however_many_there_are(spark):
+    rows, tags, k = [], [], 0
+    for section in range(30):
+        for n in range(12):
+            rows.append((k, f"http://big.com/section{'abcdefghijklmnopqrstuvwxyzABCD'[section]}/item-{n}"))
+            tags.append((k, int(section == 7)))
+            k += 1
+    for n in range(20):  # names of one page each
+        rows.append((k, f"http://big.com/name-{n}-x"))
+        k += 1
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(tags, TAGS)).collect()}
+    for page_id, url in rows:
+        assert got[page_id].verdict == ("block" if "/sectionh/" in url else "allow"), url
+        assert (got[page_id].template == "/*") == ("name-" in url)
+
+
+def test_branches_are_told_apart_at_any_depth(spark):
+    rows, tags, k = [], [], 0
+    for branch in ("spam", "news"):
+        for n in range(40):
+            rows.append((k, f"http://deep.com/a/b/c/d/e/f/g/h/{branch}/item-{n}"))
+            tags.append((k, int(branch == "spam")))
+            k += 1
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(tags, TAGS)).collect()}
+    for page_id, url in rows:
+        assert got[page_id].verdict == ("block" if "spam" in url else "allow"), got[page_id]
