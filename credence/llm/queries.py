@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, language, mixing, quality, sharding, tokens, urls, warc
+from . import clustering, collocations, decontamination, dedup, fingerprints, language, mixing, quality, sharding, tokens, urls, warc
 from .common import table
 from .jaccard import similar_groups
 
@@ -65,6 +65,18 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontamination.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_orchard_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_merkle_fingerprints": op1_merkle_fingerprints,
     "op2_two_pass_sharding": op2_two_pass_sharding,
@@ -76,4 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_shingle_jaccard_join": op9_shingle_jaccard_join,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_orchard_clustering": op11_orchard_clustering,
+    "op12_phrase_collocations": op12_phrase_collocations,
+    "op13_exact_dedup": op13_exact_dedup,
 }
