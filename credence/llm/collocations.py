@@ -5,11 +5,13 @@ these longest windows are counted; a ROLLUP over their columns then sums success
 prefixes, and as every phrase begins exactly one window where it occurs, the sums are the counts of
 all phrases of one to five words. No text is exploded into phrases of each length.
 
-Windows need not reach over a pair of words that is too rare for a phrase. Pairs are counted
-beforehand in hashed slots, which can only count too many; slots that reach the least count are a
-bitmap (a bit for each slot, at most ``MOST_SLOTS``), and windows are padded after a pair whose slot
-does not. That shortens windows no phrase needs, and leaves all counts that are asked for as they
-are; where slots get too few for the corpus, less is shortened and nothing is lost.
+Windows need not reach over a word, or a pair of words, that is too rare for a phrase. Words and
+pairs are counted beforehand in hashed slots, which can only count too many (a task adds up chunks
+of slots; three bytes for each slot that occurs in a piece of text are shuffled). Slots that reach
+the least count are a bitmap (a bit for each slot, at most ``MOST_SLOTS``); windows are padded
+after a pair whose slot does not, and a rare word is an empty window. That shortens windows no
+phrase needs, and leaves all counts that are asked for as they are; where slots get too few for the
+corpus, less is shortened and nothing is lost.
 """
 
 from __future__ import annotations
@@ -28,12 +30,12 @@ from .words import word_hashes
 LONGEST = 5
 LEAST = 100
 TOP = 2000
-TEXT_BYTES = 1 << 20  # text that a task looks at together
+TEXT_BYTES = 4 << 20  # text that a task looks at together
 LEAST_SLOTS, MOST_SLOTS = 1 << 16, 1 << 30
 WORDS_PER_SLOT = 8
 RANKED_TOGETHER = 100_000
 NO_LANGUAGE = "und"
-_CHUNK = 32768  # bits of one row of the bitmap
+_CHUNK = 1 << 16  # slots that are counted and shuffled together
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -71,13 +73,15 @@ class Words:
         langs = pc.fill_null(batch.column("lang").cast(pa.large_string()), NO_LANGUAGE).dictionary_encode()
         self.lang, self.langs = langs.indices.to_numpy()[row], langs.dictionary
 
-    def pair_slots(self, slots: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places of words that lead on to the next, and the slot of each such pair."""
+    def slots(self, slots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The slot of each word, the places of words that lead on to the next, and the slots of those pairs."""
         word = word_hashes(*as_utf8(self.names))[0] if len(self.names) else np.zeros(0, np.uint64)
-        lang = np.array([_hash(x) for x in self.langs.cast(pa.large_binary()).to_pylist()], np.uint64)
+        lang = np.array([_hash(x) for x in self.langs.cast(pa.large_binary()).to_pylist()], np.uint64)[self.lang]
         at = np.flatnonzero(self.leads)
-        mixed = mix(word[self.word[at]] * np.uint64(0x9E3779B97F4A7C15) + word[self.word[at + 1]] + lang[self.lang[at]])
-        return at, (mixed & np.uint64(slots - 1)).astype(np.int64)
+        own = word[self.word]
+        pair = mix(own[at] * np.uint64(0x9E3779B97F4A7C15) + own[at + 1] + lang[at])
+        last = np.uint64(slots - 1)
+        return (mix(own ^ ~lang) & last).astype(np.int64), at, (pair & last).astype(np.int64)
 
 
 def _hash(name: bytes) -> int:
@@ -92,7 +96,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def frequent_slots(docs: DataFrame, least: int = LEAST, words: int | None = None) -> np.ndarray:
-    """A bitmap (bytes, the lowest bit first) of the slots in which ``least`` pairs of words fall.
+    """A bitmap (bytes, the lowest bit first) of the slots in which ``least`` words, or pairs of them, fall.
 
     ``words`` is about how many words there are; by default a word is taken for six bytes.
     """
@@ -100,19 +104,45 @@ def frequent_slots(docs: DataFrame, least: int = LEAST, words: int | None = None
     if words is None:
         words = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
     slots = min(max(LEAST_SLOTS, 1 << (words // WORDS_PER_SLOT).bit_length()), MOST_SLOTS)
+    kind = np.dtype("u1" if least < 1 << 8 else "<u2" if least < 1 << 16 else "<u4")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The slots of a piece in chunks, each with its slots' places and then their counts. A count
+        stays at ``least``: with it, any sum is large enough."""
         for batch in pieces(batches, limit=TEXT_BYTES):
-            slot, count = np.unique(Words(batch).pair_slots(slots)[1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(count)], names=["slot", "pairs"])
+            of_word, _, of_pair = Words(batch).slots(slots)
+            for found in (of_word, of_pair):
+                slot, count = np.unique(found, return_counts=True)
+                chunk = slot // _CHUNK
+                begin = np.flatnonzero(np.diff(chunk, prepend=-1))
+                place, count = (slot % _CHUNK).astype("<u2"), np.minimum(count, least).astype(kind)
+                rows = [place[i:j].tobytes() + count[i:j].tobytes() for i, j in zip(begin, [*begin[1:], len(slot)], strict=False)]
+                yield pa.RecordBatch.from_arrays([pa.array(chunk[begin], pa.int64()), pa.array(rows, pa.binary())], names=["chunk", "counts"])
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Chunk after chunk its counts added up, and a bit for each slot that has enough."""
+        at, total = -1, np.zeros(_CHUNK, np.int64)
+
+        def bits() -> pa.RecordBatch:
+            packed = np.packbits(total >= least, bitorder="little").tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([packed], pa.binary())], names=["chunk", "bits"])
+
+        for batch in batches:
+            for chunk, counts in zip(batch.column("chunk").to_numpy(), batch.column("counts"), strict=True):
+                if chunk != at:
+                    if at >= 0:
+                        yield bits()
+                    at, total = chunk, np.zeros(_CHUNK, np.int64)
+                data = counts.as_buffer()
+                size = len(data) // (2 + kind.itemsize)
+                total[np.frombuffer(data, "<u2", size)] += np.frombuffer(data, kind, size, 2 * size)
+        if at >= 0:
+            yield bits()
 
-    found = rows.mapInArrow(run, "slot long, pairs long").groupBy("slot").agg(F.sum("pairs").alias("pairs"))
-    found = found.where(F.col("pairs") >= least).withColumn("chunk", F.floor(F.col("slot") / _CHUNK))
-    chunks = found.groupBy("chunk").agg(F.bitmap_construct_agg(F.pmod("slot", F.lit(_CHUNK))).alias("bits"))
+    found = rows.mapInArrow(counted, "chunk long, counts binary").repartition("chunk").sortWithinPartitions("chunk")
     bitmap = np.zeros(slots // 8, np.uint8)
-    for r in chunks.toLocalIterator():  # slots / 8 bytes in all
-        part = np.frombuffer(r.bits, np.uint8)[: _CHUNK // 8]
-        bitmap[r.chunk * _CHUNK // 8 :][: len(part)] = part
+    for r in found.mapInArrow(merged, "chunk long, bits binary").collect():  # slots / 8 bytes in all
+        bitmap[r.chunk * _CHUNK // 8 :][: _CHUNK // 8] = np.frombuffer(r.bits, np.uint8)
     return bitmap
 
 
@@ -128,24 +158,43 @@ def windows(docs: DataFrame, bitmap: np.ndarray, longest: int = LONGEST) -> Data
             size = len(words.word)
             if not size:
                 continue
-            at, slot = words.pair_slots(8 * len(bits))
+            of_word, at, of_pair = words.slots(8 * len(bits))
+            often = ((bits[of_word >> 3] >> (of_word & 7).astype(np.uint8)) & 1).astype(bool)
             on = np.zeros(size, bool)
-            on[at] = (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1
+            on[at] = (bits[of_pair >> 3] >> (of_pair & 7).astype(np.uint8)) & 1
+            on[at] &= often[at] & often[at + 1]
             pad, names = len(words.names), pa.concat_arrays([words.names, pa.array([""], pa.large_string())])
-            # Windows get numbers, one more word at a time; unlike hashes these cannot collide.
-            window = words.lang.astype(np.int64)
-            lead, open_ = [], np.ones(size, bool)
+            # Most words lead nowhere: those windows are the word alone, or nothing where it is rare. Of
+            # the others the numbers of all words, side by side in as few 64-bit keys as hold them, tell
+            # equal windows.
+            first = np.where(often, words.word, pad)
+            alone = np.flatnonzero(~on)
+            _, one, count = np.unique(words.lang[alone].astype(np.int64) * (pad + 1) + first[alone], return_index=True, return_counts=True)
+            one = alone[one]
+            at, lead, go = np.flatnonzero(on), [], np.ones(int(on.sum()), bool)
             for k in range(longest):
-                rest = max(0, size - k)  # words that have another k places on
-                own = np.full(size, pad, np.int64)
-                own[:rest] = words.word[k:]
-                own[~open_] = pad
+                own = np.full(len(at), pad, np.int64)
+                own[go] = words.word[at[go] + k]
                 lead.append(own)
-                _, window = np.unique(window * (pad + 1) + own, return_inverse=True)
-                open_[:rest] &= on[k:]
-                open_[rest:] = False
-            _, one, count = np.unique(window, return_index=True, return_counts=True)
-            out = [words.langs.take(pa.array(words.lang[one])), *[names.take(pa.array(own[one])) for own in lead]]
+                go[go] = on[at[go] + k]
+            bits_each = max(pad + 1, len(words.langs)).bit_length()
+            packed = []
+            for k in range(0, longest + 1, 63 // bits_each):
+                key = np.zeros(len(at), np.int64)
+                for own in [words.lang[at].astype(np.int64), *lead][k : k + 63 // bits_each]:
+                    key = (key << bits_each) | own
+                packed.append(key)
+            order = np.lexsort(packed)
+            new = np.zeros(len(at), bool)
+            new[:1] = True
+            for key in packed:
+                new[1:] |= np.diff(key[order]) != 0
+            begin = np.flatnonzero(new)
+            many, count = order[begin], np.concatenate([count, np.diff(begin, append=len(at))])
+            none = np.full(len(one), pad)
+            lead = [np.concatenate([first[one] if k == 0 else none, own[many]]) for k, own in enumerate(lead)]
+            one = np.concatenate([one, at[many]])
+            out = [words.langs.take(pa.array(words.lang[one])), *[names.take(pa.array(own)) for own in lead]]
             yield pa.RecordBatch.from_arrays(
                 [*[c.cast(pa.string()) for c in out], pa.array(count)], names=["lang", *columns, "count"])
 

@@ -1,11 +1,16 @@
 """A mix of sources by target weights, in blocks of equally many words.
 
 Targets are shares of all words, at most ``REPEATS`` times what the source has; what is above
-goes to the others by weight. The corpus is dealt into shards by hash. In each shard the
-sources' parts of the targets are paid in blocks by Sainte-Laguë: block after block goes to
-the source with the highest quotient target / (2 * blocks so far + 1). The source's
-documents in the shard, in seeded order, form a ring of words; its quota is taken from a
-seeded block on, round and round. So whole documents are taken but for the two at the ends.
+goes to the others by weight. The targets are paid in blocks by Sainte-Laguë: block after block
+goes to the source with the highest quotient target / (2 * blocks so far + 1). The corpus is
+dealt into shards by hash, and a source's blocks are dealt to its shards by their words added up in
+order: what is rounded off in one shard is paid in a later one, so that the quotas of all shards
+are the source's blocks exactly, however few words a shard has of it. The source's documents in
+the shard, in seeded order, form a ring of words; its quota is taken from a seeded block on, round
+and round. So whole documents are taken but for the two at the ends.
+
+A block is one word by default. With larger ones a shard that is paid close to all its repeats may
+end up to a block short.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import staged
 
 REPEATS = 3
-BLOCK_WORDS = 16
+BLOCK_WORDS = 1
 SHARD_ROWS = 20_000
 WEIGHTS = (5, 2, 1)
 
@@ -96,22 +101,29 @@ def mix_plan(docs: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS) ->
     rows = staged(rows.groupBy("k1", "k2", "doc_id", "source", "size").agg(F.count("*").alias("rows")), "mix-rows")
     shards = max(1, math.ceil(rows.count() / SHARD_ROWS))
     words = F.col("size") * F.col("rows")
-    sources = staged(source_targets(rows.groupBy("source").agg(F.sum(words).alias("source_size"))), "mix-sources")
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "k1", "k2"), F.lit(shards)))
+    sources = source_targets(rows.groupBy("source").agg(F.sum(words).alias("source_size")))
 
-    def apportion(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["source"], na_position="last", kind="stable")
-        share = part["target"] * part["words"] / part["source_size"].clip(lower=1)
-        part["quota"] = sainte_lague(share.to_numpy(float), int(round(share.sum() / block_words)))
-        return part[["source", "shard", "words", "source_size", "target", "quota"]]
+    def apportion(whole: pd.DataFrame) -> pd.DataFrame:
+        whole = whole.sort_values("source", na_position="last", kind="stable")
+        target = whole["target"].to_numpy(float)
+        whole["blocks"] = sainte_lague(target, int(round(target.sum() / block_words)))
+        return whole[["source", "source_size", "target", "blocks"]]
 
+    # A row for each source, in one task like the windows that gave the targets.
+    sources = staged(sources.groupBy(F.lit(0)).applyInPandas(
+        apportion, "source string, source_size long, target double, blocks long"), "mix-sources")
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "k1", "k2"), F.lit(shards)))
     parts = rows.groupBy("source", "shard").agg(F.sum(words).alias("words")).alias("r")
-    parts = parts.join(sources.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source"))).select("r.*", "source_size", "target")
-    quotas = parts.groupBy("shard").applyInPandas(
-        apportion, "source string, shard long, words long, source_size long, target double, quota long")
+    parts = parts.join(sources.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source"))).select("r.*", "source_size", "target", "blocks")
+    # A row for each shard of a source: its share of the blocks is what is due with it less what was before.
+    upto = F.sum("words").over(Window.partitionBy("source").orderBy("shard")).cast("decimal(18,0)")
+    due = lambda c: F.when(F.col("source_size") > 0, F.expr(f"(2 * CAST(blocks AS DECIMAL(18,0)) * {c} + source_size) div (2 * CAST(source_size AS DECIMAL(18,0)))")).otherwise(0)
+    parts = parts.withColumn("upto", upto).withColumn("before", (F.col("upto") - F.col("words")).cast("decimal(18,0)"))
+    quotas = parts.withColumn("quota", due("upto") - due("before"))
     start = F.pmod(F.xxhash64(F.lit(seed), F.lit("start"), "source", "shard"), F.greatest(F.ceil(F.col("words") / block_words), F.lit(1)))
     quotas = staged(quotas.select(
-        "*", (start * block_words).alias("start"), F.least(F.col("quota") * block_words, F.col("words") * REPEATS).alias("paid")), "mix-quotas")
+        "source", "shard", "words", "source_size", "target", (start * block_words).alias("start"),
+        F.least(F.col("quota") * block_words, F.col("words") * REPEATS).alias("paid")), "mix-quotas")
 
     ring = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed), F.lit("order"), "k1"), "k1", "k2")
     placed = rows.withColumn("end", F.sum(words).over(ring)).withColumn("begin", F.col("end") - words)
