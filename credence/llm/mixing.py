@@ -110,7 +110,7 @@ def mix_plan(docs: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS) ->
         return whole[["source", "source_size", "target", "blocks"]]
 
     # A row for each source, in one task like the windows that gave the targets.
-    sources = staged(sources.groupBy(F.lit(0)).applyInPandas(
+    sources = staged(sources.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(
         apportion, "source string, source_size long, target double, blocks long"), "mix-sources")
     rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "k1", "k2"), F.lit(shards)))
     parts = rows.groupBy("source", "shard").agg(F.sum(words).alias("words")).alias("r")
