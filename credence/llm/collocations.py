@@ -5,18 +5,19 @@ these longest windows are counted; a ROLLUP over their columns then sums success
 prefixes, and as every phrase begins exactly one window where it occurs, the sums are the counts of
 all phrases of one to five words. No text is exploded into phrases of each length.
 
-Windows need not reach over a word, or a pair of words, that is too rare for a phrase. Words and
-pairs are counted beforehand in hashed slots, which can only count too many (a task adds up chunks
-of slots; three bytes for each slot that occurs in a piece of text are shuffled). Slots that reach
-the least count are a bitmap (a bit for each slot, at most ``MOST_SLOTS``); windows are padded
-after a pair whose slot does not, and a rare word is an empty window. That shortens windows no
-phrase needs, and leaves all counts that are asked for as they are; where slots get too few for the
-corpus, less is shortened and nothing is lost.
+Windows need not reach beyond words that are too rare to be a phrase's. What begins at a word is
+counted beforehand in hashed slots, which can only count too many: words and pairs in one reading,
+what is longer and made of frequent pairs in another. A task adds up chunks of slots; three bytes for each
+slot that occurs in a piece of text are shuffled. Slots that reach the least count are a bitmap (a
+bit for each slot, at most ``MOST_SLOTS``); a window is padded after the words whose slots all do, and a rare
+word is an empty window. That shortens windows no phrase needs, and leaves all counts that
+are asked for as they are; where slots get too few for the corpus, less is shortened and nothing is
+lost.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,7 @@ LEAST_SLOTS, MOST_SLOTS = 1 << 16, 1 << 30
 WORDS_PER_SLOT = 8
 RANKED_TOGETHER = 100_000
 NO_LANGUAGE = "und"
+_NEXT = np.uint64(0x9E3779B97F4A7C15)
 _CHUNK = 1 << 16  # slots that are counted and shuffled together
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -73,15 +75,45 @@ class Words:
         langs = pc.fill_null(batch.column("lang").cast(pa.large_string()), NO_LANGUAGE).dictionary_encode()
         self.lang, self.langs = langs.indices.to_numpy()[row], langs.dictionary
 
-    def slots(self, slots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The slot of each word, the places of words that lead on to the next, and the slots of those pairs."""
+    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        """A hash of each word, and of its language."""
         word = word_hashes(*as_utf8(self.names))[0] if len(self.names) else np.zeros(0, np.uint64)
-        lang = np.array([_hash(x) for x in self.langs.cast(pa.large_binary()).to_pylist()], np.uint64)[self.lang]
+        lang = np.array([_hash(x) for x in self.langs.cast(pa.large_binary()).to_pylist()], np.uint64)
+        return word[self.word], lang[self.lang]
+
+    def short_slots(self, slots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The slot of each word, the places of words that lead on to the next, and the slots of those pairs."""
+        own, lang = self.hashes()
         at = np.flatnonzero(self.leads)
-        own = word[self.word]
-        pair = mix(own[at] * np.uint64(0x9E3779B97F4A7C15) + own[at + 1] + lang[at])
-        last = np.uint64(slots - 1)
-        return (mix(own ^ ~lang) & last).astype(np.int64), at, (pair & last).astype(np.int64)
+        pair = mix(own[at] * _NEXT + own[at + 1] + lang[at])
+        return _slot(mix(own ^ ~lang), slots), at, _slot(pair, slots)
+
+    def frequent(self, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which words are frequent, and which make a frequent pair with the next, by the bitmap of short slots."""
+        of_word, at, of_pair = self.short_slots(8 * len(bits))
+        often = _is_set(bits, of_word)
+        on = np.zeros(len(often), bool)
+        on[at] = _is_set(bits, of_pair) & often[at] & often[at + 1]
+        return often, on
+
+    def long_slots(self, on: np.ndarray, longest: int, slots: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each size from 3, where so many words follow each other in frequent pairs, and the slots of them."""
+        own, lang = self.hashes()
+        at = np.flatnonzero(on)
+        value = mix(own[at] * _NEXT + own[at + 1] + lang[at])
+        for size in range(3, longest + 1):
+            further = on[at + size - 2]
+            at = at[further]
+            value = mix(value[further] * _NEXT + own[at + size - 1])
+            yield size, at, _slot(value, slots)
+
+
+def _slot(value: np.ndarray, slots: int) -> np.ndarray:
+    return (value & np.uint64(slots - 1)).astype(np.int64)
+
+
+def _is_set(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return ((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1).astype(bool)
 
 
 def _hash(name: bytes) -> int:
@@ -95,24 +127,22 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select("text", "lang").where("text is not null")
 
 
-def frequent_slots(docs: DataFrame, least: int = LEAST, words: int | None = None) -> np.ndarray:
-    """A bitmap (bytes, the lowest bit first) of the slots in which ``least`` words, or pairs of them, fall.
+def slots_for(docs: DataFrame) -> int:
+    """A power of two by the size of the texts, a word taken for six bytes."""
+    words = (_rows(docs).agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
+    return min(max(LEAST_SLOTS, 1 << (words // WORDS_PER_SLOT).bit_length()), MOST_SLOTS)
 
-    ``words`` is about how many words there are; by default a word is taken for six bytes.
-    """
-    rows = _rows(docs)
-    if words is None:
-        words = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
-    slots = min(max(LEAST_SLOTS, 1 << (words // WORDS_PER_SLOT).bit_length()), MOST_SLOTS)
+
+def frequent_slots(docs: DataFrame, slots: int, least: int, found: Callable[[Words], Iterable[np.ndarray]]) -> np.ndarray:
+    """A bitmap (bytes, the lowest bit first) of the slots that ``found`` gives ``least`` times for all texts."""
     kind = np.dtype("u1" if least < 1 << 8 else "<u2" if least < 1 << 16 else "<u4")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The slots of a piece in chunks, each with its slots' places and then their counts. A count
         stays at ``least``: with it, any sum is large enough."""
         for batch in pieces(batches, limit=TEXT_BYTES):
-            of_word, _, of_pair = Words(batch).slots(slots)
-            for found in (of_word, of_pair):
-                slot, count = np.unique(found, return_counts=True)
+            for own in found(Words(batch)):
+                slot, count = np.unique(own, return_counts=True)
                 chunk = slot // _CHUNK
                 begin = np.flatnonzero(np.diff(chunk, prepend=-1))
                 place, count = (slot % _CHUNK).astype("<u2"), np.minimum(count, least).astype(kind)
@@ -139,44 +169,50 @@ def frequent_slots(docs: DataFrame, least: int = LEAST, words: int | None = None
         if at >= 0:
             yield bits()
 
-    found = rows.mapInArrow(counted, "chunk long, counts binary").repartition("chunk").sortWithinPartitions("chunk")
+    chunks = _rows(docs).mapInArrow(counted, "chunk long, counts binary").repartition("chunk").sortWithinPartitions("chunk")
     bitmap = np.zeros(slots // 8, np.uint8)
-    for r in found.mapInArrow(merged, "chunk long, bits binary").collect():  # slots / 8 bytes in all
+    for r in chunks.mapInArrow(merged, "chunk long, bits binary").collect():  # slots / 8 bytes in all
         bitmap[r.chunk * _CHUNK // 8 :][: _CHUNK // 8] = np.frombuffer(r.bits, np.uint8)
     return bitmap
 
 
-def windows(docs: DataFrame, bitmap: np.ndarray, longest: int = LONGEST) -> DataFrame:
+def windows(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
     """(lang, w1 ... w5, count) of the longest windows, padded with empty words."""
-    shipped = docs.sparkSession.sparkContext.broadcast(bitmap)
+    slots = slots_for(docs)
+    spark = docs.sparkSession.sparkContext
+    short = spark.broadcast(frequent_slots(docs, slots, least, lambda words: words.short_slots(slots)[::2]))
+
+    def longer(words: Words) -> Iterator[np.ndarray]:
+        for _, _, slot in words.long_slots(words.frequent(short.value)[1], longest, slots):
+            yield slot
+
+    long = spark.broadcast(frequent_slots(docs, slots, least, longer)) if longest > 2 else short
     columns = [f"w{k + 1}" for k in range(longest)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shipped.value
         for batch in pieces(batches, limit=TEXT_BYTES):
             words = Words(batch)
-            size = len(words.word)
-            if not size:
+            if not len(words.word):
                 continue
-            of_word, at, of_pair = words.slots(8 * len(bits))
-            often = ((bits[of_word >> 3] >> (of_word & 7).astype(np.uint8)) & 1).astype(bool)
-            on = np.zeros(size, bool)
-            on[at] = (bits[of_pair >> 3] >> (of_pair & 7).astype(np.uint8)) & 1
-            on[at] &= often[at] & often[at + 1]
+            often, on = words.frequent(short.value)
+            reach = often.astype(np.int64) + on  # words of the window that begins here
+            for size, at, slot in words.long_slots(on, longest, slots):
+                at = at[_is_set(long.value, slot)]
+                reach[at[reach[at] == size - 1]] = size
             pad, names = len(words.names), pa.concat_arrays([words.names, pa.array([""], pa.large_string())])
             # Most words lead nowhere: those windows are the word alone, or nothing where it is rare. Of
             # the others the numbers of all words, side by side in as few 64-bit keys as hold them, tell
             # equal windows.
             first = np.where(often, words.word, pad)
-            alone = np.flatnonzero(~on)
+            alone = np.flatnonzero(reach < 2)
             _, one, count = np.unique(words.lang[alone].astype(np.int64) * (pad + 1) + first[alone], return_index=True, return_counts=True)
             one = alone[one]
-            at, lead, go = np.flatnonzero(on), [], np.ones(int(on.sum()), bool)
+            at, lead = np.flatnonzero(reach > 1), []
             for k in range(longest):
+                go = reach[at] > k
                 own = np.full(len(at), pad, np.int64)
                 own[go] = words.word[at[go] + k]
                 lead.append(own)
-                go[go] = on[at[go] + k]
             bits_each = max(pad + 1, len(words.langs)).bit_length()
             packed = []
             for k in range(0, longest + 1, 63 // bits_each):
@@ -207,7 +243,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -
 
     Size 0, an empty phrase, has the number of all words of the language.
     """
-    top = windows(docs, frequent_slots(docs, least), longest)
+    top = windows(docs, least, longest)
     columns = [f"w{k + 1}" for k in range(longest)]
     sums = top.rollup("lang", *columns).agg(F.sum("count").alias("f"), F.grouping_id().alias("rolled"))
     # A prefix of k words has the last columns rolled up; a padded one is a shorter prefix again.

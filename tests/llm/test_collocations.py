@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from credence.llm import collocations
@@ -72,7 +73,7 @@ def test_few_slots_change_nothing(spark, monkeypatch):
     many = got(frame(spark, rows), least=3)
     monkeypatch.setattr(collocations, "LEAST_SLOTS", 1 << 18)
     assert many == got(frame(spark, rows), least=3)
-    monkeypatch.setattr(collocations, "frequent_slots", lambda docs, least: __import__("numpy").full(1 << 12, 255, "uint8"))
+    monkeypatch.setattr(collocations, "frequent_slots", lambda docs, slots, least, found: np.full(slots // 8, 255, np.uint8))
     assert many == got(frame(spark, rows), least=3) == brute(rows, 3)
 
 
