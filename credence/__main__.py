@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from . import schemas
 from .functions import text
-from .operators import evaluate, profile
+from .operators import evaluate, profile, sample
 from .plans import build, collect, predict, train
 from .session import build_session
 from .sources import articles, dimensions
@@ -85,13 +85,15 @@ def main(argv: list[str] | None = None) -> None:
         if args.spaces == "stripped":
             rows = rows.withColumn("text", text.strip_control("text"))
         slices = {name: tuple(map(int, span.split(":"))) for name, _, span in (s.partition("=") for s in args.slice)}
-        fitted, judged = train.train_and_evaluate(
+        trained = train.train_and_evaluate(
             rows.withColumnRenamed("text", "sentence"), label_column=args.label, label_list=labels[args.label],
-            n=args.sample, slices=slices or None, seed=args.seed,
+            n=args.sample, slices=slices or sample.DEFAULT_SLICES, seed=args.seed,
             token_limit=args.token_limit and args.token_limit - 2,
         )
-        fitted.write().overwrite().save(args.model)
-        evaluate.split_measures(judged, binary=args.label == "polarity").show()
+        trained.model.write().overwrite().save(args.model)
+        trained.path.write.mode("overwrite").parquet(args.model.rstrip("/") + "-penalties")
+        trained.path.show()
+        evaluate.split_measures(trained.judged, binary=args.label == "polarity").show()
     else:
         sentences = spark.read.text(args.sentences).withColumnRenamed("value", "sentence")
         predict.predict_to_table(args.model, sentences, args.out, labels[args.label])

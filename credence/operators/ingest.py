@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keys, text
@@ -47,11 +49,21 @@ def one_per_key(numbered: DataFrame, key: str = "identity", prefer: str = "sha1"
 
 
 def extract_text(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Replaces the HTML column with ``text``, the visible text.
+    """Replaces the HTML column with ``text``, the visible text."""
+    return _extracted(pages, html, text.html_text)
+
+
+def extract_article(pages: DataFrame, html: str = "html") -> DataFrame:
+    """Replaces the HTML column with ``text``, the article alone; '' where a page has none."""
+    return _extracted(pages, html, text.article_text)
+
+
+def _extracted(pages: DataFrame, html: str, extract: Callable[[str], Column]) -> DataFrame:
+    """``text`` in place of the HTML, computed in one place.
 
     A filter on ``text`` would be pushed down through a plain projection, and the
     extraction then run once per mention and before any join above. ``explode`` of a
     one-element array keeps filters above it: every page is extracted once.
     """
     others = [c for c in pages.columns if c != html]
-    return pages.select(*others, F.explode(F.array(text.html_text(html))).alias("text"))
+    return pages.select(*others, F.explode(F.array(extract(html))).alias("text"))

@@ -15,31 +15,39 @@ from ..functions import text, vectors
 from . import label as labels
 
 
-def text_pipeline(num_features: int = 1 << 14, max_iter: int = 500, reg: float = 1.0) -> Pipeline:
-    """Hashed token counts, inverse document frequency, multinomial logistic regression.
+# Each ends a fit only where the loss has settled to nine digits; the steps are a stop for one
+# that never settles.
+TOLERANCE, MOST_STEPS = 1e-9, 5000
 
-    Hashing needs no vocabulary pass and keeps the coefficients at labels x features. With far
-    more features than examples, a penalty of 1 lets the fit settle in tens of steps.
+
+def text_features(num_features: int = 1 << 16) -> Pipeline:
+    """Hashed token counts times inverse document frequency.
+
+    Hashing needs no vocabulary pass and keeps the coefficients at labels x features.
     """
     return Pipeline(stages=[
         HashingTF(inputCol="tokens", outputCol="counts", numFeatures=num_features),
         IDF(inputCol="counts", outputCol="features"),
-        _softmax(max_iter, reg),
     ])
 
 
-def vector_pipeline(max_iter: int = 500, reg: float = 0.0) -> Pipeline:
-    """The softmax layer alone, over a ``features`` vector column."""
-    return Pipeline(stages=[_softmax(max_iter, reg)])
-
-
-def _softmax(max_iter: int, reg: float) -> LogisticRegression:
-    # The tolerance ends the fit; the number of steps is only a stop for one that never settles.
+def softmax(reg: float = 0.01, max_iter: int = MOST_STEPS, tol: float = TOLERANCE) -> LogisticRegression:
+    """Multinomial logistic regression over ``features``, with an intercept that is not penalised."""
     return LogisticRegression(
-        family="multinomial", featuresCol="features", labelCol="label_id", maxIter=max_iter, regParam=reg, tol=1e-6
+        family="multinomial", featuresCol="features", labelCol="label_id", maxIter=max_iter, regParam=reg, tol=tol
     )
 
 
+def text_pipeline(num_features: int = 1 << 16, max_iter: int = MOST_STEPS, reg: float = 0.01) -> Pipeline:
+    """The features and the softmax layer on them."""
+    return Pipeline(stages=[*text_features(num_features).getStages(), softmax(reg, max_iter)])
+
+
+def vector_pipeline(max_iter: int = MOST_STEPS, reg: float = 0.0) -> Pipeline:
+    """The softmax layer alone, over a ``features`` vector column."""
+    return Pipeline(stages=[softmax(reg, max_iter)])
+
+
 def with_tokens(examples: DataFrame, text_a: str = "text_a", token_limit: int | None = None) -> DataFrame:
     """``tokens``: all of them, or the first ``token_limit`` where the model reads no more."""
     tokens = text.tokens(text_a) if token_limit is None else text.first_tokens(text_a, token_limit)

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
 
 
-def token_frequency(articles: DataFrame, column: str = "text") -> DataFrame:
-    """``token, count`` over whole texts; hot tokens are combined before the shuffle."""
-    pieces = articles.select(F.explode(text.split_words(column)).alias("token"))
+def token_frequency(articles: DataFrame, column: str = "text", words: Callable[[str], Column] = text.split_words) -> DataFrame:
+    """``token, count`` over whole texts; hot tokens are combined before the shuffle.
+
+    ``words`` cuts a text: ``text.split_words``, or ``text.basic_tokens`` for word pieces.
+    """
+    pieces = articles.select(F.explode(words(column)).alias("token"))
     return pieces.filter(F.col("token") != "").groupBy("token").agg(F.count("*").alias("count"))
 
 

@@ -8,9 +8,9 @@ the documents' words, as single tokens do in ``encode``.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -37,22 +37,29 @@ def subword_vocabulary(counts: DataFrame, n: int, min_count: int = 1) -> DataFra
 
 
 def _spans(words: DataFrame, vocab: DataFrame) -> DataFrame:
-    """``word, pos, len, piece``: every part of a word that is as long as some piece."""
-    length = F.length(F.regexp_replace("token", f"^{CONTINUATION}(?=.)", ""))
-    lengths = vocab.agg(F.coalesce(F.sort_array(F.collect_set(length)), F.array().cast("array<int>")))
+    """``word, pos, len, piece``: the parts of a word that may be a piece.
+
+    At each position the next two characters decide: the vocabulary tells, for each two that a
+    piece begins with, the lengths of such pieces. So a position gives rows only for those few.
+    """
+    # A word begins with any token as it stands, and goes on with the continuations.
+    inner = vocab.filter(F.col("token").startswith(CONTINUATION)).select(F.lit(True).alias("inner"), F.substr("token", F.lit(len(CONTINUATION) + 1)).alias("plain"))
+    pieces = vocab.select(F.lit(False).alias("inner"), F.col("token").alias("plain")).union(inner).filter("plain <> ''")
+    starts = pieces.groupBy("inner", F.substr("plain", F.lit(1), F.lit(2)).alias("two")).agg(F.collect_set(F.length("plain")).alias("lengths"))
+    longest = vocab.agg(F.coalesce(F.max(F.length("token")), F.lit(0))).scalar()
     size = F.length("word")
-    blocks = words.select(
-        "word", size.alias("size"), F.lit(lengths.scalar()).alias("lengths"),
-        F.explode(F.sequence(F.lit(1), size, F.lit(_BLOCK))).alias("start"),
-    ).withColumn("block", F.substr("word", F.col("start"), F.lit(_BLOCK) + F.coalesce(F.array_max("lengths"), F.lit(0))))
+    blocks = words.select("word", size.alias("size"), F.explode(F.sequence(F.lit(1), size, F.lit(_BLOCK))).alias("start")).filter("size > 0")
+    blocks = blocks.withColumn("block", F.substr("word", F.col("start"), F.lit(_BLOCK) + longest))
     here = F.least(F.lit(_BLOCK), F.col("size") - F.col("start") + 1)
     at = blocks.select("*", F.explode(F.sequence(F.lit(1), here)).alias("offset")).withColumn(
         "pos", F.col("start") + F.col("offset") - 1
-    )
-    fitting = F.filter("lengths", lambda n: n <= F.col("size") - F.col("pos") + 1)
-    spans = at.select("word", "pos", "block", "offset", F.explode(fitting).alias("len"))
+    ).withColumn("inner", F.col("pos") > 1)
+    # Pieces of one character begin with that one alone.
+    both = F.array_distinct(F.array(F.substr("block", F.col("offset"), F.lit(2)), F.substr("block", F.col("offset"), F.lit(1))))
+    spans = at.select("*", F.explode(both).alias("two")).join(starts, ["inner", "two"])
+    spans = spans.select("*", F.explode("lengths").alias("len")).filter(F.col("len") <= F.col("size") - F.col("pos") + 1)
     part = F.substr("block", F.col("offset"), F.col("len"))
-    return spans.select("word", "pos", "len", F.when(F.col("pos") > 1, F.concat(F.lit(CONTINUATION), part)).otherwise(part).alias("piece"))
+    return spans.select("word", "pos", "len", F.when(F.col("inner"), F.concat(F.lit(CONTINUATION), part)).otherwise(part).alias("piece"))
 
 
 def word_pieces(words: DataFrame, vocab: DataFrame, at_most: int) -> DataFrame:
@@ -77,12 +84,13 @@ def word_pieces(words: DataFrame, vocab: DataFrame, at_most: int) -> DataFrame:
 
 def encode_subword(
     examples: DataFrame, vocab: DataFrame, max_len: int, id: str = "id", text_a: str = "text_a",
-    keep: Sequence[str] = (),
+    keep: Sequence[str] = (), words: Callable[[str, int], Column] = text.first_tokens,
 ) -> DataFrame:
     """``encode_single`` with words split into the pieces of ``vocab`` first; a word that
-    cannot be split is one unknown id."""
+    cannot be split is one unknown id. ``words`` gives the first words of a text:
+    ``text.first_tokens``, or ``text.first_basic_tokens``, which sets punctuation apart."""
     budget = max_len - 2
-    words = F.coalesce(text.first_tokens(text_a, budget), F.array().cast("array<string>"))
+    words = F.coalesce(words(text_a, budget), F.array().cast("array<string>"))
     lead = examples.select(id, *keep, F.posexplode_outer(words).alias("pos", "word"))
     pieces = word_pieces(lead.filter("word is not null").select("word").distinct(), vocab, budget)
     unknown = F.array(F.lit(encode.UNK))

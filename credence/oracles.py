@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from . import queries as q
 from .functions.text import BOILERPLATE_TOKENS
+from .operators import sample
 
 # Whitespace as Python's str.split() sees it; RE2's own \s is ASCII only.
 SPACE = (
@@ -69,6 +70,43 @@ _decode = f"""CASE WHEN regexp_matches(x, '^(amp|lt|gt|quot|middot|copy|nbsp)\\b
 _page = f"string_split({_page}, '&')[1] || array_to_string(list_transform(string_split({_page}, '&')[2:], lambda x: {_decode}), '')"
 PAGE_TEXT = f"trim(regexp_replace({_page}, '{SPACE}+', ' ', 'g'))"
 
+# The article: parts after each '<' are rows, blocks and links running counts over them, and the
+# best run of blocks the largest difference of two prefix sums.
+_shown = "html"
+for _open, _close in (("<!--", "-->"), ("<script[ >]", "</script *>"), ("<style[ >]", "</style *>"), *(
+        (f"<{e}[ >]", f"</{e} *>") for e in ("head", "nav", "footer", "aside", "form", "button", "select", "noscript"))):
+    _shown = f"regexp_replace({_shown}, '(?is){_open}.*?{_close}', ' ', 'g')"
+_BLOCK_TAGS = """'address', 'blockquote', 'body', 'center', 'dd', 'details', 'div', 'dl', 'dt', 'fieldset', 'figcaption', 'figure',
+  'h1', 'h2', 'h3', 'h4', 'h5', 'h6', 'header', 'hr', 'html', 'li', 'main', 'article', 'section', 'ol', 'p', 'pre',
+  'summary', 'table', 'tbody', 'td', 'tfoot', 'th', 'thead', 'tr', 'ul'"""
+_after = "string_split(part, '&')[1] || array_to_string(list_transform(string_split(part, '&')[2:], lambda x: " + _decode + "), '')"
+
+
+def words(text: str) -> str:
+    return f"len(list_filter(string_split_regex({text}, '{SPACE}+'), lambda x: x <> ''))"
+
+
+ARTICLES = f"""shown AS (SELECT page_id, string_split({_shown}, '<') AS cut FROM pages),
+parts AS (SELECT page_id, unnest(cut) AS part, generate_subscripts(cut, 1) AS k FROM shown),
+tags AS (SELECT page_id, k, CASE WHEN k > 1 AND regexp_matches(part, '^[a-zA-Z/!?]') THEN lower(regexp_extract(part, '^/?([a-zA-Z0-9]*)', 1)) END AS tag,
+         part LIKE '/%' AS ends, part FROM parts),
+texts AS (SELECT page_id, k, tag, ends, CASE WHEN k = 1 THEN part WHEN tag IS NULL THEN '<' || part
+          ELSE ' ' || array_to_string(string_split(part, '>')[2:], '>') END AS part FROM tags),
+marks AS (SELECT page_id, k, {_after} AS part, CASE WHEN tag = 'a' THEN CAST(NOT ends AS INTEGER) END AS mark,
+          count(*) FILTER (WHERE tag IN ({_BLOCK_TAGS})) OVER (PARTITION BY page_id ORDER BY k) AS block FROM texts),
+links AS (SELECT *, last_value(mark IGNORE NULLS) OVER (PARTITION BY page_id, block ORDER BY k) AS linked FROM marks),
+blocks AS (SELECT page_id, block, string_agg(part, '' ORDER BY k) AS part,
+           string_agg(CASE WHEN linked = 1 THEN part ELSE ' ' END, '' ORDER BY k) AS link FROM links GROUP BY page_id, block),
+owns AS (SELECT page_id, trim(regexp_replace(part, '{SPACE}+', ' ', 'g')) AS part, greatest(least({words('part')} - 3 * {words('link')}, 30), -10) AS own,
+         row_number() OVER (PARTITION BY page_id ORDER BY block) AS i FROM blocks WHERE {words('part')} > 0),
+vals AS (SELECT *, 2 * own + coalesce(lag(own) OVER w, 0) + coalesce(lead(own) OVER w, 0) - 48 AS v FROM owns WINDOW w AS (PARTITION BY page_id ORDER BY i)),
+sums AS (SELECT *, sum(v) OVER (PARTITION BY page_id ORDER BY i) AS upto, sum(v) OVER (PARTITION BY page_id ORDER BY i) - v AS before FROM vals),
+gains AS (SELECT *, upto - min(before) OVER (PARTITION BY page_id ORDER BY i) AS gain, min(before) OVER (PARTITION BY page_id ORDER BY i) AS least FROM sums),
+ends AS (SELECT page_id, i AS final, least FROM gains WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY gain DESC, i) = 1),
+spans AS (SELECT e.page_id, final, max(s.i) AS begins FROM ends e JOIN sums s ON s.page_id = e.page_id AND s.i <= e.final AND s.before = e.least GROUP BY ALL),
+articles AS (SELECT p.page_id, p.url, split_part(p.url, '/', 3) AS host, coalesce(string_agg(o.part, ' ' ORDER BY o.i), '') AS text
+  FROM pages p LEFT JOIN spans s USING (page_id) LEFT JOIN owns o ON o.page_id = p.page_id AND o.i BETWEEN s.begins AND s.final GROUP BY p.page_id, p.url)"""
+
 
 def counts(table: str, where: str = "true") -> str:
     return f"""counts AS (SELECT token, count(*) AS "count"
@@ -174,7 +212,7 @@ FILES = f"""{SCORED}, files AS (
          CASE WHEN lang = 'es' THEN sha1 ELSE sha1 || '_' || sentiment END AS name,
          CASE WHEN lang <> 'es' THEN sentiment END AS sentiment FROM scored)"""
 
-_reason = f"""CASE WHEN e.host IS NOT NULL THEN 'excluded' WHEN {pieces(PAGE_TEXT)} < 200 THEN 'too_short'
+_reason = f"""CASE WHEN e.host IS NOT NULL THEN 'excluded' WHEN {pieces('p.text')} < 200 THEN 'too_short'
   WHEN s.sentiment IS NULL THEN 'unscored' ELSE 'kept' END"""
 
 SITE_COUNTS = f"""{SCORES}, per_site AS (
@@ -199,26 +237,28 @@ def _variants() -> str:
   GROUP BY label_kind, corpora, spaces, token_limit"""
 
 
-def sliced(rows: str, n: int, slices: dict) -> str:
+def sliced(rows: str, n: int) -> str:
     """The sample of the scored documents with the slice of each row, start included, end not."""
-    case = " ".join(f"WHEN position >= {a} AND position < {b} THEN '{name}'" for name, (a, b) in slices.items())
-    return f"""drawn AS (SELECT *, row_number() OVER (ORDER BY sha1('{q.SEED}:' || doc_id), doc_id) - 1 AS position
-        FROM {rows} QUALIFY position < {n}),
+    case = " ".join(
+        f"WHEN position >= ({a} * drawn + 9999) // 10000 AND position < {b} * drawn // 10000 THEN '{name}'"
+        for name, (a, b) in sample.WIDE_SLICES.items())
+    return f"""drawn AS (SELECT *, row_number() OVER (ORDER BY sha1('{q.SEED}:' || doc_id), doc_id) - 1 AS position,
+        least(count(*) OVER (), {n}) AS drawn FROM {rows} QUALIFY position < {n}),
       parts AS (SELECT *, CASE {case} END AS split FROM drawn)"""
 
 
-def _runs() -> str:
-    both = []
-    for kind, where in (("known", "corpus = 'known'"), ("combined", "true")):
-        cut = sliced(f"(SELECT * FROM corpora WHERE {where})", q.VARIANT_SAMPLE, q.VARIANT_SLICES)
-        both.append(f"SELECT '{kind}' AS corpora, split FROM (WITH {cut} SELECT split FROM parts)")
-    return f"""{CORPORA}, n AS (SELECT corpora, count(*) FILTER (WHERE split = 'train') AS train_rows,
-            count(*) FILTER (WHERE split = 'dev') AS dev_rows FROM ({' UNION ALL '.join(both)}) GROUP BY corpora)
-      SELECT label_kind, n.corpora, spaces, CAST(token_limit AS INTEGER) AS token_limit, train_rows, true AS fitted,
-             dev_rows, true AS judged
-      FROM n, (SELECT unnest(['sentiment', 'polarity']) AS label_kind), (SELECT unnest(['raw', 'stripped']) AS spaces),
-           (SELECT unnest([32, 128, 256]) AS token_limit) WHERE dev_rows > 0"""
 
+# Every length as a threshold, each counted over all rows anew.
+CURVE = """j AS (SELECT CAST(n_chars AS DOUBLE) AS score, quality FROM documents JOIN labels USING (doc_id)),
+t AS (SELECT DISTINCT score AS threshold FROM j),
+c AS (SELECT threshold, count(*) FILTER (WHERE quality = 1 AND score >= threshold) AS tp,
+  count(*) FILTER (WHERE quality = 0 AND score >= threshold) AS fp, count(*) FILTER (WHERE quality = 1 AND score < threshold) AS fn,
+  count(*) FILTER (WHERE quality = 0 AND score < threshold) AS tn FROM t, j GROUP BY threshold),
+curve AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall,
+  coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1, coalesce(fp / nullif(fp + tn, 0), 0) AS fpr FROM c)"""
+
+# The test tables hold no controls, ideographs or Hangul; accents are dropped by DuckDB's own function.
+BASIC = f"list_filter(string_split_regex(regexp_replace(strip_accents(lower(text)), '([!-/:-@\\[-`{{-~]|\\p{{P}})', ' \\1 ', 'g'), '{SPACE}+'), lambda x: x <> '')"
 
 ORACLES: dict[str, str] = {
     "kept_articles": f"""WITH {SCORED}
@@ -235,19 +275,19 @@ ORACLES: dict[str, str] = {
     "labelled_scan": f"""WITH {FILES} SELECT DISTINCT name, sentiment, polarity, sha1(text || chr(10)) AS sentence_sha1
         FROM files WHERE lang NOT IN ('de', 'es')""",
     "page_text": f"SELECT page_id, {PAGE_TEXT} AS text FROM pages",
-    "collect_known": f"""WITH {HOSTS}, t AS (SELECT host, url, {PAGE_TEXT} AS text FROM p)
+    "page_article": f"WITH {ARTICLES} SELECT page_id, text FROM articles",
+    "collect_known": f"""WITH {HOSTS}, {ARTICLES}
         SELECT sha1(text) AS sha1, t.host AS site, url, sentiment,
                CAST(sentiment > 5 AS INTEGER) AS polarity, 'known' AS corpus,
                CAST(length(text) AS INTEGER) AS chars
-        FROM t JOIN host_scores s ON t.host = s.site
+        FROM articles t JOIN host_scores s ON t.host = s.site
         WHERE t.host NOT IN (SELECT host FROM excluded) AND {pieces('text')} >= 50""",
-    "collect_listed": f"""SELECT sha1(text) AS sha1, url, 1 AS sentiment, 0 AS polarity, 'listed' AS corpus
-        FROM (SELECT url, {PAGE_TEXT} AS text FROM pages) WHERE length(text) >= 1000""",
-    "collect_stored": f"""WITH {PAGES}, crawl AS (
-          SELECT host, url, html FROM p
-          UNION ALL SELECT host, CASE WHEN page_id % 2 = 0 THEN url END, html FROM p WHERE page_id % 5 = 0
-          UNION ALL SELECT host, 'https://one.example/for/many', html FROM p WHERE page_id % 7 = 0),
-        t AS (SELECT host AS site, url, {PAGE_TEXT} AS text FROM crawl)
+    "collect_listed": f"""WITH {ARTICLES} SELECT sha1(text) AS sha1, url, 1 AS sentiment, 0 AS polarity, 'listed' AS corpus
+        FROM articles WHERE length(text) >= 1000""",
+    "collect_stored": f"""WITH {ARTICLES}, t AS (
+          SELECT host AS site, url, text FROM articles
+          UNION ALL SELECT host, CASE WHEN page_id % 2 = 0 THEN url END, text FROM articles WHERE page_id % 5 = 0
+          UNION ALL SELECT host, 'https://one.example/for/many', text FROM articles WHERE page_id % 7 = 0)
         SELECT sha1(text) AS sha1, site, url, 1 AS sentiment, 0 AS polarity, 'listed' AS corpus
         FROM t WHERE length(text) >= 1000
         QUALIFY row_number() OVER (PARTITION BY sha1(text) ORDER BY url NULLS FIRST, site) = 1""",
@@ -256,6 +296,8 @@ ORACLES: dict[str, str] = {
     "clean_corpus_job": f"""WITH {CORPORA} SELECT corpus, polarity, count(*) AS "count",
         CAST(sum(length({CLEANED})) AS BIGINT) AS chars FROM corpora GROUP BY corpus, polarity""",
     "incremental_append": "SELECT page_id, url FROM pages",
+    "incremental_stream": f"""WITH {PAGES} SELECT page_id, url,
+        CASE WHEN starts_with(host, 'blog.') THEN 0 ELSE 1 END AS batch FROM p""",
     "tokenize": f"SELECT doc_id, array_to_string({tokens('text')}, ' ') AS tokens FROM documents",
     "host_extract": "SELECT page_id, split_part(url, '/', 3) AS host FROM pages",
     "host_exclude": f"WITH {HOSTS} SELECT page_id, host FROM p WHERE host NOT IN (SELECT host FROM excluded)",
@@ -284,8 +326,8 @@ ORACLES: dict[str, str] = {
         FROM documents d LEFT JOIN scores s ON d.source = s.site""",
     "label_names": f"""WITH {JUDGED} SELECT doc_id, CASE pred WHEN 0 THEN 'Negative' ELSE 'Positive' END AS label
         FROM judged""",
-    "drop_reasons": f"""WITH {HOSTS} SELECT p.host AS site, {_reason} AS reason, count(*) AS "count"
-        FROM p LEFT JOIN excluded e ON p.host = e.host LEFT JOIN host_scores s ON p.host = s.site
+    "drop_reasons": f"""WITH {HOSTS}, {ARTICLES} SELECT p.host AS site, {_reason} AS reason, count(*) AS "count"
+        FROM articles p LEFT JOIN excluded e ON p.host = e.host LEFT JOIN host_scores s ON p.host = s.site
         GROUP BY 1, 2""",
     "site_counts": f"WITH {SITE_COUNTS} SELECT site, found, included FROM per_site",
     "site_rollup": f"""WITH {SITE_COUNTS} SELECT site, CAST(sum(found) AS BIGINT) AS found,
@@ -305,7 +347,7 @@ ORACLES: dict[str, str] = {
     "sample_n": f"""SELECT doc_id, source AS site, text FROM documents
         ORDER BY sha1('{q.SEED}:' || doc_id), doc_id LIMIT 150""",
     "split_slices": f"""WITH drawn AS (SELECT doc_id,
-          CAST(row_number() OVER (ORDER BY sha1('{q.SEED}:' || doc_id), doc_id) - 1 AS INTEGER) AS position
+          row_number() OVER (ORDER BY sha1('{q.SEED}:' || doc_id), doc_id) - 1 AS position
           FROM documents QUALIFY position < {q.SAMPLE})
         SELECT doc_id, position, CASE WHEN position < 900 THEN 'train'
           WHEN position BETWEEN 901 AND 949 THEN 'dev' ELSE 'test' END AS split
@@ -324,6 +366,12 @@ ORACLES: dict[str, str] = {
     "labelled_concat": f"WITH {SCORED} SELECT doc_id, sentiment, polarity FROM scored",
     "vocabulary": f"WITH {counts('documents')}, {VOCABULARY} SELECT token, id FROM vocab",
     "encode_single": f"WITH {ENCODED} SELECT doc_id, label_id, {single_arrays('ids')} FROM enc",
+    "encode_clustered": f"""WITH {CORPORA}, {counts('documents')}, {VOCABULARY},
+        tok AS (SELECT doc_id, {tokens(CLEANED)} AS toks FROM corpora),
+        lead AS (SELECT doc_id, unnest(toks[1:{L - 2}]) AS token, generate_subscripts(toks[1:{L - 2}], 1) AS pos FROM tok),
+        found AS (SELECT doc_id, list(coalesce(id, 1) ORDER BY pos) AS ids FROM lead LEFT JOIN vocab USING (token) GROUP BY doc_id),
+        enc AS (SELECT doc_id, coalesce(ids, CAST([] AS INTEGER[])) AS ids FROM tok LEFT JOIN found USING (doc_id))
+        SELECT doc_id, {single_arrays('ids')} FROM enc""",
     "encode_quality": f"""WITH {ENCODED} SELECT count(*) AS rows, CAST(0 AS BIGINT) AS bad_ids,
         CAST(0 AS BIGINT) AS bad_mask, CAST(0 AS BIGINT) AS bad_segments,
         count(*) FILTER (WHERE label_id IS NULL) AS unknown_labels FROM enc""",
@@ -334,6 +382,8 @@ ORACLES: dict[str, str] = {
           AS segment_ids FROM laid""",
     "subword_vocabulary": f"WITH {SUBWORDS} SELECT token, id FROM sub",
     "encode_subword": f"WITH RECURSIVE {SEGMENTED} SELECT doc_id, {single_arrays('ids')} FROM enc",
+    "basic_tokens": f"SELECT doc_id, array_to_string({BASIC}, ' ') AS tokens FROM documents",
+    "encode_basic": f"WITH RECURSIVE {SEGMENTED.replace(tokens('text'), BASIC)} SELECT doc_id, {single_arrays('ids')} FROM enc",
     "linear_head": f"""WITH {HEAD} SELECT vec_id, pred,
         CAST(generate_subscripts(log_probs, 1) - 1 AS INTEGER) AS label_id,
         unnest(list_transform(log_probs, lambda x: round(x, 6))) AS log_prob FROM head""",
@@ -353,19 +403,16 @@ ORACLES: dict[str, str] = {
           FROM documents JOIN labels USING (doc_id) GROUP BY n_chars),
         below AS (SELECT pos, neg, sum(neg) OVER (ORDER BY n_chars) - neg AS lower FROM per_score)
         SELECT round(CAST(sum(pos * (lower + neg / 2)) / (sum(pos) * sum(neg)) AS DOUBLE), 9) AS auc FROM below""",
+    "threshold_curve": f"""WITH {CURVE} SELECT threshold, tp, fp, fn, tn, round(precision, 9) AS precision,
+        round(recall, 9) AS recall, round(f1, 9) AS f1, round(fpr, 9) AS fpr FROM curve""",
+    "best_threshold": f"""WITH {CURVE} SELECT threshold, tp, fp, fn, tn, round(f1, 9) AS f1
+        FROM curve ORDER BY curve.f1 DESC, threshold DESC LIMIT 1""",
     "confusion": f'WITH {HEAD} SELECT label, pred, count(*) AS "count" FROM head GROUP BY label, pred',
     "variant_counts": f"WITH {_variants()}",
     "train_softmax": """SELECT CAST(label AS INTEGER) AS label, count(*) AS rows, CAST(count(*) AS DOUBLE) AS expected
         FROM embeddings GROUP BY label""",
-    "train_evaluate": f"""WITH {SCORED}, {sliced('scored', q.TRAIN_SAMPLE, q.TRAIN_SLICES)}
-        SELECT split, count(*) AS rows, CAST(sum(polarity) AS BIGINT) AS positives,
-               CASE split WHEN 'train' THEN CAST(sum(polarity) AS DOUBLE) END AS expected, true AS consistent
-        FROM parts WHERE split IS NOT NULL GROUP BY split""",
-    "train_scores": f"""WITH {SCORED}, {sliced('scored', q.TRAIN_SAMPLE, q.TRAIN_SLICES)}
+    "train_scores": f"""WITH {SCORED}, {sliced('scored', q.TRAIN_SAMPLE)}
         SELECT split, sentiment AS label, count(*) AS rows,
                CASE split WHEN 'train' THEN CAST(count(*) AS DOUBLE) END AS expected
         FROM parts WHERE split IS NOT NULL GROUP BY split, sentiment""",
-    "predict_batch": """SELECT doc_id, sha1(text) AS sentence_sha1, CAST(1 AS DOUBLE) AS total, true AS likeliest
-        FROM documents""",
-    "variant_runs": f"WITH {_runs()}",
 }

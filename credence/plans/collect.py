@@ -1,4 +1,4 @@
-"""Stored pages to scored articles."""
+"""Stored pages to scored articles: the article of each page, not its menus and notices, is measured and kept."""
 
 from __future__ import annotations
 
@@ -17,7 +17,7 @@ def _as_articles(scored: DataFrame, corpus: str) -> DataFrame:
 
 
 def _texts(pages: DataFrame, long_enough: Column) -> DataFrame:
-    return ingest.extract_text(pages).filter(long_enough)
+    return ingest.extract_article(pages).filter(long_enough)
 
 
 def known_articles(

@@ -1,19 +1,31 @@
-"""Sample, split, train, evaluate; and the grid of variants."""
+"""Sample, split, choose the penalty, train, evaluate; and the grid of variants."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
+from typing import NamedTuple
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import label, model, sample
+from ..operators import evaluate, label, model, sample
 from ..session import staging
 
 ROWS_PER_TASK = 10_000
+# The penalties tried, in this order, until the loss on the dev slice rises; the one with the least is taken.
+PENALTIES = (100.0, 10.0, 1.0, 0.1, 0.01)
+
+
+class Trained(NamedTuple):
+    """A fitted pipeline, its predictions on all slices (``split`` tells them apart), and the path:
+    ``penalty, steps, rows, accuracy, loss`` on the dev slice and whether it was ``chosen``."""
+
+    model: PipelineModel
+    judged: DataFrame
+    path: DataFrame
 
 
 def labelled_examples(
@@ -24,11 +36,13 @@ def labelled_examples(
 
 
 def split_sample(
-    labelled: DataFrame, key: str, n: int, slices: dict[str, tuple[int, int]], seed: int
+    labelled: DataFrame, key: str, n: int, slices: dict[str, tuple[int, int]] | None, seed: int
 ) -> DataFrame:
-    """The sliced sample, staged, so that no later job redraws it."""
-    drawn = sample.slice_split(sample.sample_n(labelled, n, key, seed), key, slices)
-    return staging(drawn, partition_by=("split",))
+    """The sliced sample, staged, so that no later job redraws it. Without ``slices`` a tenth of
+    the rows drawn, however many they are, are dev and test."""
+    drawn = staging(sample.sample_n(labelled, n, key, seed))
+    chosen = sample.scaled_slices(drawn.count()) if slices is None else slices
+    return staging(sample.slice_split(drawn, key, chosen), partition_by=("split",))
 
 
 def train_on(
@@ -37,25 +51,51 @@ def train_on(
     label_column: str,
     label_list: Sequence[int],
     token_limit: int | None = None,
-    num_features: int = 1 << 14,
-    max_iter: int = 500,
-) -> tuple[PipelineModel, DataFrame]:
+    num_features: int = 1 << 16,
+    max_iter: int = model.MOST_STEPS,
+    penalties: Sequence[float] = PENALTIES,
+) -> Trained:
     """Fits on the ``train`` rows of a split sample and judges all of them, these included."""
     examples = model.with_tokens(
         labelled_examples(parts, label_column, label_list, key, "split"), token_limit=token_limit
     )
-    return _fit(examples, key, label_list, num_features, max_iter)
+    return _fit(examples, key, label_list, num_features, max_iter, penalties)
 
 
 def _fit(
-    examples: DataFrame, key: str, label_list: Sequence[int], num_features: int, max_iter: int
-) -> tuple[PipelineModel, DataFrame]:
-    training = examples.filter((F.col("split") == "train") & F.col("label_id").isNotNull())
+    examples: DataFrame, key: str, label_list: Sequence[int], num_features: int, max_iter: int, penalties: Sequence[float]
+) -> Trained:
+    """One feature table for all penalties, from the strongest on: with a weaker one a fit takes
+    more steps, and once the loss on dev has risen none of the weaker ones is fitted."""
+    training = (F.col("split") == "train") & F.col("label_id").isNotNull()
+    features = model.text_features(num_features).fit(examples.filter(training))
+    table = staging(features.transform(examples).select(key, "split", "label", "label_id", "features"))
     # The sample is bounded: each step sends its gradient once for so many rows, not per file.
-    training = training.coalesce(1 + training.count() // ROWS_PER_TASK)
-    fitted = model.text_pipeline(num_features, max_iter).fit(training)
-    judged = model.predict(fitted, examples, label_list)
-    return fitted, judged.select(key, "split", "label", "label_id", "log_probs", "pred", "pred_id")
+    rows = table.filter(training)
+    rows = rows.coalesce(1 + rows.count() // ROWS_PER_TASK).cache()
+
+    def judged_by(fitted) -> DataFrame:
+        scored = model.predict(fitted, table, label_list)
+        return scored.select(key, "split", "label", "label_id", "log_probs", "pred", "pred_id")
+
+    path, best, least = [], None, None
+    if table.filter("split = 'dev' and label_id is not null").isEmpty():
+        penalties = penalties[-1:]  # nothing to choose by
+    for penalty in penalties:
+        fitted = model.softmax(penalty, max_iter).fit(rows)
+        dev = evaluate.split_measures(judged_by(fitted).filter("split = 'dev' and label_id is not null")).first()
+        loss = dev.loss if dev else None
+        path.append([penalty, fitted.summary.totalIterations, dev.rows if dev else 0, dev.accuracy if dev else None, loss, False])
+        if least is None or loss < least:
+            best, least, chosen = fitted, loss, path[-1]
+        else:
+            break
+    chosen[-1] = True
+    rows.unpersist()
+    return Trained(
+        PipelineModel(stages=[*features.stages, best]), judged_by(best),
+        table.sparkSession.createDataFrame(path, "penalty double, steps int, rows long, accuracy double, loss double, chosen boolean"),
+    )
 
 
 def train_and_evaluate(
@@ -67,30 +107,29 @@ def train_and_evaluate(
     slices: dict[str, tuple[int, int]] | None = None,
     seed: int = 7,
     token_limit: int | None = None,
-    num_features: int = 1 << 14,
-    max_iter: int = 500,
-) -> tuple[PipelineModel, DataFrame]:
-    """The fitted pipeline, and its predictions on all slices (``split`` tells them apart).
-
-    ``labelled`` has ``sentence``, the label column and ``key``. Training sees the
-    sample only, whatever the size of the corpus.
-    """
-    parts = split_sample(labelled, key, n, slices or sample.DEFAULT_SLICES, seed)
-    return train_on(parts, key, label_column, label_list, token_limit, num_features, max_iter)
+    num_features: int = 1 << 16,
+    max_iter: int = model.MOST_STEPS,
+    penalties: Sequence[float] = PENALTIES,
+) -> Trained:
+    """``labelled`` has ``sentence``, the label column and ``key``. Training sees the
+    sample only, whatever the size of the corpus."""
+    parts = split_sample(labelled, key, n, slices, seed)
+    return train_on(parts, key, label_column, label_list, token_limit, num_features, max_iter, penalties)
 
 
 def run_variants(
     labelled: DataFrame,
     key: str,
     n: int,
-    slices: dict[str, tuple[int, int]],
+    slices: dict[str, tuple[int, int]] | None = None,
     seed: int = 7,
     grid: Sequence[dict] | None = None,
-    num_features: int = 1 << 14,
-    max_iter: int = 500,
+    num_features: int = 1 << 16,
+    max_iter: int = model.MOST_STEPS,
+    penalties: Sequence[float] = PENALTIES,
     parallelism: int = 8,
-) -> list[tuple[dict, DataFrame]]:
-    """One training run per variant; each gives its variant and its predictions on all slices.
+) -> list[tuple[dict, Trained]]:
+    """One training run per variant, on one sample for each kind of corpora.
 
     The corpus is read once per kind of corpora, for the sample, and the sample's tokens are
     cut once per kind and whitespace handling; the runs share them.
@@ -105,15 +144,14 @@ def run_variants(
             longest = max(v["token_limit"] for v in chosen)
             kept = model.with_tokens(cut, "sentence", longest - 2)
             tokens[corpora, spaces] = staging(kept.select(key, "split", "sentiment", "polarity", "tokens"))
-    def run(variant: dict) -> tuple[dict, DataFrame]:
+
+    def run(variant: dict) -> tuple[dict, Trained]:
         labels = tuple(range(11)) if variant["label_kind"] == "sentiment" else (0, 1)
         rows = tokens[variant["corpora"], variant["spaces"]].select(
             key, "split", F.col(variant["label_kind"]).alias("label"),
             F.slice("tokens", F.lit(1), F.lit(variant["token_limit"] - 2)).alias("tokens"),
         )
-        _, judged = _fit(model.with_label_id(rows, labels), key, labels, num_features, max_iter)
-        return variant, judged
+        return variant, _fit(model.with_label_id(rows, labels), key, labels, num_features, max_iter, penalties)
 
-    # A step of one fit is one small task; fits side by side fill the cluster.
     with ThreadPoolExecutor(parallelism) as pool:
         return list(pool.map(run, chosen))

@@ -29,14 +29,12 @@ RECURRING = ("And ornd.", "of the", "que la", "(And)")
 SEED = 7
 MAX_LEN = 32
 VOCABULARY_SIZE = 2000
+BUCKETS = 16
 LABELS = list(range(11))
 SAMPLE = 1000
 SLICES = {"train": (0, 900), "dev": (901, 950), "test": (951, 999)}
-# Scored documents are fewer than documents, so training draws a smaller sample.
-TRAIN_SAMPLE = 800
-TRAIN_SLICES = {"train": (0, 700), "dev": (701, 750), "test": (751, 799)}
-VARIANT_SAMPLE = 700
-VARIANT_SLICES = {"train": (0, 600), "dev": (601, 650)}
+# The slices of a training sample are shares of the rows drawn, so that smaller tables fill them too.
+TRAIN_SAMPLE = 10_000
 VECTOR_SIZE, VECTOR_LABELS = 64, 10
 WEIGHTS = [[((31 * k + 17 * i) % 23 - 11) / 50 for i in range(VECTOR_SIZE)] for k in range(VECTOR_LABELS)]
 BIAS = [(k % 5 - 2) / 10 for k in range(VECTOR_LABELS)]
@@ -205,6 +203,10 @@ def page_text(spark, d):
     return ingest.extract_text(_table(spark, d, "pages").select("page_id", "html"))
 
 
+def page_article(spark, d):
+    return ingest.extract_article(_table(spark, d, "pages").select("page_id", "html"))
+
+
 def collect_known(spark, d):
     pages = _table(spark, d, "pages").select(keys.host("url").alias("site"), "url", "html")
     found = collect.known_articles(pages, _mobile_hosts(spark, d), _host_scores(spark, d))
@@ -240,27 +242,51 @@ def article_sink(spark, d):
 
 
 def clean_corpus_job(spark, d):
+    """The job that the command line runs; its counts beside the characters it stored."""
     path = shared_folder(spark)
     raw = _keyed(_corpora(spark, d)).select("doc_id", "sha1", "text", "sentiment", "polarity", "corpus")
-    articles.write_articles(build.clean_articles(raw), path)
+    counts = build.build_corpora(raw, path)
     stored = articles.read_articles(spark, path, raw.schema)
-    return stored.groupBy("corpus", "polarity").agg(
-        F.count("*").alias("count"), F.sum(F.length("text")).alias("chars")
+    chars = stored.groupBy("corpus", "polarity").agg(F.sum(F.length("text")).alias("chars"))
+    return counts.join(chars, ["corpus", "polarity"])
+
+
+def _candidates(spark: SparkSession, d: str) -> DataFrame:
+    return _pages(spark, d).select(
+        "page_id", "url", "host", keys.content_key("html").alias("sha1"),
+        F.lit("known").alias("corpus"), F.lit(1).alias("polarity"),
     )
 
 
 def incremental_append(spark, d):
     """Blog pages are stored by a first run; the second run offers all pages."""
     path = shared_folder(spark)
-    pages = _pages(spark, d).select(
-        "page_id", "url", "host", keys.content_key("html").alias("sha1"),
-        F.lit("known").alias("corpus"), F.lit(1).alias("polarity"),
-    )
+    pages = _candidates(spark, d)
     incremental.append_unseen(pages.filter(F.col("host").startswith("blog.")), path)
     incremental.append_unseen(pages, path)
     return spark.read.parquet(path).select("page_id", "url")
 
 
+def incremental_stream(spark, d):
+    """The same as a stream with state: the files of the blog pages, then those of all pages and,
+    again, of the blog pages. The number of each batch that stored a page comes with it."""
+    path = shared_folder(spark)
+    pages = _candidates(spark, d)
+    blogs = pages.filter(F.col("host").startswith("blog."))
+
+    def arrive(files: DataFrame) -> None:
+        files.write.mode("append").parquet(f"{path}/in")
+        query = incremental.stateful_stream(
+            spark.readStream.schema(pages.schema).parquet(f"{path}/in"), lambda rows: rows, f"{path}/out", f"{path}/checkpoint")
+        query.awaitTermination()
+
+    arrive(blogs)
+    arrive(pages.unionAll(blogs))
+    stored = spark.read.schema(pages.schema).option("recursiveFileLookup", "true").parquet(f"{path}/out")
+    batch = F.regexp_extract(F.col("_metadata.file_path"), "/batch=([0-9]+)/", 1).cast("int")
+    return stored.select("page_id", "url", batch.alias("batch"))
+
+
 # --- projections, filters, scalar functions, joins ---------------------------------
 
 def tokenize(spark, d):
@@ -350,7 +376,7 @@ def label_names(spark, d):
 def _page_reasons(spark: SparkSession, d: str) -> DataFrame:
     pages = _pages(spark, d).select("host", F.col("host").alias("site"), "html")
     return tally.reason_counts(
-        ingest.extract_text(pages), _mobile_hosts(spark, d), _host_scores(spark, d), words=200
+        ingest.extract_article(pages), _mobile_hosts(spark, d), _host_scores(spark, d), words=200
     )
 
 
@@ -462,6 +488,13 @@ def encode_single(spark, d):
     return _flat(_encoded(spark, d), "doc_id", "label_id")
 
 
+def encode_clustered(spark, d):
+    """Cleaned articles stored in parts by their id, and encoded without another shuffle of them."""
+    cleaned = build.clean_articles(_corpora(spark, d)).select("doc_id", F.col("text").alias("text_a"))
+    stored = articles.clustered_for_session(cleaned, "doc_id", BUCKETS)
+    return _flat(encode.encode_single(stored, staging(_vocabulary(spark, d)), MAX_LEN, id="doc_id"), "doc_id")
+
+
 def encode_quality(spark, d):
     return encode.quality(_encoded(spark, d), MAX_LEN)
 
@@ -482,6 +515,19 @@ def encode_subword(spark, d):
     return _flat(subword.encode_subword(examples, vocab, MAX_LEN, id="doc_id"), "doc_id")
 
 
+def basic_tokens(spark, d):
+    return _documents(spark, d).select("doc_id", F.array_join(text.basic_tokens("text"), " ").alias("tokens"))
+
+
+def encode_basic(spark, d):
+    """Word pieces of basic tokens: punctuation apart, accents stripped."""
+    counts = profile.token_frequency(_documents(spark, d), words=text.basic_tokens)
+    vocab = staging(subword.subword_vocabulary(counts, VOCABULARY_SIZE))
+    examples = _documents(spark, d).select("doc_id", F.col("text").alias("text_a"))
+    encoded = subword.encode_subword(examples, vocab, MAX_LEN, id="doc_id", words=text.first_basic_tokens)
+    return _flat(encoded, "doc_id")
+
+
 # --- model and evaluation --------------------------------------------------------------
 
 def linear_head(spark, d):
@@ -530,9 +576,24 @@ def hard_auc(spark, d):
 
 def score_auc(spark, d):
     """The length itself as the score of a text."""
+    return evaluate.score_auc(_length_scores(spark, d), "score").select(F.round("auc", 9).alias("auc"))
+
+
+def _length_scores(spark: SparkSession, d: str) -> DataFrame:
     truth = _table(spark, d, "labels").select("doc_id", F.col("quality").alias("label"))
     sizes = _table(spark, d, "documents").select("doc_id", F.col("n_chars").cast("double").alias("score"))
-    return evaluate.score_auc(sizes.join(truth, "doc_id"), "score").select(F.round("auc", 9).alias("auc"))
+    return sizes.join(truth, "doc_id")
+
+
+def threshold_curve(spark, d):
+    """Counts, precision, recall and F1 at every length that a text must have to be called good."""
+    curve = evaluate.threshold_curve(_length_scores(spark, d), "score")
+    return curve.select("threshold", "tp", "fp", "fn", "tn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1", "fpr")])
+
+
+def best_threshold(spark, d):
+    best = evaluate.best_threshold(_length_scores(spark, d), "score")
+    return best.select("threshold", "tp", "fp", "fn", "tn", F.round("f1", 9).alias("f1"))
 
 
 def confusion(spark, d):
@@ -560,90 +621,84 @@ def _sentences(spark: SparkSession, d: str) -> DataFrame:
     return _scored(spark, d).select("doc_id", F.col("text").alias("sentence"), "sentiment", "polarity")
 
 
-def _consistent() -> Column:
-    """Whether the measures of a split are those of its own four counts."""
-    tp, tn, fp, fn = (F.col(c) for c in ("tp", "tn", "fp", "fn"))
-    same = [
-        tp + tn + fp + fn == F.col("rows"), F.abs(F.col("accuracy") * F.col("rows") - tp - tn) < 1e-6,
-        F.abs(F.col("precision") * (tp + fp) - tp) < 1e-6, F.abs(F.col("recall") * (tp + fn) - tp) < 1e-6,
-        F.abs(F.col("f1") * (2 * tp + fp + fn) - 2 * tp) < 1e-6, F.col("auc").between(0, 1), F.col("loss") >= 0,
-    ]
-    return reduce(lambda a, b: a & b, same)
+# Where this session saved the classifier it trained on a table, with the sentences' labels 0 and 1.
+_saved: dict[tuple[str, str], str] = {}
+
+
+def _classifier(spark: SparkSession, d: str) -> train.Trained:
+    trained = train.train_and_evaluate(_sentences(spark, d), "doc_id", "polarity", (0, 1), TRAIN_SAMPLE, seed=SEED)
+    path = shared_folder(spark)
+    trained.model.write().save(f"{path}/model")
+    _saved[spark.sparkContext.applicationId, d] = path
+    return trained
 
 
 def train_evaluate(spark, d):
-    """Text classifier on the sliced sample: its measures on every slice agree with its counts,
-    and the probabilities it gives the training rows sum to their labels."""
-    _, judged = train.train_and_evaluate(
-        _sentences(spark, d), "doc_id", "polarity", (0, 1), TRAIN_SAMPLE, TRAIN_SLICES, SEED
-    )
-    judged = staging(judged)
+    """Text classifier on the sliced sample: its measures on every slice, and beside the label
+    counts what it expects them to be."""
+    judged = staging(_classifier(spark, d).judged)
     measures = evaluate.split_measures(judged, binary=True)
     sums = model.label_sums(judged, (0, 1), "split").filter("label = 1")
-    expected = F.when(F.col("split") == "train", F.round("expected", 1))
-    return measures.join(sums.withColumnRenamed("rows", "positives"), "split").select(
-        "split", "rows", "positives", expected.alias("expected"), _consistent().alias("consistent")
-    )
+    return measures.join(sums.withColumnRenamed("rows", "positives"), "split")
+
+
+def penalty_path(spark, d):
+    """The penalties tried for the labels 0 and 1, judged on the dev slice, and the one chosen."""
+    return _classifier(spark, d).path
 
 
 def train_scores(spark, d):
-    """The same with the labels 0 to 10."""
-    _, judged = train.train_and_evaluate(
-        _sentences(spark, d), "doc_id", "sentiment", LABELS, TRAIN_SAMPLE, TRAIN_SLICES, SEED
-    )
+    """Classifier of the labels 0 to 10: over the training rows the summed probability of a label
+    is its count."""
+    judged = train.train_and_evaluate(_sentences(spark, d), "doc_id", "sentiment", LABELS, TRAIN_SAMPLE, seed=SEED).judged
     sums = _sums(model.label_sums(judged, LABELS, "split"), "split")
     return sums.withColumn("expected", F.when(F.col("split") == "train", F.col("expected")))
 
 
 def predict_batch(spark, d):
-    """A classifier trained on the sample, saved, and loaded to label every document."""
-    fitted, _ = train.train_and_evaluate(
-        _sentences(spark, d), "doc_id", "polarity", (0, 1), TRAIN_SAMPLE, TRAIN_SLICES, SEED
-    )
-    path = shared_folder(spark)
-    fitted.write().save(f"{path}/model")
+    """The classifier that this session saved for the table, or a new one, loaded to label every document."""
+    if (spark.sparkContext.applicationId, d) not in _saved:
+        _classifier(spark, d)
+    path = _saved[spark.sparkContext.applicationId, d]
+    out = shared_folder(spark)
     sentences = _documents(spark, d).select("doc_id", F.col("text").alias("sentence"))
-    predict.predict_to_table(f"{path}/model", sentences, f"{path}/predictions", (0, 1), keep=("doc_id",))
-    found = predict.read_predictions(spark, f"{path}/predictions", sentences.select("doc_id").schema)
-    total = F.aggregate("log_probs", F.lit(0.0), lambda acc, x: acc + F.exp(x))
-    return found.select(
-        "doc_id", F.sha1("sentence").alias("sentence_sha1"), F.round(total, 6).alias("total"),
-        (F.col("label") == vectors.argmax("log_probs")).alias("likeliest"),
-    )
+    predict.predict_to_table(f"{path}/model", sentences, out, (0, 1), keep=("doc_id",))
+    found = predict.read_predictions(spark, out, sentences.select("doc_id").schema)
+    return found.select("doc_id", F.sha1("sentence").alias("sentence_sha1"), "label", "log_probs")
 
 
 def variant_runs(spark, d):
-    """All variants, trained on the same sample: rows of both slices, and whether the fit is at
-    its optimum (summed probabilities are label counts) and its measures are in bounds."""
+    """All variants, trained on the same sample: rows, the penalty taken, accuracy and loss on the
+    dev slice, and how far summed probabilities are from label counts at most."""
     rows = _corpora(spark, d).select("doc_id", F.col("text").alias("sentence"), "sentiment", "polarity", "corpus")
-    runs = train.run_variants(rows, "doc_id", VARIANT_SAMPLE, VARIANT_SLICES, SEED)
+    runs = train.run_variants(rows, "doc_id", TRAIN_SAMPLE, seed=SEED)
 
-    def checked(variant: dict, judged: DataFrame) -> DataFrame:
+    def measured(variant: dict, trained: train.Trained) -> DataFrame:
         labels = LABELS if variant["label_kind"] == "sentiment" else (0, 1)
-        sums = model.label_sums(judged.filter(F.col("split") == "train"), labels)
-        fit = sums.agg(F.sum("rows").alias("train_rows"), (F.max(F.abs(F.col("rows") - F.col("expected"))) < 0.5).alias("fitted"))
-        dev = evaluate.split_measures(judged.filter(F.col("split") == "dev")).select(
-            F.col("rows").alias("dev_rows"), (F.col("accuracy").between(0, 1) & (F.col("loss") >= 0)).alias("judged"))
+        sums = model.label_sums(trained.judged.filter(F.col("split") == "train"), labels)
+        fit = sums.agg(F.sum("rows").alias("train_rows"), F.max(F.abs(F.col("rows") - F.col("expected"))).alias("off"))
+        dev = trained.path.filter("chosen").select("penalty", F.col("rows").alias("dev_rows"), "accuracy", "loss")
         both = fit.withColumn("one", F.lit(1)).join(dev.withColumn("one", F.lit(1)), "one").drop("one")
-        return both.select(*[F.lit(v).alias(k) for k, v in variant.items()], "train_rows", "fitted", "dev_rows", "judged")
+        return both.select(*[F.lit(v).alias(k) for k, v in variant.items()], "*")
 
-    return reduce(DataFrame.unionAll, [checked(*run) for run in runs])
+    return reduce(DataFrame.unionAll, [measured(*run) for run in runs])
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        kept_articles, site_list, site_union, text_scan, labelled_scan, page_text, collect_known,
-        collect_listed, collect_stored, article_sink, clean_corpus_job, incremental_append,
+        kept_articles, site_list, site_union, text_scan, labelled_scan, page_text, page_article, collect_known,
+        collect_listed, collect_stored, article_sink, clean_corpus_job, incremental_append, incremental_stream,
         tokenize, host_extract, host_exclude, seen_url_anti, strip_control, strip_literal_token,
         strip_listed_tokens, min_words, min_chars, site_scored, unscored_report, polarity,
         constant_score, content_key, name_roundtrip, hash_split, example_projection, label_index,
         label_names, drop_reasons, site_counts, site_rollup, polarity_counts, corpus_counts,
         load_counts, token_frequency, token_frequency_neg, shuffled, sample_n, split_slices,
         preview, exact_dedupe, dedupe_texts, cleaned_dedupe, combined_corpus, labelled_concat,
-        vocabulary, encode_single, encode_quality, encode_pair, subword_vocabulary, encode_subword,
+        vocabulary, encode_single, encode_clustered, encode_quality, encode_pair, subword_vocabulary, encode_subword,
+        basic_tokens, encode_basic,
         linear_head, one_hot, cross_entropy, mean_loss, accuracy, binary_counts, prf1, hard_auc,
-        score_auc, confusion, variant_counts, train_softmax, train_evaluate, train_scores,
-        predict_batch, variant_runs,
+        score_auc, threshold_curve, best_threshold, confusion, variant_counts, train_softmax, train_evaluate, train_scores,
+        penalty_path, predict_batch, variant_runs,
     )
 }

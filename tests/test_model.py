@@ -112,7 +112,7 @@ SLICES = {"train": (0, 80), "dev": (81, 100), "test": (101, 119)}
 
 @pytest.mark.parametrize("kind,labels", [("polarity", (0, 1)), ("sentiment", tuple(range(11)))])
 def test_training_separates_what_is_separable(spark, labelled, tmp_path, kind, labels):
-    fitted, scored = train.train_and_evaluate(
+    fitted, scored, _ = train.train_and_evaluate(
         labelled, "name", kind, labels, 120, SLICES, num_features=512
     )
     measures = {r["split"]: r for r in evaluate.split_measures(scored, binary=kind == "polarity").collect()}
@@ -151,7 +151,8 @@ def test_run_variants(spark, labelled):
     grid = [v for v in model.variants() if v["token_limit"] == 32 and v["label_kind"] == "polarity"][:2]
     runs = train.run_variants(labelled, "name", 90, {"train": (0, 60), "dev": (61, 85)}, grid=grid, num_features=512)
     assert [v for v, _ in runs] == grid
-    for _, judged in runs:
+    for _, (_, judged, path) in runs:
+        assert path.filter("chosen").count() == 1
         dev = evaluate.split_measures(judged).filter("split = 'dev'").first()
         assert dev["rows"] == 24 and dev["accuracy"] > 0.8
 
@@ -174,3 +175,86 @@ def test_command_line_trains_and_predicts(spark, tmp_path, capsys):
           "--token-limit", "32", "--sample", "110", "--slice", "train=0:90", "--slice", "dev=90:110", "--seed", "3"])
     shown = capsys.readouterr().out
     assert "|  dev|  20|" in shown and "|train|  90|" in shown and "f1" in shown and "auc" in shown
+
+
+def plain_fit(x, y, k, penalty, steps=4000):
+    """Penalised softmax by Newton's method on standardised features, the intercept free."""
+    n, d = x.shape
+    scale = x.std(axis=0, ddof=1)
+    z = np.where(scale > 0, x / np.where(scale > 0, scale, 1), 0)
+    z1 = np.hstack([z, np.ones((n, 1))])
+    w = np.zeros((k, d + 1))
+    ridge = np.append(np.full(d, penalty), 0)
+    for _ in range(steps):
+        s = z1 @ w.T
+        p = np.exp(s - s.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        grad = (p - np.eye(k)[y]).T @ z1 / n + ridge * w
+        if np.abs(grad).max() < 1e-12:
+            break
+        hess = np.zeros((k * (d + 1),) * 2)
+        for a in range(k):
+            for b in range(k):
+                q = p[:, a] * ((a == b) - p[:, b])
+                hess[a * (d + 1):(a + 1) * (d + 1), b * (d + 1):(b + 1) * (d + 1)] = (z1 * q[:, None]).T @ z1 / n
+        hess += np.diag(np.tile(ridge, k)) + 1e-12 * np.eye(k * (d + 1))
+        w -= np.linalg.lstsq(hess, grad.ravel(), rcond=None)[0].reshape(k, d + 1)
+    s = z1 @ w.T
+    return s - np.log(np.exp(s - s.max(axis=1, keepdims=True)).sum(axis=1, keepdims=True)) - s.max(axis=1, keepdims=True)
+
+
+def test_fits_reach_the_optimum_and_the_path_is_judged_on_dev(spark, labelled):
+    """Log-probabilities of every slice, and the whole path, against Newton's method."""
+    slices = {"train": (0, 70), "dev": (70, 100), "test": (100, 120)}
+    noisy = labelled.withColumn("sentence", F.concat(
+        F.array_join(F.slice(F.split("sentence", " "), F.pmod(F.hash("name"), F.lit(3)) + 1, F.lit(2)), " "), F.lit(" "),
+        F.expr("array('the', 'a', 'one')[pmod(hash(name, 1), 3)]")))
+    trained = train.train_and_evaluate(noisy, "name", "polarity", (0, 1), 120, slices, num_features=16)
+    parts = train.split_sample(noisy, "name", 120, slices, 7)
+    features = model.text_features(16).fit(model.with_tokens(parts.filter("split = 'train'"), "sentence"))
+    rows = features.transform(model.with_tokens(parts, "sentence")).collect()
+    x = np.array([r.features.toArray() for r in rows])
+    y = np.array([r.polarity for r in rows])
+    of = np.array([r.split for r in rows])
+    own = {}
+    for penalty in train.PENALTIES:
+        logs = plain_fit(x[of == "train"], y[of == "train"], 2, penalty)
+        own[penalty] = logs
+    # The path: losses on dev of the fits by Newton's method.
+    scale = x[of == "train"].std(axis=0, ddof=1)
+    path = {r.penalty: r for r in trained.path.collect()}
+    tried = sorted(path, reverse=True)
+    assert tried == list(train.PENALTIES[: len(tried)]) and [r.chosen for r in path.values()].count(True) == 1
+    assert len(tried) == len(train.PENALTIES) or path[tried[-1]].loss > path[tried[-2]].loss
+    chosen = next(p for p, r in path.items() if r.chosen)
+    assert path[chosen].loss == min(r.loss for r in path.values()) and path[chosen].rows == 30
+    got = {r.name: r.log_probs for r in trained.judged.collect()}
+    train_rows = [r for r in rows if r.split == "train"]
+    for r, want in zip(train_rows, own[chosen], strict=True):
+        assert np.allclose(got[r.name], want, atol=2e-4), (chosen, scale)
+    measures = {r["split"]: r for r in evaluate.split_measures(trained.judged, binary=True).collect()}
+    assert measures["dev"]["loss"] == pytest.approx(path[chosen].loss)
+    judged_rows = {r.name: r for r in trained.judged.collect()}
+    for split in ("train", "dev", "test"):
+        inside = [r for r in rows if r.split == split]
+        loss = -np.mean([judged_rows[r.name].log_probs[r.polarity] for r in inside])
+        right = np.mean([int(np.argmax(judged_rows[r.name].log_probs)) == r.polarity for r in inside])
+        assert measures[split]["loss"] == pytest.approx(loss) and measures[split]["accuracy"] == pytest.approx(right)
+
+
+@pytest.mark.parametrize("parts", [2, 200])
+def test_threshold_curve_against_counting(spark, parts):
+    rng = np.random.default_rng(9)
+    data = [(int(rng.integers(0, 2)) if rng.random() < 0.9 else None, float(rng.integers(0, 25)) if rng.random() < 0.95 else None) for _ in range(300)]
+    df = spark.createDataFrame(data, "label int, score double")
+    rows = [(y, s) for y, s in data if s is not None and y is not None]
+    curve = {r.threshold: r for r in evaluate.threshold_curve(df, "score", parts=parts).collect()}
+    assert set(curve) == {s for _, s in rows}
+    for t, r in curve.items():
+        tp, fp = (sum(y == k and s >= t for y, s in rows) for k in (1, 0))
+        fn, tn = (sum(y == k and s < t for y, s in rows) for k in (1, 0))
+        assert (r.tp, r.fp, r.fn, r.tn) == (tp, fp, fn, tn)
+        assert r.f1 == pytest.approx(2 * tp / (2 * tp + fp + fn) if tp else 0) and r.fpr == pytest.approx(fp / (fp + tn))
+    best = evaluate.best_threshold(df, "score", parts=parts).collect()
+    assert [(best[0].f1, best[0].threshold)] == [max((r.f1, t) for t, r in curve.items())]
+    assert evaluate.best_threshold(df.filter("label is null"), "score").collect() == []

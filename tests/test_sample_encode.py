@@ -4,6 +4,7 @@ import random
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from credence import schemas
@@ -59,6 +60,31 @@ def test_slices_leave_gaps_and_do_not_overlap(spark):
     assert len(positions) == 1097 and not positions & {100, 9000, 9500, 9999}
 
 
+@pytest.mark.parametrize("rows,per_range", [(0, 10), (1, 10), (997, 100), (997, 5000), (40, 1)])
+def test_position_equals_the_window_without_one_task(spark, rows, per_range):
+    df = spark.range(rows).withColumn("k", F.sha1(F.col("id").cast("string"))).repartition(5)
+    placed = sample.with_position(df, "k", "id", rows_per_range=per_range)
+    wanted = df.withColumn("position", F.row_number().over(W.orderBy("k", "id")) - 1)
+    assert {(r.id, r.position) for r in placed.collect()} == {(r.id, r.position) for r in wanted.collect()}
+    text = plan(placed)
+    assert "SinglePartition" not in text and "rangepartitioning" not in text
+    if rows > 2 * per_range > 2:
+        assert placed.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_slices_of_a_sample_of_any_size(spark):
+    drawn = sample.sample_n(spark.range(3_000), 3_000, "id", 7)
+    whole = {(r.id, r.position, r.split) for r in sample.slice_split(drawn, "id", sample.scaled_slices(3000)).collect()}
+    parts = {(r.id, r.position, r.split) for r in sample.slice_split(drawn, "id", sample.scaled_slices(3000), rows_per_range=300).collect()}
+    assert whole == parts and len(parts) == 2700 + 149 + 148
+
+
+def test_scaled_slices_keep_their_gaps():
+    assert sample.scaled_slices(10_000) == sample.WIDE_SLICES
+    assert sample.scaled_slices(1000) == {"train": (0, 900), "dev": (901, 950), "test": (951, 999)}
+    assert sample.scaled_slices(0) == {"train": (0, 0), "dev": (0, 0), "test": (0, 0)}
+
+
 def test_fewer_rows_than_the_slices_want(spark):
     parts = sample.slice_split(sample.sample_n(spark.range(50), 10_000, "id", 7), "id")
     assert {r["split"] for r in parts.collect()} == {"train"} and parts.count() == 50
