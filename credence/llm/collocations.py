@@ -34,6 +34,7 @@ TOP = 2000
 TEXT_BYTES = 4 << 20  # text that a task looks at together
 LEAST_SLOTS, MOST_SLOTS = 1 << 16, 1 << 30
 WORDS_PER_SLOT = 8
+HELD_ROWS = 1_000_000  # windows that a task holds to combine equal ones
 RANKED_TOGETHER = 100_000
 NO_LANGUAGE = "und"
 _NEXT = np.uint64(0x9E3779B97F4A7C15)
@@ -189,7 +190,7 @@ def windows(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> Data
     long = spark.broadcast(frequent_slots(docs, slots, least, longer)) if longest > 2 else short
     columns = [f"w{k + 1}" for k in range(longest)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         for batch in pieces(batches, limit=TEXT_BYTES):
             words = Words(batch)
             if not len(words.word):
@@ -230,12 +231,35 @@ def windows(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> Data
             none = np.full(len(one), pad)
             lead = [np.concatenate([first[one] if k == 0 else none, own[many]]) for k, own in enumerate(lead)]
             one = np.concatenate([one, at[many]])
-            out = [words.langs.take(pa.array(words.lang[one])), *[names.take(pa.array(own)) for own in lead]]
-            yield pa.RecordBatch.from_arrays(
-                [*[c.cast(pa.string()) for c in out], pa.array(count)], names=["lang", *columns, "count"])
-
-    schema = "lang string, " + ", ".join(f"{c} string" for c in columns) + ", count long"
-    return _rows(docs).mapInArrow(run, schema).groupBy("lang", *columns).agg(F.sum("count").alias("count"))
+            window = pc.binary_join_element_wise(*[names.take(pa.array(own)) for own in lead], pa.scalar(" ", pa.large_string()))
+            yield pa.table([words.langs.take(pa.array(words.lang[one])), window, pa.array(count)], names=["lang", "window", "count"])
+
+    def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Equal windows of a task's pieces as one row, as long as they are few."""
+        held, rows = [], 0
+
+        def sums() -> pa.Table:
+            whole = pa.concat_tables(held).group_by(["lang", "window"]).aggregate([("count", "sum")])
+            return pa.table([whole["lang"], whole["window"], whole["count_sum"]], names=["lang", "window", "count"])
+
+        def batches_of(whole: pa.Table) -> list[pa.RecordBatch]:
+            return whole.cast(pa.schema([("lang", pa.string()), ("window", pa.string()), ("count", pa.int64())])).to_batches()
+
+        for part in run(batches):
+            held.append(part)
+            rows += len(part)
+            if rows > HELD_ROWS:
+                held = [sums()]
+                rows = len(held[0])
+                if rows > HELD_ROWS // 2:
+                    yield from batches_of(held[0])
+                    held, rows = [], 0
+        if held:
+            yield from batches_of(sums())
+
+    tops = _rows(docs).mapInArrow(combined, "lang string, window string, count long")
+    tops = tops.groupBy("lang", "window").agg(F.sum("count").alias("count"))
+    return tops.select("lang", *[F.get(F.split("window", " "), F.lit(k)).alias(c) for k, c in enumerate(columns)], "count")
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
