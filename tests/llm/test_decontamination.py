@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pyarrow as pa
 import pytest
@@ -98,3 +99,41 @@ def test_odd_rows(spark):
     assert decontamination.find_passages(no_docs(spark), bench).count() == 0
     assert decontamination.find_passages(docs, bench.where("false")).count() == 0
     assert decontamination.without_passages(docs, bench.where("false")).columns == docs.columns
+
+
+def test_passages_of_one_template(passages):
+    """Many passages with a common prompt beside a text that repeats the prompt: nothing is found
+    where nothing is, in time that does not grow with both; and what is there is found."""
+    prompt = "Read the following question with care and answer with one of the letters: "
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randint(2, 9))) for _ in range(1500)]
+    items = [prompt + " ".join(rng.choice(words) for _ in range(13)) for _ in range(2000)]
+    many = decontamination.Passages(list(range(2000)), items)
+    texts = [prompt * (1_000_000 // len(prompt)), "x " + items[77].replace("with care", "with some care") + " y " + prompt, prompt + " ".join(words[:40])]
+    start = time.perf_counter()
+    hits = many.hits(*as_utf8(pa.array(texts)))
+    assert time.perf_counter() - start < 20
+    for t in (1, 2):
+        found = {i for text, i, *_ in hits if text == t}
+        least = {i: edits_within(plain(items[i]), plain(texts[t])) for i in {77, 78, *found, *rng.sample(range(2000), 25)}}
+        assert all((i in found) == (e <= many.budget[i]) for i, e in least.items())
+    assert any(i == 77 for text, i, *_ in hits if text == 1)
+    repeated = texts[0][: 3 * len(prompt)]
+    assert {i for text, i, *_ in hits if text == 0} == {i for i in rng.sample(range(2000), 60) if edits_within(plain(items[i]), plain(repeated)) <= many.budget[i]}
+
+
+def test_nearly_equal_passages_are_all_found():
+    base = "the committee agreed that the results of the survey would be published in the spring of next year"
+    items = [base.replace("spring", s) for s in ("spring", "autumn", "winter", "summer", "second half", "third week")] + [base] * 3
+    near = decontamination.Passages(list(range(len(items))), items)
+    text = "so " + base.replace("agreed", "agrees") + " then"
+    found = {own for _, i, *_ in near.hits(*as_utf8(pa.array([text]))) for own in near.ids[i]}
+    assert found == {k for k, item in enumerate(items) if edits_within(item, text) <= near.budget[next(i for i, o in enumerate(near.ids) if k in o)]}
+    assert {0, 6, 7, 8} <= found
+
+
+def test_null_item_ids_and_repeated_passages(spark):
+    bench = spark.createDataFrame([(None, PASSAGES[0][1]), (1, PASSAGES[0][1]), (1, PASSAGES[0][1].upper())], "item_id long, text string")
+    docs = spark.createDataFrame([(5, f"a {PASSAGES[0][1]} b"), (6, "no")], "doc_id long, text string")
+    assert sorted(str(r.item_id) for r in decontamination.find_passages(docs, bench).collect()) == ["1", "1", "None"]
+    assert [r.doc_id for r in decontamination.without_passages(docs, bench.where("item_id is null")).collect()] == [6]
