@@ -15,13 +15,15 @@ from ..operators import evaluate, label, model, sample
 from ..session import staging
 
 ROWS_PER_TASK = 10_000
+# The many fits of the grid end where the loss has settled to six digits.
+VARIANT_TOLERANCE = 1e-6
 # The penalties tried, in this order, until the loss on the dev slice rises; the one with the least is taken.
-PENALTIES = (100.0, 10.0, 1.0, 0.1, 0.01)
+PENALTIES = (1.0, 0.1, 0.01)
 
 
 class Trained(NamedTuple):
-    """A fitted pipeline, its predictions on all slices (``split`` tells them apart), and the path:
-    ``penalty, steps, rows, accuracy, loss`` on the dev slice and whether it was ``chosen``."""
+    """A fitted pipeline, its predictions on all slices (``split`` tells them apart), and the path of the
+    fits compared: ``penalty, steps, rows, accuracy, loss`` on the dev slice and whether it was ``chosen``."""
 
     model: PipelineModel
     judged: DataFrame
@@ -63,12 +65,15 @@ def train_on(
 
 
 def _fit(
-    examples: DataFrame, key: str, label_list: Sequence[int], num_features: int, max_iter: int, penalties: Sequence[float]
+    examples: DataFrame, key: str, label_list: Sequence[int], num_features: int, max_iter: int, penalties: Sequence[float],
+    tol: float = model.TOLERANCE,
 ) -> Trained:
-    """One feature table for all penalties, from the strongest on: with a weaker one a fit takes
-    more steps, and once the loss on dev has risen none of the weaker ones is fitted."""
+    """One feature table for all penalties, from the strongest on: once the loss on dev has risen
+    none of the weaker ones is fitted. They are compared by fits that end early; the one taken is
+    fitted to its optimum."""
     training = (F.col("split") == "train") & F.col("label_id").isNotNull()
-    features = model.text_features(num_features).fit(examples.filter(training))
+    weights = model.text_features(num_features).fit(examples.filter(training))
+    features = PipelineModel(stages=[*weights.stages, model.used_features(weights)])
     table = staging(features.transform(examples).select(key, "split", "label", "label_id", "features"))
     # The sample is bounded: each step sends its gradient once for so many rows, not per file.
     rows = table.filter(training)
@@ -78,19 +83,19 @@ def _fit(
         scored = model.predict(fitted, table, label_list)
         return scored.select(key, "split", "label", "label_id", "log_probs", "pred", "pred_id")
 
-    path, best, least = [], None, None
+    path, chosen = [], None
     if table.filter("split = 'dev' and label_id is not null").isEmpty():
         penalties = penalties[-1:]  # nothing to choose by
     for penalty in penalties:
-        fitted = model.softmax(penalty, max_iter).fit(rows)
+        fitted = model.softmax(penalty, max_iter, model.COMPARED).fit(rows)
         dev = evaluate.split_measures(judged_by(fitted).filter("split = 'dev' and label_id is not null")).first()
-        loss = dev.loss if dev else None
-        path.append([penalty, fitted.summary.totalIterations, dev.rows if dev else 0, dev.accuracy if dev else None, loss, False])
-        if least is None or loss < least:
-            best, least, chosen = fitted, loss, path[-1]
+        path.append([penalty, fitted.summary.totalIterations, dev.rows if dev else 0, dev.accuracy if dev else None, dev.loss if dev else None, False])
+        if chosen is None or path[-1][4] < chosen[4]:
+            chosen = path[-1]
         else:
             break
     chosen[-1] = True
+    best = model.softmax(chosen[0], max_iter, tol).fit(rows)
     rows.unpersist()
     return Trained(
         PipelineModel(stages=[*features.stages, best]), judged_by(best),
@@ -151,7 +156,7 @@ def run_variants(
             key, "split", F.col(variant["label_kind"]).alias("label"),
             F.slice("tokens", F.lit(1), F.lit(variant["token_limit"] - 2)).alias("tokens"),
         )
-        return variant, _fit(model.with_label_id(rows, labels), key, labels, num_features, max_iter, penalties)
+        return variant, _fit(model.with_label_id(rows, labels), key, labels, num_features, max_iter, penalties, VARIANT_TOLERANCE)
 
     with ThreadPoolExecutor(parallelism) as pool:
         return list(pool.map(run, chosen))
