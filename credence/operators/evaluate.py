@@ -107,9 +107,9 @@ def threshold_curve(scored: DataFrame, score: str = "rawPrediction", label: str
     total = scored.filter(F.col(score).isNotNull()).agg(
         F.count_if(F.col(label) == 1).alias("all_pos"), F.count_if(F.col(label) == 0).alias("all_neg"))
     tp, fp = F.col("pos_above") + F.col("pos"), F.col("neg_above") + F.col("neg")
-    counted = above.filter("pos + neg > 0").withColumn("one", F.lit(1)).join(total.withColumn("one", F.lit(1)), "one").select(
+    counted = above.filter("pos + neg > 0").select(
         F.col("score").alias("threshold"), tp.alias("tp"), fp.alias("fp"),
-        (F.col("all_pos") - tp).alias("fn"), (F.col("all_neg") - fp).alias("tn"))
+        (total.select("all_pos").scalar() - tp).alias("fn"), (total.select("all_neg").scalar() - fp).alias("tn"))
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     return counted.select(
         "*", _ratio(tp, tp + fp).alias("precision"), _ratio(tp, tp + fn).alias("recall"),
