@@ -6,16 +6,24 @@ bytes and not the files.
 
 from __future__ import annotations
 
+import os
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keys, text
 
+# Names that are a file's own; others need a folder's name, in which Spark escapes them.
+_PLAIN = "^[0-9A-Za-z][0-9A-Za-z_-]{0,199}$"
+
 
 def scan_files(spark: SparkSession, root: str) -> DataFrame:
     """``folder, name, value`` of every file, read whole.
 
-    Besides ``pos/<name>``, the layout that Spark itself can write is read: one folder for
+    Besides ``pos/<name>``, the layout that Spark's own writer has is read: one folder for
     each article, ``folder=pos/name=<name>/part-...``. A missing ``pos`` or ``neg`` folder
     is simply no rows.
     """
@@ -23,20 +31,54 @@ def scan_files(spark: SparkSession, root: str) -> DataFrame:
     parent = F.try_element_at(path, F.lit(-2))
     written = parent.startswith("name=")
     return (
-        spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True)
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
         .select(
             F.when(written, F.replace(F.try_element_at(path, F.lit(-3)), F.lit("folder="), F.lit("")))
             .otherwise(parent).alias("folder"),
             F.when(written, F.substr(parent, F.lit(6))).otherwise(F.col("_metadata.file_name")).alias("name"),
-            "value",
+            F.col("content").cast("string").alias("value"),
         )
         .filter(F.col("folder").isin("pos", "neg"))
     )
 
 
 def write_files(files: DataFrame, root: str) -> None:
-    """``folder, name, value`` as one file for each article; each ends with a line feed."""
-    files.select("folder", "name", "value").dropDuplicates(["folder", "name"]).write.partitionBy("folder", "name").text(root)
+    """``folder, name, value`` as one file for each article; each ends with a line feed.
+
+    In a file system that all machines have mounted, tasks write ``pos/<name>`` as they are: Spark's
+    writer would make a folder, a checksum and, to set permissions, several processes for each
+    article. Elsewhere, and for names that no file can have, it does write them.
+    """
+    rows = files.select("folder", "name", "value")
+    local = _mounted(files.sparkSession, root)
+    plain = F.col("folder").isin("pos", "neg") & F.col("name").rlike(_PLAIN)
+    others = rows.filter(~F.coalesce(plain, F.lit(False))) if local else rows
+    others.dropDuplicates(["folder", "name"]).write.partitionBy("folder", "name").text(root)
+    if not local:
+        return
+    for folder in ("pos", "neg"):
+        os.makedirs(f"{local}/{folder}", exist_ok=True)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder, name, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                # Renamed when whole, so that a repeated task leaves whole files too. Spark skips hidden ones.
+                part = f"{local}/{folder}/.{uuid.uuid4().hex}"
+                with open(part, "wb") as file:
+                    file.write((value or b"") + b"\n")
+                os.replace(part, f"{local}/{folder}/{name}")
+            yield pa.RecordBatch.from_pydict({"files": pa.array([len(batch)], pa.int64())})
+
+    unique = rows.filter(plain).dropDuplicates(["folder", "name"])
+    written = unique.select("folder", "name", F.col("value").cast("binary")).mapInArrow(write, "files long")
+    written.agg(F.sum("files")).collect()
+
+
+def _mounted(spark: SparkSession, root: str) -> str | None:
+    """The path of ``root`` where it is a folder of the machines' own file system; elsewhere nothing."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri()
+    return whole.getPath() if whole.getScheme() == "file" else None
 
 
 def article_files(files: DataFrame) -> DataFrame:
