@@ -71,6 +71,9 @@ _IDEOGRAPHS = (
 _APART = "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in _IDEOGRAPHS) + r"!-/:-@\[-`{-~\p{P}]"
 # Control and format characters, NUL and the replacement character; tabs and line ends stay.
 _UNSEEN = r"[\x{FFFD}\p{Cc}\p{Cf}&&[^\t\n\r]]"
+# The same of plain ASCII.
+_NOT_ASCII, _UNSEEN_ASCII, _APART_ASCII = r"[^\x00-\x7f]", r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", r"[!-/:-@\[-`{-~]"
+_GAP, _NO_GAP = r"[ \t\n\r]", r"[^ \t\n\r]"
 _HANGUL = ("가", "힣")
 # The consonants and vowels that a Hangul syllable is made of, in the order of its number.
 _JAMO = tuple("".join(map(chr, range(a, b + 1))) for a, b in ((0x1100, 0x1112), (0x1161, 0x1175), (0x11A8, 0x11C2)))
@@ -184,12 +187,7 @@ def strip_accents(text: Column | str) -> Column:
     bare = _bare_letters()
     single = [c for c, left in bare.items() if len(left) == 1]
     gone = [c for c, left in bare.items() if not left]
-    source = _col(text)
-    # What has nothing left stands last, without a counterpart: such characters are deleted.
-    out = F.translate(source, "".join(single + gone), "".join(bare[c] for c in single))
     longer = {c: left for c, left in bare.items() if len(left) > 1}
-    several = reduce(lambda c, x: F.replace(c, F.lit(x[0]), F.lit(x[1])), longer.items(), out)
-    out = F.when(out.rlike("[" + "".join(longer) + "]"), several).otherwise(out)
 
     def letters(char: Column) -> Column:
         number = F.ascii(char) - ord(_HANGUL[0])
@@ -198,16 +196,37 @@ def strip_accents(text: Column | str) -> Column:
         parts = F.concat(taken[0], taken[1], F.when(last > 0, taken[2]).otherwise(""))
         return F.when(char.between(*_HANGUL), parts).otherwise(char)
 
-    spelt = F.array_join(F.transform(F.split(out, ""), letters), "")
-    out = F.when(out.rlike(f"[{_HANGUL[0]}-{_HANGUL[1]}]"), spelt).otherwise(out)
-    return F.when(source.rlike(r"[^\x00-\x7f]"), F.regexp_replace(out, r"\p{Mn}+", "")).otherwise(source)
+    def several(out: Column) -> Column:
+        spelt = reduce(lambda c, x: F.replace(c, F.lit(x[0]), F.lit(x[1])), longer.items(), out)
+        return F.when(out.rlike("[" + "".join(longer) + "]"), spelt).otherwise(out)
+
+    def syllables(out: Column) -> Column:
+        spelt = F.array_join(F.transform(F.split(out, ""), letters), "")
+        return F.when(out.rlike(f"[{_HANGUL[0]}-{_HANGUL[1]}]"), spelt).otherwise(out)
+
+    def stripped(source: Column) -> Column:
+        # What has nothing left stands last, without a counterpart: such characters are deleted.
+        out = F.translate(source, "".join(single + gone), "".join(bare[c] for c in single))
+        out = _let(_let(out, several), syllables)
+        return F.when(source.rlike(_NOT_ASCII), F.regexp_replace(out, r"\p{Mn}+", "")).otherwise(source)
+
+    return _let(_col(text), stripped)
 
 
 def basic_words(text: Column | str) -> Column:
     """Text in which the basic tokens stand between spaces: control characters deleted, lower case,
-    without accents, every punctuation character and ideograph a word of its own."""
-    seen = F.regexp_replace(_col(text), _UNSEEN, "")
-    return F.regexp_replace(strip_accents(F.lower(seen)), rf"({_APART})", " $1 ")
+    without accents, every punctuation character and ideograph a word of its own.
+
+    Text of plain ASCII, most of many a corpus, needs no look-up in Unicode's tables.
+    """
+    def plain(source: Column) -> Column:
+        return F.regexp_replace(F.lower(F.regexp_replace(source, _UNSEEN_ASCII, "")), f"({_APART_ASCII})", " $1 ")
+
+    def any_text(source: Column) -> Column:
+        seen = F.regexp_replace(source, _UNSEEN, "")
+        return F.regexp_replace(strip_accents(F.lower(seen)), rf"({_APART})", " $1 ")
+
+    return _let(_col(text), lambda source: F.when(source.rlike(_NOT_ASCII), any_text(source)).otherwise(plain(source)))
 
 
 def basic_tokens(text: Column | str) -> Column:
@@ -215,10 +234,25 @@ def basic_tokens(text: Column | str) -> Column:
     return F.array_remove(F.split(basic_words(text), rf"(?U){_SPACE}+"), "")
 
 
+def gap_words(text: Column | str) -> Column:
+    """Words between spaces, tabs and line ends, which no step to ``basic_tokens`` changes: the basic
+    tokens of a text are those of its words, one after the other."""
+    return F.split(_col(text), f"{_GAP}+")
+
+
 def first_basic_tokens(text: Column | str, n: int) -> Column:
-    """The first ``n`` of ``basic_tokens``."""
-    lead = lead_text(basic_words(text), n)
-    return F.when(lead == "", F.array().cast("array<string>")).otherwise(F.split(lead, rf"(?U){_SPACE}+"))
+    """The first ``n`` of ``basic_tokens``.
+
+    A word has one token at least, unless all its characters go. So the first ``n`` words are looked at
+    first, cut at spaces, tabs and line ends, which no step changes; the rest only where they are too few.
+    """
+    if n <= 0:
+        return F.slice(basic_tokens(text), F.lit(1), F.lit(0))
+    lead = F.regexp_extract(_col(text), rf"^{_GAP}*+({_NO_GAP}++(?:{_GAP}++{_NO_GAP}++){{0,{n - 1}}}+)", 1)
+    return _let(
+        basic_tokens(lead),
+        lambda found: F.slice(F.when(F.size(found) >= n, found).otherwise(basic_tokens(text)), F.lit(1), F.lit(n)),
+    )
 
 
 def squeeze_spaces(text: Column | str) -> Column:

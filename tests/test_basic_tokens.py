@@ -63,3 +63,21 @@ def test_sub_words_of_basic_tokens(spark):
     assert out[3][:3] == [encode.CLS, encode.SEP, 0]
     assert "Python" not in subword.encode_subword(df, vocab, 16, words=text.first_basic_tokens)._jdf.queryExecution().toString()
     assert df.select(F.size(text.basic_tokens("text_a"))).count() == 3
+
+
+def test_each_different_word_is_cut_once(spark):
+    """Counts of basic tokens cut words already counted, and say what cutting whole texts does."""
+    given = [("Ab,c Ab,c\tÉté\x0b\x0cx",), ("Ab,c",), (None,), ("\x7f ´ 中文",)]
+    texts = spark.createDataFrame(given, "text string")
+    whole = texts.select(F.explode(text.basic_tokens("text")).alias("token")).groupBy("token").count()
+    counted = profile.token_frequency(texts, words=text.basic_tokens)
+    assert sorted(counted.collect()) == sorted(whole.collect())
+    assert counted._jdf.queryExecution().analyzed().toString().count("Aggregate [") == 2
+
+
+def test_first_tokens_where_words_have_none(spark):
+    """Words of control characters or marks alone have no token; the words after them make up for it."""
+    given = [("\x7f \u0301 a b c",), ("a.b c",), ("\x7f",), (None,), ("",), ("a\x0bb \x1c c d",)]
+    texts = spark.createDataFrame(given, "text string")
+    got = texts.select(text.first_basic_tokens("text", 2).alias("x")).collect()
+    assert [r.x for r in got] == [["a", "b"], ["a", "."], [], None, [], ["ab", "c"]]
