@@ -17,6 +17,9 @@ from ..session import staging
 ROWS_PER_TASK = 10_000
 # The many fits of the grid end where the loss has settled to six digits.
 VARIANT_TOLERANCE = 1e-6
+# Fits of the grid at a time. Each holds some thirty vectors of labels x features numbers on the driver (the last
+# ten steps and gradients, those of the step and its broadcast): 11 labels and 65,536 features take 170 MB.
+FITS_AT_ONCE = 2
 # The penalties tried, in this order, until the loss on the dev slice rises; the one with the least is taken.
 PENALTIES = (1.0, 0.1)
 
@@ -132,7 +135,7 @@ def run_variants(
     num_features: int = 1 << 16,
     max_iter: int = model.MOST_STEPS,
     penalties: Sequence[float] = PENALTIES[:1],
-    parallelism: int = 8,
+    parallelism: int = FITS_AT_ONCE,
 ) -> list[tuple[dict, Trained]]:
     """One training run per variant, on one sample for each kind of corpora and under one penalty,
     so that the variants differ in their data alone.
