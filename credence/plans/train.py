@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import evaluate, label, model, sample
+from ..operators import evaluate, label, model, rowspace, sample
 from ..session import staging
 
 ROWS_PER_TASK = 10_000
@@ -80,7 +80,18 @@ def _fit(
     table = staging(features.transform(examples).select(key, "split", "label", "label_id", "features"))
     # The sample is bounded: each step sends its gradient once for so many rows, not per file.
     rows = table.filter(training)
-    rows = rows.coalesce(1 + rows.count() // ROWS_PER_TASK).cache()
+    count = rows.count()
+    rows = rows.coalesce(1 + count // ROWS_PER_TASK).cache()
+    space = _row_space(rows, count, len(features.stages[-1].getIndices()))
+
+    def fit(penalty: float, tol: float, start=None) -> tuple:
+        """The model, its steps, and where to start another fit from."""
+        estimator = model.softmax(penalty, max_iter, tol)
+        if space is None or penalty <= 0:
+            own = estimator.fit(rows)
+            return own, own.summary.totalIterations, None
+        found = rowspace.fit(space, penalty, max_iter, tol, start)
+        return rowspace.as_model(space, found, estimator), found.steps, found.place
 
     def judged_by(fitted) -> DataFrame:
         scored = model.predict(fitted, table, label_list)
@@ -90,15 +101,17 @@ def _fit(
     if table.filter("split = 'dev' and label_id is not null").isEmpty():
         penalties = penalties[-1:]  # nothing to choose by
     for penalty in penalties:
-        fitted = model.softmax(penalty, max_iter, tol if len(penalties) == 1 else model.COMPARED).fit(rows)
+        fitted, steps, place = fit(penalty, tol if len(penalties) == 1 else model.COMPARED)
         dev = evaluate.split_measures(judged_by(fitted).filter("split = 'dev' and label_id is not null")).first()
-        path.append([penalty, fitted.summary.totalIterations, dev.rows if dev else 0, dev.accuracy if dev else None, dev.loss if dev else None, False])
+        path.append([penalty, steps, dev.rows if dev else 0, dev.accuracy if dev else None, dev.loss if dev else None, False])
         if chosen is None or path[-1][4] < chosen[4]:
-            chosen = path[-1]
+            chosen, start = path[-1], place
         else:
             break
     chosen[-1] = True
-    best = fitted if len(penalties) == 1 else model.softmax(chosen[0], max_iter, tol).fit(rows)
+    best = fitted if len(penalties) == 1 else fit(chosen[0], tol, start)[0]
+    if space is not None:
+        space.close()
     rows.unpersist()
     return Trained(
         PipelineModel(stages=[*features.stages, best]), judged_by(best),
@@ -106,6 +119,15 @@ def _fit(
     )
 
 
+def _row_space(rows: DataFrame, count: int, used: int) -> rowspace.RowSpace | None:
+    """Where the rows are fewer than the features, steps that send a number for each row send less. A single
+    label is left to Spark, which fits it without a step."""
+    blocks = 1 + count // ROWS_PER_TASK
+    if count * blocks >= used or rows.select("label_id").distinct().limit(2).count() < 2:
+        return None
+    return rowspace.RowSpace(rows, blocks)
+
+
 def train_and_evaluate(
     labelled: DataFrame,
     key: str = "name",
