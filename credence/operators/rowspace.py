@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 
 HISTORY = 20  # steps whose changes L-BFGS remembers
 SETTLED_OVER = 10  # steps over which the loss has settled
-SEARCHED, FLAT = 30, 0.1  # tries of a line search, and the share of the slope that ends it
+SEARCHED, FLAT, FALLS = 60, 0.1, 1e-4  # tries of a line search, the share of the slope that ends it, and that it must gain
 
 
 # Workers need not be able to import this package.
@@ -150,23 +150,23 @@ def fit(space: RowSpace, penalty: float, max_iter: int, tol: float, start: np.nd
         off = (p - known) / count
         return np.vstack([off, space.product(off), off.sum(axis=0)]) + penalty * np.vstack([place[:-1], np.zeros(kinds)])
 
-    def searched(place: np.ndarray, step: np.ndarray, slope: float) -> float:
-        """How far to go: the loss along ``step`` is convex, its slopes are known without the features."""
+    def searched(place: np.ndarray, step: np.ndarray, slope: float, start: float) -> float:
+        """How far to go: the loss along ``step`` is convex, its slopes are known without the features. Beyond
+        the least a small slope is not enough, as the loss may have risen again by then."""
         low, high, t = 0.0, np.inf, 1.0
         along = step[count:-1] + step[-1]
         pull, bend = np.vdot(step[:count], place[count:-1]), np.vdot(step[:count], step[count:-1])
-        for _ in range(SEARCHED):
-            p = judged(place + t * step)[1]
-            mean = (p * along).sum(axis=1)
+        for tried in range(SEARCHED):
+            loss, p = judged(place + t * step)
             here = ((p - known) * along).sum() / count + penalty * (pull + t * bend)
-            if abs(here) <= FLAT * abs(slope):
-                break
+            if abs(here) <= FLAT * abs(slope) and (here <= 0 or loss <= start + FALLS * t * slope):
+                return t
             low, high = (t, high) if here < 0 else (low, t)
-            curve = ((p * along**2).sum(axis=1) - mean**2).mean() + penalty * bend
+            curve = ((p * along**2).sum(axis=1) - (p * along).sum(axis=1) ** 2).mean() + penalty * bend
             t = t - here / curve if curve > 0 else np.inf
-            if not low < t < high:
+            if not low < t < high or tried % 3 == 2 and np.isfinite(high):
                 t = (low + high) / 2 if np.isfinite(high) else 2 * low
-        return t
+        return low or t
 
     place = start
     if place is None:
@@ -190,7 +190,7 @@ def fit(space: RowSpace, penalty: float, max_iter: int, tol: float, start: np.nd
         slope = dot(step, down)
         if not slope < 0:
             return Fit(place, done, loss)  # rounding is all that is left
-        moved = searched(place, step, slope) * step
+        moved = searched(place, step, slope, losses[-1]) * step
         loss, p = judged(place + moved)
         if not loss <= losses[-1]:
             return Fit(place, done, losses[-1])

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from credence.operators import model, rowspace
@@ -30,6 +31,7 @@ def test_fit_by_rows_is_the_optimum(spark, tmp_path, monkeypatch, kinds, per_tas
     data = sentences(spark, kinds)
     labels = tuple(range(kinds))
     trained = train.train_and_evaluate(data, "doc_id", "label", labels, 152, SLICES, num_features=256)
+    assert all(r.steps > 0 for r in trained.path.collect())
     assert made and set(made) == {(80, kinds)}
     parts = train.split_sample(data, "doc_id", 152, SLICES, 7)
     features = model.text_features(256).fit(model.with_tokens(parts.filter("split = 'train'"), "sentence"))
@@ -51,3 +53,21 @@ def test_fit_by_rows_is_the_optimum(spark, tmp_path, monkeypatch, kinds, per_tas
 def test_one_label_is_left_to_spark(spark):
     trained = train.train_and_evaluate(sentences(spark, 1).filter("label = 0"), "doc_id", "label", (0,), 150, SLICES, num_features=256)
     assert {r.pred for r in trained.judged.collect()} == {0}
+
+
+@pytest.mark.parametrize("penalty", [1.0, 0.1, 0.01])
+def test_far_first_step_is_taken_back(spark, penalty):
+    """The first step of rows with very many features goes far beyond the least loss. At the optimum the
+    coefficients are the rows times what is left of their labels, by the penalty."""
+    rng = np.random.default_rng(3)
+    data = [(int(rng.integers(0, 2)), Vectors.sparse(3000, {int(j): float(rng.integers(1, 9)) for j in rng.integers(0, 3000, 300)})) for _ in range(60)]
+    space = rowspace.RowSpace(spark.createDataFrame(data, ["label_id", "features"]))
+    found = rowspace.fit(space, penalty, 500, 1e-10)
+    margins = found.place[60:-1] + found.place[-1]
+    p = np.exp(margins - margins.max(axis=1, keepdims=True))
+    left = np.eye(2)[[y for y, _ in data]] - p / p.sum(axis=1, keepdims=True)
+    assert found.steps > 0 and np.abs(left.sum(axis=0)).max() < 1e-3
+    x = np.array([v.toArray() for _, v in data])
+    x = (x - x.mean(axis=0)) / np.where(x.std(axis=0) > 0, x.std(axis=0, ddof=1), 1)
+    assert np.allclose(x.T @ found.place[:60], x.T @ left / 60 / penalty, atol=2e-4)
+    space.close()
