@@ -13,6 +13,10 @@ bit for each slot, at most ``MOST_SLOTS``); a window is padded after the words w
 word is an empty window. That shortens windows no phrase needs, and leaves all counts that
 are asked for as they are; where slots get too few for the corpus, less is shortened and nothing is
 lost.
+
+A task adds up equal windows of all it reads, so as many are shuffled as there are different ones in
+each task. A task for each core, or for each ``TASK_BYTES`` of text where that makes more, reads them, however
+many splits the files have: with the input the different windows get more, but not also the tasks.
 """
 
 from __future__ import annotations
@@ -35,6 +39,7 @@ TEXT_BYTES = 4 << 20  # text that a task looks at together
 LEAST_SLOTS, MOST_SLOTS = 1 << 16, 1 << 30
 WORDS_PER_SLOT = 8
 HELD_ROWS = 1_000_000  # windows that a task holds to combine equal ones
+TASK_BYTES = 256 << 20  # text of a task that combines windows, on a cluster of few cores
 RANKED_TOGETHER = 100_000
 NO_LANGUAGE = "und"
 _NEXT = np.uint64(0x9E3779B97F4A7C15)
@@ -128,10 +133,13 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select("text", "lang").where("text is not null")
 
 
-def slots_for(docs: DataFrame) -> int:
-    """A power of two by the size of the texts, a word taken for six bytes."""
-    words = (_rows(docs).agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
-    return min(max(LEAST_SLOTS, 1 << (words // WORDS_PER_SLOT).bit_length()), MOST_SLOTS)
+def text_bytes(docs: DataFrame) -> int:
+    return _rows(docs).agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def slots_for(size: int) -> int:
+    """A power of two by the bytes of the texts, a word taken for six."""
+    return min(max(LEAST_SLOTS, 1 << (size // 6 // WORDS_PER_SLOT).bit_length()), MOST_SLOTS)
 
 
 def frequent_slots(docs: DataFrame, slots: int, least: int, found: Callable[[Words], Iterable[np.ndarray]]) -> np.ndarray:
@@ -177,9 +185,11 @@ def frequent_slots(docs: DataFrame, slots: int, least: int, found: Callable[[Wor
     return bitmap
 
 
-def windows(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
-    """(lang, w1 ... w5, count) of the longest windows, padded with empty words."""
-    slots = slots_for(docs)
+def task_windows(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
+    """(lang, window, count) of the longest windows, as each task has added them up: words and padding
+    with a space between."""
+    size = text_bytes(docs)
+    slots = slots_for(size)
     spark = docs.sparkSession.sparkContext
     short = spark.broadcast(frequent_slots(docs, slots, least, lambda words: words.short_slots(slots)[::2]))
 
@@ -188,7 +198,6 @@ def windows(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> Data
             yield slot
 
     long = spark.broadcast(frequent_slots(docs, slots, least, longer)) if longest > 2 else short
-    columns = [f"w{k + 1}" for k in range(longest)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         for batch in pieces(batches, limit=TEXT_BYTES):
@@ -235,8 +244,9 @@ def windows(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> Data
             yield pa.table([words.langs.take(pa.array(words.lang[one])), window, pa.array(count)], names=["lang", "window", "count"])
 
     def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Equal windows of a task's pieces as one row, as long as they are few."""
-        held, rows = [], 0
+        """Equal windows of a task's pieces as one row. Where they get too many, the rarer ones go on; those
+        that occur most stay to be added up."""
+        held, rows, summed = [], 0, 0
 
         def sums() -> pa.Table:
             whole = pa.concat_tables(held).group_by(["lang", "window"]).aggregate([("count", "sum")])
@@ -248,18 +258,25 @@ def windows(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> Data
         for part in run(batches):
             held.append(part)
             rows += len(part)
-            if rows > HELD_ROWS:
+            if rows - summed > max(summed, HELD_ROWS // 8):
                 held = [sums()]
-                rows = len(held[0])
-                if rows > HELD_ROWS // 2:
-                    yield from batches_of(held[0])
-                    held, rows = [], 0
+                if len(held[0]) > HELD_ROWS // 2:
+                    order = pc.sort_indices(held[0]["count"], sort_keys=[("", "descending")])
+                    yield from batches_of(held[0].take(order[HELD_ROWS // 4 :]))
+                    held = [held[0].take(order[: HELD_ROWS // 4])]
+                rows = summed = len(held[0])
         if held:
             yield from batches_of(sums())
 
-    tops = _rows(docs).mapInArrow(combined, "lang string, window string, count long")
-    tops = tops.groupBy("lang", "window").agg(F.sum("count").alias("count"))
-    return tops.select("lang", *[F.get(F.split("window", " "), F.lit(k)).alias(c) for k, c in enumerate(columns)], "count")
+    tasks = max(spark.defaultParallelism, size // TASK_BYTES)
+    return _rows(docs).coalesce(tasks).mapInArrow(combined, "lang string, window string, count long")
+
+
+def windows(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
+    """(lang, w1 ... w5, count) of the longest windows, padded with empty words."""
+    tops = task_windows(docs, least, longest).groupBy("lang", "window").agg(F.sum("count").alias("count"))
+    columns = [F.get(F.split("window", " "), F.lit(k)).alias(f"w{k + 1}") for k in range(longest)]
+    return tops.select("lang", *columns, "count")
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataFrame:

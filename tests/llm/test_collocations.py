@@ -77,6 +77,31 @@ def test_few_slots_change_nothing(spark, monkeypatch):
     assert many == got(frame(spark, rows), least=3) == brute(rows, 3)
 
 
+def test_window_rows_do_not_grow_with_splits(spark, monkeypatch):
+    """Every split has the same texts: four times the splits are four times the counts, not four times the rows."""
+    cores = spark.sparkContext.defaultParallelism
+    found = {}
+    for splits in (cores, 4 * cores):
+        rows = [(1, "one two three. four five", "en", "a", 24)] * (5 * splits)
+        docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, splits), SCHEMA)
+        assert docs.rdd.getNumPartitions() == splits
+        found[splits] = collocations.task_windows(docs, least=3).collect()
+    few, many = found.values()
+    assert len(many) <= len(few) <= cores * len({r.window for r in few})
+    assert sum(r["count"] for r in many) == 4 * sum(r["count"] for r in few) == 4 * cores * 5 * 5
+    monkeypatch.setattr(collocations, "TASK_BYTES", 5 * 24 * 2)  # of text, in two splits
+    assert len(few) < len(collocations.task_windows(docs, least=3).collect()) <= 2 * len(few)
+
+
+def test_many_windows_in_a_task(spark, monkeypatch):
+    """Windows that a task does not hold go on in parts, and those that it holds are added up."""
+    rows = texts(6)
+    monkeypatch.setattr(collocations, "TEXT_BYTES", 64)
+    for held in (1, 8, 40, 10_000):
+        monkeypatch.setattr(collocations, "HELD_ROWS", held)
+        assert got(frame(spark, rows).coalesce(1), least=3) == brute(rows, 3)
+
+
 def test_odd_rows_and_no_rows(spark):
     docs = odd_docs(spark).where("n_chars is null or n_chars < 100000")
     rows = [(r[2], r[1]) for r in odd_rows() if r[4] is None or r[4] < 100_000]
